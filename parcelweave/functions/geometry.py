@@ -1,4 +1,4 @@
-"""Polygon mathematics as native column expressions.
+"""Polygon mathematics as native SQL expressions.
 
 A geometry is ``rings``: an array of outer rings, each an array of (x, y)
 structs.  Everything that needs area or containment works on ``walls``: the
@@ -7,331 +7,355 @@ non-vertical ring edges written left to right as (lx, yl, rx, yr) with a sign,
 is the signed sum of the regions under its walls, so areas, overlaps and point
 tests are plain sums over walls: no predicates, no special cases for concave
 shapes, and sums can be split over grid cells.
+
+Functions take and return SQL text (one parse per expression instead of one
+driver call per operation); ``let`` names intermediate values, because lambda
+bodies are evaluated as trees and would recompute a value at every mention.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-RING_TYPE = "array<array<struct<x:double,y:double>>>"
 EARTH_A = 6378137.0  # WGS84 semi-major axis, m
 EARTH_E2 = 0.0066943799901413165  # WGS84 first eccentricity squared
 
+_names = itertools.count()
+
+
+def _var() -> str:
+    return f"v{next(_names)}"
+
+
+def let(body, **values: str) -> str:
+    """``body`` is called with names that stand for the given values."""
+    v = _var()
+    fields = ", ".join(f"'{k}', {x}" for k, x in values.items())
+    return f"transform(array(named_struct({fields})), {v} -> {body(*[f'{v}.{k}' for k in values])})[0]"
+
+
+def total(values: str) -> str:
+    a, v = _var(), _var()
+    return f"aggregate({values}, 0D, ({a}, {v}) -> {a} + {v})"
 
-def point(x, y) -> Column:
-    return F.struct(F.lit(x).cast("double").alias("x") if not isinstance(x, Column) else x.cast("double").alias("x"),
-                    F.lit(y).cast("double").alias("y") if not isinstance(y, Column) else y.cast("double").alias("y"))
 
+def each(array: str, body) -> str:
+    v = _var()
+    return f"transform({array}, {v} -> {body(v)})"
 
-def polygon(*points: tuple) -> Column:
-    """Single-part geometry from (x, y) column pairs."""
-    return F.array(F.array(*[point(x, y) for x, y in points]))
 
+def keep(array: str, test) -> str:
+    v = _var()
+    return f"filter({array}, {v} -> {test(v)})"
 
-def rectangle(x0, y0, x1, y1) -> Column:
+
+def polygon(*points: tuple[str, str]) -> str:
+    """Single-part geometry from (x, y) expressions."""
+    pts = ", ".join(f"named_struct('x', double({x}), 'y', double({y}))" for x, y in points)
+    return f"array(array({pts}))"
+
+
+def rectangle(x0: str, y0: str, x1: str, y1: str) -> str:
     return polygon((x0, y0), (x1, y0), (x1, y1), (x0, y1))
 
 
-def _pairs(ring: Column) -> Column:
-    """Directed edges of a ring; closes it and drops zero-length edges."""
-    n = F.size(ring)
-    nxt = F.concat(F.slice(ring, 2, F.greatest(n - 1, F.lit(0))), F.slice(ring, 1, 1))
-    edges = F.zip_with(
-        ring, nxt,
-        lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")),
-    )
-    return F.filter(edges, lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
+def _next(ring: str) -> str:
+    return f"concat(slice({ring}, 2, greatest(size({ring}) - 1, 0)), slice({ring}, 1, 1))"
 
 
-def total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+def _pairs(ring: str) -> str:
+    """Directed edges of a ring; closes it and drops zero-length edges."""
+    p, q = _var(), _var()
+    edges = (f"zip_with({ring}, {_next(ring)}, ({p}, {q}) -> named_struct("
+             f"'x1', {p}.x, 'y1', {p}.y, 'x2', {q}.x, 'y2', {q}.y))")
+    return keep(edges, lambda e: f"{e}.x1 <> {e}.x2 OR {e}.y1 <> {e}.y2")
 
 
-def ring_area(ring: Column) -> Column:
+def ring_area(ring: str) -> str:
     """Signed planar area (positive when counter-clockwise)."""
-    ox, oy = ring[0]["x"], ring[0]["y"]
-    return total(F.transform(
-        _pairs(ring),
-        lambda e: ((e["x1"] - ox) * (e["y2"] - oy) - (e["x2"] - ox) * (e["y1"] - oy)) / 2,
-    ))
+    p, q = _var(), _var()
+    ox, oy = f"{ring}[0].x", f"{ring}[0].y"
+    return total(f"zip_with({ring}, {_next(ring)}, ({p}, {q}) -> "
+                 f"(({p}.x - {ox}) * ({q}.y - {oy}) - ({q}.x - {ox}) * ({p}.y - {oy})) / 2)")
 
 
-def edges(rings: Column) -> Column:
+def edges(rings: str) -> str:
     """Counter-clockwise directed edges of all parts."""
-    return F.flatten(F.transform(
-        F.filter(rings, lambda r: F.size(r) >= 3),
-        lambda r: F.when(ring_area(r) >= 0, _pairs(r)).otherwise(_pairs(F.reverse(r))),
-    ))
+    return "flatten(" + each(
+        keep(rings, lambda r: f"size({r}) >= 3"),
+        lambda r: f"CASE WHEN {ring_area(r)} >= 0 THEN {_pairs(r)} ELSE {_pairs(f'reverse({r})')} END") + ")"
 
 
-def area(rings: Column) -> Column:
+def area(rings: str) -> str:
     """Planar area: sum of absolute ring areas, rings under 3 points skipped."""
-    return total(F.transform(F.filter(rings, lambda r: F.size(r) >= 3), lambda r: F.abs(ring_area(r))))
+    return total(each(keep(rings, lambda r: f"size({r}) >= 3"), lambda r: f"abs({ring_area(r)})"))
 
 
-def _authalic_q(lat: Column) -> Column:
+def _authalic_q(lat: str) -> str:
     e = EARTH_E2 ** 0.5
-    s = F.sin(F.radians(lat))
-    return (1 - EARTH_E2) * (s / (1 - EARTH_E2 * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    return let(lambda s: f"{1 - EARTH_E2!r}D * ({s} / (1 - {EARTH_E2!r}D * {s} * {s}) "
+                         f"- ln((1 - {e!r}D * {s}) / (1 + {e!r}D * {s})) / {2 * e!r}D)", s=f"sin(radians({lat}))")
 
 
-def geodesic_area(rings: Column) -> Column:
+def geodesic_area(rings: str) -> str:
     """Ellipsoidal area (m2) of lon/lat rings.
 
     Uses the equal-area cylindrical image (x = a*lon, y = a*q(lat)/2) whose planar
     area is the area on the ellipsoid; edges are straight in that image, which for
     parcel-sized polygons agrees with geodesic edges to well below 0.1 m2.
     """
-    image = F.transform(rings, lambda r: F.transform(
-        r, lambda p: F.struct((F.radians(p["x"]) * EARTH_A).alias("x"),
-                              (_authalic_q(p["y"]) * EARTH_A / 2).alias("y"))))
-    return area(image)
-
-
-def walls(edge_array: Column) -> Column:
-    return F.transform(
-        F.filter(edge_array, lambda e: e["x1"] != e["x2"]),
-        lambda e: F.when(
-            e["x1"] < e["x2"],
-            F.struct(e["x1"].alias("lx"), e["y1"].alias("yl"), e["x2"].alias("rx"), e["y2"].alias("yr"),
-                     F.lit(-1.0).alias("s")),
-        ).otherwise(
-            F.struct(e["x2"].alias("lx"), e["y2"].alias("yl"), e["x1"].alias("rx"), e["y1"].alias("yr"),
-                     F.lit(1.0).alias("s"))),
-    )
+    return area(each(rings, lambda r: each(r, lambda p: (
+        f"named_struct('x', radians({p}.x) * {EARTH_A}D, 'y', {_authalic_q(f'{p}.y')} * {EARTH_A / 2}D)"))))
 
 
-def wall_y(w: Column, x: Column) -> Column:
-    return w["yl"] + (w["yr"] - w["yl"]) * (x - w["lx"]) / (w["rx"] - w["lx"])
+def walls(edge_array: str) -> str:
+    return each(keep(edge_array, lambda e: f"{e}.x1 <> {e}.x2"), lambda e: (
+        f"CASE WHEN {e}.x1 < {e}.x2 THEN named_struct('lx', {e}.x1, 'yl', {e}.y1, 'rx', {e}.x2, 'yr', {e}.y2, 's', -1D) "
+        f"ELSE named_struct('lx', {e}.x2, 'yl', {e}.y2, 'rx', {e}.x1, 'yr', {e}.y1, 's', 1D) END"))
 
 
-def let(values: dict[str, Column], body) -> Column:
-    """Name intermediate values inside a higher-order expression.
-
-    Lambdas are evaluated as trees, so a value used twice is computed twice; binding
-    it through a one-element array computes it once.
-    """
-    bound = F.struct(*[v.alias(k) for k, v in values.items()])
-    return F.transform(F.array(bound), body)[0]
+def wall_y(w: str, x: str) -> str:
+    return f"({w}.yl + ({w}.yr - {w}.yl) * ({x} - {w}.lx) / ({w}.rx - {w}.lx))"
 
 
-def _under_both(a: Column, b: Column, base: Column) -> Column:
+def _under_both(a: str, b: str, base: str) -> str:
     """Signed area under both walls and above ``base`` (integral of the lower one)."""
-    def heights(x):
-        return let({"a0": wall_y(a, x["x0"]) - base, "a1": wall_y(a, x["x1"]) - base,
-                    "b0": wall_y(b, x["x0"]) - base, "b1": wall_y(b, x["x1"]) - base},
-                   lambda h: let({"d0": h["a0"] - h["b0"], "d1": h["a1"] - h["b1"],
-                                  "sum": h["a0"] + h["a1"] + h["b0"] + h["b1"]},
-                                 lambda d: a["s"] * b["s"] * (x["x1"] - x["x0"]) * (d["sum"] - gap(d)) / 4))
-
-    def gap(d):
-        same = d["d0"] * d["d1"] >= 0
-        spread = F.abs(d["d0"]) + F.abs(d["d1"])
-        return F.when(same, spread).otherwise((d["d0"] * d["d0"] + d["d1"] * d["d1"]) / spread)
-
-    return let({"x0": F.greatest(a["lx"], b["lx"]), "x1": F.least(a["rx"], b["rx"])},
-               lambda x: F.when(x["x1"] > x["x0"], heights(x)).otherwise(0.0))
-
-
-def overlap_area(walls_a: Column, walls_b: Column, base: Column) -> Column:
+    def lower(x0, x1):
+        return let(lambda a0, a1, b0, b1: let(
+            lambda d0, d1: (
+                f"{a}.s * {b}.s * ({x1} - {x0}) * ({a0} + {a1} + {b0} + {b1} - CASE WHEN {d0} * {d1} >= 0 "
+                f"THEN abs({d0} + {d1}) ELSE ({d0} * {d0} + {d1} * {d1}) / (abs({d0}) + abs({d1})) END) / 4"),
+            d0=f"{a0} - {b0}", d1=f"{a1} - {b1}"),
+            a0=f"{wall_y(a, x0)} - {base}", a1=f"{wall_y(a, x1)} - {base}",
+            b0=f"{wall_y(b, x0)} - {base}", b1=f"{wall_y(b, x1)} - {base}")
+    return let(lambda x0, x1: f"CASE WHEN {x1} > {x0} THEN {lower(x0, x1)} ELSE 0D END",
+               x0=f"greatest({a}.lx, {b}.lx)", x1=f"least({a}.rx, {b}.rx)")
+
+
+def overlap_area(walls_a: str, walls_b: str, base: str) -> str:
     """Exact area of the intersection of two polygons given by their walls.
 
     ``base`` is any y reference near the shapes; it cancels and only keeps the
     numbers small.
     """
-    return total(F.transform(walls_a, lambda a: total(F.transform(walls_b, lambda b: _under_both(a, b, base)))))
+    return total(each(walls_a, lambda a: total(each(walls_b, lambda b: _under_both(a, b, base)))))
 
 
-def contains(wall_array: Column, x: Column, y: Column) -> Column:
+def contains(wall_array: str, x: str, y: str) -> str:
     """Half-open even-odd point test: left/bottom boundary in, right/top out."""
-    hits = F.transform(wall_array, lambda w: F.when(
-        (w["lx"] <= x) & (x < w["rx"]) & (y < wall_y(w, x)), w["s"]).otherwise(0.0))
-    return total(hits) > 0.5
+    return total(each(wall_array, lambda w: (
+        f"CASE WHEN {w}.lx <= {x} AND {x} < {w}.rx AND {y} < {wall_y(w, x)} THEN {w}.s ELSE 0D END"))) + " > 0.5D"
+
+
+def _spans(wall_array: str, x: str) -> str:
+    """Inside intervals (lo, hi) of a polygon along the vertical line at ``x``."""
+    ys = each(keep(wall_array, lambda w: f"{w}.lx <= {x} AND {x} < {w}.rx"), lambda w: wall_y(w, x))
+    i, k = _var(), _var()
+    return let(lambda v: (
+        f"transform(filter(sequence(0, greatest(size({v}) - 2, 0)), {k} -> {k} % 2 = 0 AND size({v}) >= 2), "
+        f"{i} -> named_struct('lo', {v}[{i}], 'hi', {v}[{i} + 1]))"), v=f"array_sort({ys})")
 
 
-def clip_walls(wall_array: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+def union_area(walls_a: str, pieces: str) -> str:
+    """Area of polygon ``a`` covered by at least one of ``pieces`` (array of wall arrays).
+
+    Between two neighbouring vertex or crossing positions every wall keeps its order,
+    so the covered length at the middle of each such slab times its width is exact.
+    """
+    def crossing(p, q):
+        def at(sp, sq):
+            x = f"({q}.yl - {p}.yl + {sp} * {p}.lx - {sq} * {q}.lx) / ({sp} - {sq})"
+            return let(lambda x: f"CASE WHEN {x} > greatest({p}.lx, {q}.lx) AND {x} < least({p}.rx, {q}.rx) THEN {x} END",
+                       x=f"CASE WHEN {sp} <> {sq} THEN {x} END")
+        slope = lambda w: f"({w}.yr - {w}.yl) / ({w}.rx - {w}.lx)"
+        return let(at, sp=slope(p), sq=slope(q))
+
+    def slabs(every):
+        ends = f"concat({each(every, lambda w: f'{w}.lx')}, {each(every, lambda w: f'{w}.rx')})"
+        cross = f"flatten({each(every, lambda p: each(every, lambda q: crossing(p, q)))})"
+        cuts = f"array_sort(array_distinct(array_compact(concat({ends}, {cross}))))"
+        return let(covered, c=cuts)
+
+    def covered(c):
+        p, q = _var(), _var()
+        return total(f"zip_with(slice({c}, 1, size({c}) - 1), slice({c}, 2, size({c}) - 1), ({p}, {q}) -> "
+                     f"({q} - {p}) * {let(length, m=f'({p} + {q}) / 2')})")
+
+    def length(m):
+        clipped = (f"flatten({each(_spans(walls_a, m), lambda u: each(f'flatten({each(pieces, lambda b: _spans(b, m))})', lambda s: (
+            f'named_struct("lo", greatest({u}.lo, {s}.lo), "hi", least({u}.hi, {s}.hi))'.replace(chr(34), chr(39)))))})")
+        acc, s, out = _var(), _var(), _var()
+        return (f"aggregate(array_sort({keep(clipped, lambda s: f'{s}.hi > {s}.lo')}), "
+                f"named_struct('len', 0D, 'end', double('-inf')), ({acc}, {s}) -> named_struct("
+                f"'len', {acc}.len + greatest({s}.hi - greatest({s}.lo, {acc}.end), 0D), 'end', greatest({acc}.end, {s}.hi)), "
+                f"{out} -> {out}.len)")
+
+    return let(slabs, every=f"concat({walls_a}, flatten({pieces}))")
+
+
+def clip_walls(wall_array: str, x0: str, y0: str, x1: str, y1: str) -> str:
     """Walls of the polygon cut to a box: x is trimmed, y is clamped.
 
     Clamping keeps the signed sum exact inside the box, so pieces of one polygon in
     different grid cells add up to the whole.
     """
     def clamp(v):
-        return F.least(F.greatest(v, y0), y1)
+        return f"least(greatest({v}, {y0}), {y1})"
 
     def pieces(w):
-        xa, xb = F.greatest(w["lx"], x0), F.least(w["rx"], x1)
-        slope = (w["yr"] - w["yl"]) / (w["rx"] - w["lx"])
-
-        def cross(level):
-            hit = w["lx"] + (level - w["yl"]) / F.when(slope != 0, slope)
-            return F.least(F.greatest(F.coalesce(hit, xa), xa), xb)
-
-        c0, c1 = cross(y0), cross(y1)
-        cuts = F.array(xa, F.least(c0, c1), F.greatest(c0, c1), xb)
-        return F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(
-            cuts[i].alias("lx"), clamp(wall_y(w, cuts[i])).alias("yl"),
-            cuts[i + 1].alias("rx"), clamp(wall_y(w, cuts[i + 1])).alias("yr"), w["s"].alias("s")))
+        def cross(level, xa, xb):
+            hit = (f"CASE WHEN {w}.yr <> {w}.yl THEN {w}.lx + ({level} - {w}.yl) * ({w}.rx - {w}.lx) / ({w}.yr - {w}.yl) END")
+            return f"least(greatest(coalesce({hit}, {xa}), {xa}), {xb})"
 
-    near = F.filter(wall_array, lambda w: (w["lx"] < x1) & (w["rx"] > x0))
-    return F.filter(F.flatten(F.transform(near, pieces)), lambda w: w["rx"] > w["lx"])
+        def piece(a, b):
+            return (f"named_struct('lx', {a}, 'yl', {clamp(wall_y(w, a))}, 'rx', {b}, 'yr', {clamp(wall_y(w, b))}, 's', {w}.s)")
 
+        return let(lambda xa, xb: let(
+            lambda c0, c1: let(
+                lambda lo, hi: f"array({piece(xa, lo)}, {piece(lo, hi)}, {piece(hi, xb)})",
+                lo=f"least({c0}, {c1})", hi=f"greatest({c0}, {c1})"),
+            c0=cross(y0, xa, xb), c1=cross(y1, xa, xb)),
+            xa=f"greatest({w}.lx, {x0})", xb=f"least({w}.rx, {x1})")
 
-def bbox(rings: Column) -> dict[str, Column]:
-    xs = F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p["x"])))
-    ys = F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p["y"])))
-    return {"minx": F.array_min(xs), "miny": F.array_min(ys), "maxx": F.array_max(xs), "maxy": F.array_max(ys)}
+    near = keep(wall_array, lambda w: f"{w}.lx < {x1} AND {w}.rx > {x0}")
+    return keep(f"flatten({each(near, pieces)})", lambda w: f"{w}.rx > {w}.lx")
 
 
-def segment_distance(px: Column, py: Column, e: Column) -> Column:
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    t = ((px - e["x1"]) * dx + (py - e["y1"]) * dy) / (dx * dx + dy * dy)
-    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    return F.hypot(px - e["x1"] - t * dx, py - e["y1"] - t * dy)
+def bbox(rings: str) -> dict[str, Column]:
+    xs, ys = (f"flatten({each(rings, lambda r: each(r, lambda p: f'{p}.{c}'))})" for c in "xy")
+    return {"minx": F.expr(f"array_min({xs})"), "miny": F.expr(f"array_min({ys})"),
+            "maxx": F.expr(f"array_max({xs})"), "maxy": F.expr(f"array_max({ys})")}
 
 
-def segment_nearest(px: Column, py: Column, e: Column) -> Column:
-    """(distance, x, y) of the closest point of edge ``e``."""
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    t = ((px - e["x1"]) * dx + (py - e["y1"]) * dy) / (dx * dx + dy * dy)
-    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    nx, ny = e["x1"] + t * dx, e["y1"] + t * dy
-    return F.struct(F.hypot(px - nx, py - ny).alias("d"), nx.alias("x"), ny.alias("y"))
+def _nearest_on_edge(px: str, py: str, e: str) -> str:
+    """(d, x, y): distance to and position of the closest point of an edge."""
+    def at(t):
+        return let(lambda nx, ny: f"named_struct('d', hypot({px} - {nx}, {py} - {ny}), 'x', {nx}, 'y', {ny})",
+                   nx=f"{e}.x1 + {t} * ({e}.x2 - {e}.x1)", ny=f"{e}.y1 + {t} * ({e}.y2 - {e}.y1)")
+    along = (f"(({px} - {e}.x1) * ({e}.x2 - {e}.x1) + ({py} - {e}.y1) * ({e}.y2 - {e}.y1)) / "
+             f"(({e}.x2 - {e}.x1) * ({e}.x2 - {e}.x1) + ({e}.y2 - {e}.y1) * ({e}.y2 - {e}.y1))")
+    return let(at, t=f"least(greatest({along}, 0D), 1D)")
 
 
-def nearest_on(edge_array: Column, px: Column, py: Column) -> Column:
-    return F.array_min(F.transform(edge_array, lambda e: segment_nearest(px, py, e)))
+def nearest_on(edge_array: str, px: str, py: str) -> str:
+    """Closest boundary point as (d, x, y); equal distances resolve to the lowest (x, y)."""
+    return f"array_min({each(edge_array, lambda e: _nearest_on_edge(px, py, e))})"
 
 
-def _near_interval(a: Column, b: Column, tol: float) -> Column:
+def _near_interval(a: str, b: str, tol: float) -> str:
     """Part (t0, t1) of edge ``a`` within ``tol`` of edge ``b`` (a capsule, hence one interval).
 
     ``a`` carries its unit direction and length (ux, uy, ln); positions run along it.
     """
+    span = lambda t0, t1: f"named_struct('t0', {t0}, 't1', {t1})"
+
     def disc(px, py):
-        def hit(v):
-            half = F.sqrt(tol * tol - v["off"] * v["off"])
-            return F.when(F.abs(v["off"]) <= tol,
-                          F.struct((v["at"] - half).alias("t0"), (v["at"] + half).alias("t1")))
-        return let({"at": (px - a["x1"]) * a["ux"] + (py - a["y1"]) * a["uy"],
-                    "off": (px - a["x1"]) * a["uy"] - (py - a["y1"]) * a["ux"]}, hit)
+        return let(lambda at, off: (
+            f"CASE WHEN abs({off}) <= {tol}D THEN "
+            + span(f"{at} - sqrt({tol * tol!r}D - {off} * {off})", f"{at} + sqrt({tol * tol!r}D - {off} * {off})") + " END"),
+            at=f"({px} - {a}.x1) * {a}.ux + ({py} - {a}.y1) * {a}.uy",
+            off=f"({px} - {a}.x1) * {a}.uy - ({py} - {a}.y1) * {a}.ux")
 
     def slab(start, rate, lo, hi):
-        def bound(v):
-            flat = F.when((v["s"] >= lo) & (v["s"] <= hi),
-                          F.struct(F.lit(-1e18).alias("t0"), F.lit(1e18).alias("t1")))
-            return F.when(F.abs(v["r"]) < 1e-12, flat).otherwise(let(
-                {"p": (lo - v["s"]) / v["r"], "q": (hi - v["s"]) / v["r"]},
-                lambda w: F.struct(F.least(w["p"], w["q"]).alias("t0"), F.greatest(w["p"], w["q"]).alias("t1"))))
-        return let({"s": start, "r": rate}, bound)
-
-    def spans(v):  # v: direction and length of b
-        rx, ry = a["x1"] - b["x1"], a["y1"] - b["y1"]
-        return let({
-            "p": slab(rx * v["vx"] + ry * v["vy"], a["ux"] * v["vx"] + a["uy"] * v["vy"], F.lit(0.0), v["lb"]),
-            "q": slab(rx * v["vy"] - ry * v["vx"], a["ux"] * v["vy"] - a["uy"] * v["vx"], F.lit(-tol), F.lit(tol)),
-            "d": disc(b["x1"], b["y1"]), "e": disc(b["x2"], b["y2"])}, merge)
-
-    def merge(v):
-        def ends(c):
-            t0 = F.least(F.when(c["k"], c["s0"]), v["d"]["t0"], v["e"]["t0"])
-            t1 = F.greatest(F.when(c["k"], c["s1"]), v["d"]["t1"], v["e"]["t1"])
-            return F.struct(F.greatest(t0, F.lit(0.0)).alias("t0"), F.least(t1, a["ln"]).alias("t1"))
-        s0, s1 = F.greatest(v["p"]["t0"], v["q"]["t0"]), F.least(v["p"]["t1"], v["q"]["t1"])
-        both = v["p"].isNotNull() & v["q"].isNotNull()
-        return let({"s0": s0, "s1": s1, "k": both & (s0 <= s1)}, ends)
-
-    return let({"lb": F.hypot(b["x2"] - b["x1"], b["y2"] - b["y1"])}, lambda n: let(
-        {"lb": n["lb"], "vx": (b["x2"] - b["x1"]) / n["lb"], "vy": (b["y2"] - b["y1"]) / n["lb"]}, spans))
-
-
-def contact_length(edges_a: Column, edges_b: Column, tol: float) -> Column:
-    """Length of boundary ``a`` lying within ``tol`` of boundary ``b``."""
+        return let(lambda s, r: (
+            f"CASE WHEN abs({r}) < 1e-12D THEN CASE WHEN {s} >= {lo} AND {s} <= {hi} THEN {span('-1e18D', '1e18D')} END ELSE "
+            + let(lambda p, q: span(f"least({p}, {q})", f"greatest({p}, {q})"),
+                  p=f"({lo} - {s}) / {r}", q=f"({hi} - {s}) / {r}") + " END"), s=start, r=rate)
+
+    def merged(p, q, d, e):
+        return let(lambda k, s0, s1: span(
+            f"greatest(least(CASE WHEN {k} THEN {s0} END, {d}.t0, {e}.t0), 0D)",
+            f"least(greatest(CASE WHEN {k} THEN {s1} END, {d}.t1, {e}.t1), {a}.ln)"),
+            k=f"{p}.t0 IS NOT NULL AND {q}.t0 IS NOT NULL AND greatest({p}.t0, {q}.t0) <= least({p}.t1, {q}.t1)",
+            s0=f"greatest({p}.t0, {q}.t0)", s1=f"least({p}.t1, {q}.t1)")
+
+    def spans(lb):
+        def inner(vx, vy):
+            rx, ry = f"({a}.x1 - {b}.x1)", f"({a}.y1 - {b}.y1)"
+            return let(merged,
+                       p=slab(f"{rx} * {vx} + {ry} * {vy}", f"{a}.ux * {vx} + {a}.uy * {vy}", "0D", lb),
+                       q=slab(f"{rx} * {vy} - {ry} * {vx}", f"{a}.ux * {vy} - {a}.uy * {vx}", f"{-tol}D", f"{tol}D"),
+                       d=disc(f"{b}.x1", f"{b}.y1"), e=disc(f"{b}.x2", f"{b}.y2"))
+        return let(inner, vx=f"({b}.x2 - {b}.x1) / {lb}", vy=f"({b}.y2 - {b}.y1) / {lb}")
+
+    return let(spans, lb=f"hypot({b}.x2 - {b}.x1, {b}.y2 - {b}.y1)")
+
+
+def contact_lengths(edges_a: str, edges_b: str, tol: float) -> str:
+    """Per edge of ``a``: its length lying within ``tol`` of boundary ``b``."""
     def with_direction(a):
-        return let({"ln": F.hypot(a["x2"] - a["x1"], a["y2"] - a["y1"])}, lambda n: F.struct(
-            a["x1"].alias("x1"), a["y1"].alias("y1"), ((a["x2"] - a["x1"]) / n["ln"]).alias("ux"),
-            ((a["y2"] - a["y1"]) / n["ln"]).alias("uy"), n["ln"].alias("ln"),
-            (F.least(a["x1"], a["x2"]) - tol).alias("lo_x"), (F.greatest(a["x1"], a["x2"]) + tol).alias("hi_x"),
-            (F.least(a["y1"], a["y2"]) - tol).alias("lo_y"), (F.greatest(a["y1"], a["y2"]) + tol).alias("hi_y")))
+        return let(lambda ln: (
+            f"named_struct('x1', {a}.x1, 'y1', {a}.y1, 'ux', ({a}.x2 - {a}.x1) / {ln}, 'uy', ({a}.y2 - {a}.y1) / {ln}, 'ln', {ln}, "
+            f"'lo_x', least({a}.x1, {a}.x2) - {tol}D, 'hi_x', greatest({a}.x1, {a}.x2) + {tol}D, "
+            f"'lo_y', least({a}.y1, {a}.y2) - {tol}D, 'hi_y', greatest({a}.y1, {a}.y2) + {tol}D)"),
+            ln=f"hypot({a}.x2 - {a}.x1, {a}.y2 - {a}.y1)")
 
     def per_edge(a):
-        close = F.filter(edges_b, lambda b: (F.least(b["x1"], b["x2"]) <= a["hi_x"])
-                         & (F.greatest(b["x1"], b["x2"]) >= a["lo_x"])
-                         & (F.least(b["y1"], b["y2"]) <= a["hi_y"]) & (F.greatest(b["y1"], b["y2"]) >= a["lo_y"]))
-        spans = F.array_sort(F.filter(F.transform(close, lambda b: _near_interval(a, b, tol)),
-                                      lambda s: s["t1"] > s["t0"]))
-        start = F.struct(F.lit(0.0).alias("len"), F.lit(-1.0).alias("end"))
-        return F.aggregate(
-            spans, start,
-            lambda acc, s: F.struct(
-                (acc["len"] + F.greatest(s["t1"] - F.greatest(s["t0"], acc["end"]), F.lit(0.0))).alias("len"),
-                F.greatest(acc["end"], s["t1"]).alias("end")),
-            lambda acc: acc["len"])
-
-    return F.transform(F.transform(edges_a, with_direction), per_edge)
-
-
-def clip_half_plane(ring: Column, nx: Column, ny: Column, c: Column) -> Column:
-    """Part of a convex ring with nx*x + ny*y <= c."""
-    n = F.size(ring)
-    nxt = F.concat(F.slice(ring, 2, F.greatest(n - 1, F.lit(0))), F.slice(ring, 1, 1))
+        close = keep(edges_b, lambda b: (
+            f"least({b}.x1, {b}.x2) <= {a}.hi_x AND greatest({b}.x1, {b}.x2) >= {a}.lo_x AND "
+            f"least({b}.y1, {b}.y2) <= {a}.hi_y AND greatest({b}.y1, {b}.y2) >= {a}.lo_y"))
+        spans = keep(each(close, lambda b: _near_interval(a, b, tol)), lambda s: f"{s}.t1 > {s}.t0")
+        acc, s, out = _var(), _var(), _var()
+        return (f"aggregate(array_sort({spans}), named_struct('len', 0D, 'end', -1D), ({acc}, {s}) -> named_struct("
+                f"'len', {acc}.len + greatest({s}.t1 - greatest({s}.t0, {acc}.end), 0D), 'end', greatest({acc}.end, {s}.t1)), "
+                f"{out} -> {out}.len)")
 
-    def side(p):
-        return nx * p["x"] + ny * p["y"] - c
+    return each(each(edges_a, with_direction), per_edge)
 
-    def emit(pq):
-        p, q = pq["p"], pq["q"]
-        sp, sq = side(p), side(q)
-        t = sp / F.when(sp != sq, sp - sq)
-        cut = F.struct((p["x"] + (q["x"] - p["x"]) * t).alias("x"), (p["y"] + (q["y"] - p["y"]) * t).alias("y"))
-        keep = F.struct(p["x"].alias("x"), p["y"].alias("y"))
-        crosses = (sp < 0) & (sq > 0) | (sp > 0) & (sq < 0)
-        return F.when((sp <= 0) & crosses, F.array(keep, cut)).when(sp <= 0, F.array(keep)) \
-            .when(crosses, F.array(cut)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
 
-    zipped = F.zip_with(ring, nxt, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-    return F.flatten(F.transform(zipped, emit))
+def clip_half_plane(ring: str, nx: str, ny: str, c: str) -> str:
+    """Part of a convex ring with nx*x + ny*y <= c."""
+    p, q = _var(), _var()
+    sided = each(ring, lambda v: f"named_struct('x', {v}.x, 'y', {v}.y, 'd', {nx} * {v}.x + {ny} * {v}.y - {c})")
 
+    def cut(r):
+        point = f"named_struct('x', {p}.x, 'y', {p}.y)"
+        cross = (f"named_struct('x', {p}.x + ({q}.x - {p}.x) * {p}.d / ({p}.d - {q}.d), "
+                 f"'y', {p}.y + ({q}.y - {p}.y) * {p}.d / ({p}.d - {q}.d))")
+        return (f"flatten(zip_with({r}, {_next(r)}, ({p}, {q}) -> CASE "
+                f"WHEN {p}.d <= 0 AND ({p}.d < 0 AND {q}.d > 0) THEN array({point}, {cross}) "
+                f"WHEN {p}.d <= 0 THEN array({point}) WHEN {q}.d < 0 THEN array({cross}) "
+                f"ELSE array_remove(array({point}), {point}) END))")
+    return let(cut, r=sided)
 
-def inset(ring: Column, setbacks: Column) -> Column:
-    """Convex ring cut back from each edge; ``setbacks`` holds (x1,y1,x2,y2,d) structs."""
-    def step(acc, e):
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        ln = F.hypot(dx, dy)
-        nx, ny = dy / ln, -dx / ln  # outward normal of a counter-clockwise edge
-        return clip_half_plane(acc, nx, ny, nx * e["x1"] + ny * e["y1"] - e["d"])
 
-    return F.aggregate(setbacks, ring, step)
+def inset(ring: str, setbacks: str) -> str:
+    """Convex ring cut back from each edge; ``setbacks`` holds (x1, y1, x2, y2, d) structs."""
+    acc, e = _var(), _var()
+    nx, ny = f"({e}.y2 - {e}.y1)", f"({e}.x1 - {e}.x2)"  # outward, length of the edge
+    step = clip_half_plane(acc, nx, ny, f"({nx} * {e}.x1 + {ny} * {e}.y1 - {e}.d * hypot({nx}, {ny}))")
+    return f"aggregate({setbacks}, {ring}, ({acc}, {e}) -> {step})"
 
 
-def ring_area_abs(ring: Column) -> Column:
-    return F.when(F.size(ring) >= 3, F.abs(ring_area(ring))).otherwise(0.0)
+def ring_area_abs(ring: str) -> str:
+    return let(lambda r: f"CASE WHEN size({r}) >= 3 THEN abs({ring_area(r)}) ELSE 0D END", r=ring)
 
 
-def transverse_mercator(lon: Column, lat: Column, lon0: float, lat0: float, k0: float,
-                        fe: float, fn: float, a: float = EARTH_A, e2: float = 0.006694380022900787):
-    """Forward transverse Mercator series (Snyder); returns (x, y) columns in metres."""
-    phi, lam = F.radians(lat), F.radians(lon - lon0)
+def transverse_mercator(lon: str, lat: str, lon0: float, lat0: float, k0: float, fe: float, fn: float,
+                        a: float = EARTH_A, e2: float = 0.006694380022900787) -> str:
+    """Forward transverse Mercator series (Snyder) as an (x, y) struct in metres."""
     ep2 = e2 / (1 - e2)
-    s, c = F.sin(phi), F.cos(phi)
-    n = a / F.sqrt(1 - e2 * s * s)
-    t = F.pow(F.tan(phi), F.lit(2.0))
-    cc = ep2 * c * c
-    aa = lam * c
 
     def meridian(p):
-        return a * ((1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * p
-                    - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * F.sin(2 * p)
-                    + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * F.sin(4 * p)
-                    - (35 * e2**3 / 3072) * F.sin(6 * p))
-
-    m, m0 = meridian(phi), meridian(F.radians(F.lit(lat0)))
-    a2, a3, a4, a5, a6 = aa * aa, aa * aa * aa, F.pow(aa, 4), F.pow(aa, 5), F.pow(aa, 6)
-    x = fe + k0 * n * (aa + (1 - t + cc) * a3 / 6 + (5 - 18 * t + t * t + 72 * cc - 58 * ep2) * a5 / 120)
-    y = fn + k0 * (m - m0 + n * F.tan(phi) * (
-        a2 / 2 + (5 - t + 9 * cc + 4 * cc * cc) * a4 / 24
-        + (61 - 58 * t + t * t + 600 * cc - 330 * ep2) * a6 / 720))
-    return x, y
+        return (f"{a}D * ({1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256!r}D * {p} "
+                f"- {3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024!r}D * sin(2 * {p}) "
+                f"+ {15 * e2**2 / 256 + 45 * e2**3 / 1024!r}D * sin(4 * {p}) - {35 * e2**3 / 3072!r}D * sin(6 * {p}))")
+
+    def series(n, t, c, q, tan, m):
+        x = (f"{fe}D + {k0}D * {n} * ({q} + (1 - {t} + {c}) * power({q}, 3) / 6 "
+             f"+ (5 - 18 * {t} + {t} * {t} + 72 * {c} - {58 * ep2!r}D) * power({q}, 5) / 120)")
+        y = (f"{fn}D + {k0}D * ({m} + {n} * {tan} * ({q} * {q} / 2 + (5 - {t} + 9 * {c} + 4 * {c} * {c}) * power({q}, 4) / 24 "
+             f"+ (61 - 58 * {t} + {t} * {t} + 600 * {c} - {330 * ep2!r}D) * power({q}, 6) / 720))")
+        return f"named_struct('x', {x}, 'y', {y})"
+
+    return let(lambda phi, lam: let(
+        series, n=f"{a}D / sqrt(1 - {e2!r}D * sin({phi}) * sin({phi}))", t=f"tan({phi}) * tan({phi})",
+        c=f"{ep2!r}D * cos({phi}) * cos({phi})", q=f"{lam} * cos({phi})", tan=f"tan({phi})",
+        m=f"{meridian(phi)} - {meridian(f'radians({lat0}D)')}"),
+        phi=f"radians({lat})", lam=f"radians({lon} - {lon0}D)")
 
 
 def bround(col: Column | str, digits: int = 0) -> Column:

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 
 
-def with_shape(df: DataFrame, rings: Column | str = "rings") -> DataFrame:
+def with_shape(df: DataFrame, rings: str = "rings") -> DataFrame:
     """Add ``edges``, ``walls`` and bbox columns once, for reuse by every operator."""
-    rings = F.col(rings) if isinstance(rings, str) else rings
-    df = df.withColumn("rings", rings).withColumn("edges", geo.edges(F.col("rings")))
-    return df.withColumns({"walls": geo.walls(F.col("edges")), **geo.bbox(F.col("rings"))})
+    df = df.withColumn("rings", F.expr(rings))
+    df = df.withColumns({"edges": F.expr(geo.edges("rings")), **geo.bbox("rings")})
+    return df.withColumn("walls", F.expr(geo.walls("edges")))
 
 
 def _cell(value: Column, size: float) -> Column:
@@ -39,14 +39,10 @@ def cut_to_cells(df: DataFrame, size: float) -> DataFrame:
     A polygon spanning a thousand cells becomes a thousand small rows, so no join
     partner ever carries a whole large geometry, and the areas of the pieces add up.
     """
-    s = F.lit(float(size))
-    cells = with_cells(df, size)
-    local = geo.clip_walls(F.col("walls"), F.col("cx") * s, F.col("cy") * s,
-                           (F.col("cx") + 1) * s, (F.col("cy") + 1) * s)
-    one_cell = ((_cell(F.col("minx"), size) == _cell(F.col("maxx"), size))
-                & (_cell(F.col("miny"), size) == _cell(F.col("maxy"), size)))
-    return cells.withColumn("walls", F.when(one_cell, F.col("walls")).otherwise(local)) \
-                .filter(F.size("walls") > 0)
+    s = f"{float(size)}D"
+    local = geo.clip_walls("walls", f"(cx * {s})", f"(cy * {s})", f"((cx + 1) * {s})", f"((cy + 1) * {s})")
+    inside = f"floor(minx / {s}) = floor(maxx / {s}) AND floor(miny / {s}) = floor(maxy / {s})"
+    return with_cells(df, size).withColumn("walls", F.expr(f"CASE WHEN {inside} THEN walls ELSE {local} END"))
 
 
 def bbox_filter(layer: DataFrame, w: float, s: float, e: float, n: float) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -17,15 +15,14 @@ LAYER_CELL = 320.0
 
 def interior_point(df: DataFrame) -> DataFrame:
     """A point inside each polygon: middle of the widest span on the mid-height line."""
-    y = (F.col("miny") + F.col("maxy")) / 2
-    xs = F.array_sort(F.transform(
-        F.filter(F.col("edges"), lambda e: (F.least(e["y1"], e["y2"]) <= y) & (y < F.greatest(e["y1"], e["y2"]))),
-        lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
-    spans = F.transform(
-        F.filter(F.sequence(F.lit(1), F.greatest(F.size("_xs"), F.lit(1))), lambda i: i % 2 == 1),
-        lambda i: F.struct((F.get("_xs", i) - F.get("_xs", i - 1)).alias("w"),
-                           ((F.get("_xs", i) + F.get("_xs", i - 1)) / 2).alias("x")))
-    return (df.withColumn("_xs", xs).withColumn("px", F.array_max(spans)["x"]).withColumn("py", y).drop("_xs"))
+    y = "((miny + maxy) / 2)"
+    xs = geo.each(geo.keep("edges", lambda e: f"least({e}.y1, {e}.y2) <= {y} AND {y} < greatest({e}.y1, {e}.y2)"),
+                  lambda e: f"{e}.x1 + ({y} - {e}.y1) * ({e}.x2 - {e}.x1) / ({e}.y2 - {e}.y1)")
+    spans = geo.let(lambda v: geo.each(
+        f"filter(sequence(1, greatest(size({v}) - 1, 1)), k -> k % 2 = 1)",
+        lambda i: f"named_struct('w', get({v}, {i}) - get({v}, {i} - 1), 'x', (get({v}, {i}) + get({v}, {i} - 1)) / 2)"),
+        v=f"array_sort({xs})")
+    return df.withColumns({"px": F.expr(f"array_max({spans}).x"), "py": F.expr(y)})
 
 
 def points_in(points: DataFrame, polygons: DataFrame, size: float = CELL) -> DataFrame:
@@ -33,7 +30,7 @@ def points_in(points: DataFrame, polygons: DataFrame, size: float = CELL) -> Dat
     pieces = grid.cut_to_cells(polygons, size).drop("rings", "edges", "minx", "miny", "maxx", "maxy")
     pts = points.drop("rings", "edges", "walls", "minx", "miny", "maxx", "maxy")
     joined = grid.point_cell(pts, size).join(pieces, ["cx", "cy"])
-    return joined.filter(geo.contains(F.col("walls"), F.col("px"), F.col("py"))).drop("cx", "cy", "walls")
+    return joined.filter(F.expr(geo.contains("walls", "px", "py"))).drop("cx", "cy", "walls")
 
 
 def locate(points: DataFrame, parcels: DataFrame, point_id: str, parcel_id: str, reach: float = 15.0,
@@ -50,7 +47,7 @@ def locate(points: DataFrame, parcels: DataFrame, point_id: str, parcel_id: str,
     misses = pts.join(inside.select(point_id), point_id, "left_anti")
     boxed = misses.withColumns({"minx": F.col("px"), "maxx": F.col("px"), "miny": F.col("py"), "maxy": F.col("py")})
     near = (grid.cell_join(boxed, par.drop("rings", "walls"), size, pad=reach)
-            .withColumn("distance", geo.nearest_on(F.col("edges"), F.col("px"), F.col("py"))["d"])
+            .withColumn("distance", F.expr(geo.nearest_on("edges", "px", "py") + ".d"))
             .groupBy(point_id).agg(F.min(F.struct("distance", parcel_id)).alias("b"))
             .select(point_id, F.col(f"b.{parcel_id}").alias(parcel_id), F.col("b.distance").alias("distance"),
                     F.lit("nearest").alias("matched")))
@@ -81,6 +78,14 @@ def zones_at(points: DataFrame, features: DataFrame, point_id: str, size: float
 def overlay_raw(parcels: DataFrame, layer: DataFrame, parcel_id: str = "pnu", keep: tuple[str, ...] = (),
                 size: float = LAYER_CELL, salts: int = 1) -> DataFrame:
     """Unrounded intersection area per (parcel, feature); parcels need ``geom_area``."""
+    pieces = _pieces(parcels, layer, parcel_id, keep, size, salts)
+    return (pieces.groupBy(parcel_id, "geom_area", "feature_id", *keep).agg(F.sum("area").alias("area"))
+            .filter(F.col("area") > 1e-6))
+
+
+def _pieces(parcels: DataFrame, layer: DataFrame, parcel_id: str, keep: tuple[str, ...], size: float,
+            salts: int = 1) -> DataFrame:
+    """Overlap of each parcel with the part of each feature in each cell."""
     par = parcels.select(parcel_id, F.col("geom_area"), F.col("walls").alias("pw"), "minx", "miny", "maxx", "maxy")
     cut = grid.cut_to_cells(layer, size).select("feature_id", *keep, "walls", "cx", "cy",
                                                 *[F.col(c).alias(f"r_{c}") for c in ("minx", "miny", "maxx", "maxy")])
@@ -91,10 +96,10 @@ def overlay_raw(parcels: DataFrame, layer: DataFrame, parcel_id: str = "pnu", ke
         keys.append("salt")
     meet = ((F.col("r_minx") < F.col("maxx")) & (F.col("r_maxx") > F.col("minx"))
             & (F.col("r_miny") < F.col("maxy")) & (F.col("r_maxy") > F.col("miny")))
-    pieces = (left.join(cut, keys).filter(meet)
-              .withColumn("area", geo.overlap_area(F.col("pw"), F.col("walls"), F.col("miny"))))
-    return (pieces.groupBy(parcel_id, "geom_area", "feature_id", *keep).agg(F.sum("area").alias("area"))
-            .filter(F.col("area") > 1e-6))
+    near = left.join(cut, keys).filter(meet)
+    # as a generator: computed once, and pieces without area vanish before the shuffle
+    sized = geo.keep(f"array(named_struct('area', {geo.overlap_area('pw', 'walls', 'miny')}))", lambda v: f"{v}.area > 1e-9D")
+    return near.select(parcel_id, "geom_area", "feature_id", *keep, "pw", "walls", F.expr(f"inline({sized})"))
 
 
 def overlay(parcels: DataFrame, layer: DataFrame, parcel_id: str = "pnu",
@@ -136,82 +141,26 @@ def compact_layers(status: DataFrame, overlaps: DataFrame, parcel_id: str = "pnu
                         .otherwise(F.col("status"))))
 
 
-def _union_area(frames: Iterator) -> Iterator:
-    """Area of parcel ∩ (union of pieces) for the rare groups with several pieces."""
-    import numpy as np
-    import pandas as pd
-
-    def spans(w, x):
-        hit = (w[:, 0] <= x) & (x < w[:, 2])
-        y = np.sort(w[hit, 1] + (w[hit, 3] - w[hit, 1]) * (x - w[hit, 0]) / (w[hit, 2] - w[hit, 0]))
-        return [(y[i], y[i + 1]) for i in range(0, len(y) - 1, 2)]
-
-    def as_array(walls):
-        return np.array([[w["lx"], w["yl"], w["rx"], w["yr"]] for w in walls], dtype=float).reshape(-1, 4)
-
-    for pdf in frames:
-        areas = []
-        for pw, pieces in zip(pdf["pw"], pdf["pieces"]):
-            parcel, parts = as_array(pw), [as_array(p) for p in pieces]
-            lo, hi = parcel[:, 0].min(), parcel[:, 2].max()
-            every = np.vstack([parcel, *parts])
-            every = every[(every[:, 0] < hi) & (every[:, 2] > lo)]
-            cuts = set(every[:, 0]) | set(every[:, 2])
-            sl = (every[:, 3] - every[:, 1]) / (every[:, 2] - every[:, 0])
-            ic = every[:, 1] - sl * every[:, 0]
-            for i in range(len(every)):  # crossings also bound the slabs
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    x = (ic - ic[i]) / (sl[i] - sl)
-                ok = np.isfinite(x) & (x > np.maximum(every[:, 0], every[i, 0])) & (x < np.minimum(every[:, 2], every[i, 2]))
-                cuts.update(x[ok])
-            xs = np.array(sorted(c for c in cuts if lo <= c <= hi))
-            total = 0.0
-            for a, b in zip(xs[:-1], xs[1:]):
-                mid = (a + b) / 2
-                covered = sorted(s for p in parts for s in spans(p, mid))
-                merged: list[list[float]] = []
-                for s, e in covered:
-                    if merged and s <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], e)
-                    else:
-                        merged.append([s, e])
-                total += (b - a) * sum(max(0.0, min(e, t) - max(s, u))
-                                       for u, t in spans(parcel, mid) for s, e in merged)
-            areas.append(total)
-        out = pdf.drop(columns=["pw", "pieces"])
-        out["area"] = areas
-        yield out
-
-
 def zone_shares(parcels: DataFrame, zoning: DataFrame, parcel_id: str = "pnu", size: float = LAYER_CELL) -> DataFrame:
     """Area and share of each zone on each parcel; same-zone pieces are dissolved.
 
-    Copies of a feature collapse before the join.  Zones touching a parcel with one
-    piece need no dissolve; only groups with several different pieces are merged.
+    Copies of a feature collapse before the join.  A zone touching a parcel with one
+    feature needs no dissolve; the exact union is evaluated only where several
+    different features of one zone meet on a parcel.
     """
     zones = (zoning.filter(F.col("zone_name").endswith("지역"))
-             .groupBy(F.xxhash64("zone_name", "rings").alias("_g"), "zone_name", "minx", "miny",
-                      "maxx", "maxy")
+             .groupBy(F.xxhash64("rings").alias("_g"), "zone_name", "minx", "miny", "maxx", "maxy")
              .agg(F.min("feature_id").alias("feature_id"), F.first("walls").alias("walls")))
-    raw = overlay_raw(parcels, zones, parcel_id, ("zone_name",), size)
-    group = raw.groupBy(parcel_id, "geom_area", "zone_name").agg(
-        F.count(F.lit(1)).alias("pieces"), F.sum("area").alias("area"), F.max("area").alias("largest"))
-    # several pieces can only exceed their union when they overlap, and then the sum of
-    # the pieces is above the largest; a lone piece never needs the merge
-    several = group.filter(F.col("pieces") > 1)
-    members = (several.select(parcel_id, "zone_name").join(raw, [parcel_id, "zone_name"])
-               .join(zones.select("feature_id", "walls"), "feature_id")
-               .groupBy(parcel_id, "geom_area", "zone_name").agg(F.collect_list("walls").alias("pieces")))
-    merged = members.join(parcels.select(parcel_id, F.col("walls").alias("pw")), parcel_id) \
-                    .select(parcel_id, "geom_area", "zone_name", "pw", "pieces")
-    schema = merged.drop("pw", "pieces").schema.add("area", "double")
-    dissolved = merged.mapInPandas(_union_area, schema)
-    area = (group.filter(F.col("pieces") == 1).select(parcel_id, "geom_area", "zone_name", "area")
-            .unionByName(dissolved))
-    capped = F.least(F.col("area"), F.col("geom_area"))
-    return (area.select(parcel_id, F.col("zone_name").alias("zone"), geo.bround(capped, 1).alias("area_m2"),
-                        geo.bround(F.least(capped / F.col("geom_area") * 100, F.lit(100.0)), 1).alias("share_pct"))
-            .filter(F.col("share_pct") >= 1.0))
+    pieces = _pieces(parcels, zones, parcel_id, ("zone_name",), size)
+    group = pieces.groupBy(parcel_id, "geom_area", "zone_name").agg(
+        (F.min("feature_id") != F.max("feature_id")).alias("several"), F.sum("area").alias("area"),
+        F.first("pw").alias("pw"), F.collect_list("walls").alias("pieces"))
+    covered = F.expr(f"CASE WHEN several THEN {geo.union_area('pw', 'pieces')} ELSE area END")
+    area = group.select(parcel_id, "geom_area", "zone_name", F.least(covered, F.col("geom_area")).alias("area"))
+    share = area.select(parcel_id, F.col("zone_name").alias("zone"), F.explode(F.array(F.struct(
+        geo.bround("area", 1).alias("area_m2"),
+        geo.bround(F.least(F.col("area") / F.col("geom_area") * 100, F.lit(100.0)), 1).alias("share_pct")))).alias("s"))
+    return share.select(parcel_id, "zone", "s.area_m2", "s.share_pct").filter(F.col("share_pct") >= 1.0)
 
 
 def rescale_shares(shares: DataFrame, parcels: DataFrame, parcel_id: str = "pnu") -> DataFrame:
@@ -231,11 +180,13 @@ def adjacency(parcels: DataFrame, parcel_id: str = "pnu", tol: float = fv.CONTAC
     right = parcels.select(F.col(parcel_id).alias("n_id"), F.col("jimok").alias("n_jimok"), "edges",
                            "minx", "miny", "maxx", "maxy")
     pairs = grid.cell_join(left, right, size, pad=tol).filter(F.col(parcel_id) != F.col("n_id"))
-    lens = pairs.withColumn("edge_contacts", geo.contact_length(F.col("a_edges"), F.col("edges"), tol))
-    return (lens.withColumn("contact_raw", geo.total(F.col("edge_contacts")))
-            .filter(F.col("contact_raw") > 0)
-            .select(parcel_id, "n_id", "n_jimok", "edge_contacts",
-                    geo.bround("contact_raw", 1).alias("contact_length_m")))
+    # as a generator the contact is computed once; a filter on it would be pushed down and repeat it
+    contact = geo.let(lambda c: f"named_struct('edge_contacts', {c}, 'contact_raw', {geo.total(c)})",
+                      c=geo.contact_lengths("a_edges", "edges", tol))
+    touching = pairs.select(parcel_id, "n_id", "n_jimok", F.expr(
+        f"inline({geo.keep(f'array({contact})', lambda v: f'{v}.contact_raw > 0')})"))
+    return touching.select(parcel_id, "n_id", "n_jimok", "edge_contacts",
+                           geo.bround("contact_raw", 1).alias("contact_length_m"))
 
 
 def region_scan(parcels: DataFrame, zoning: DataFrame, parcel_id: str = "pnu",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import geometry as geo
@@ -58,18 +57,17 @@ class Inputs:
         return self.spark.createDataFrame(rows, schema)
 
     def parcels(self) -> DataFrame:
-        return grid.with_shape(self.view("fx_parcels"), geo.rectangle(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]))
+        return grid.with_shape(self.view("fx_parcels"), geo.rectangle("x0", "y0", "x1", "y1"))
 
     def zones(self) -> DataFrame:
-        return grid.with_shape(self.view("fx_zones"), geo.rectangle(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]))
+        return grid.with_shape(self.view("fx_zones"), geo.rectangle("x0", "y0", "x1", "y1"))
 
     def layer(self) -> DataFrame:
-        x0, y0, x1, y1, k = (F.col(c) for c in ("x0", "y0", "x1", "y1", "cut"))
         return grid.with_shape(self.view("fx_layer"),
-                               geo.polygon((x0, y0), (x1, y0), (x1, y1 - k), (x1 - k, y1), (x0, y1)))
+                               geo.polygon(("x0", "y0"), ("x1", "y0"), ("x1", "y1 - cut"), ("x1 - cut", "y1"), ("x0", "y1")))
 
     def planned_roads(self) -> DataFrame:
-        return grid.with_shape(self.view("fx_planned_roads"), geo.rectangle(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]))
+        return grid.with_shape(self.view("fx_planned_roads"), geo.rectangle("x0", "y0", "x1", "y1"))
 
     def registry(self) -> DataFrame:
         return self.rows(LAYER_REGISTRY, "layer_id string, title string, provider string, ready boolean, available boolean")

@@ -9,8 +9,6 @@ from ..functions import geometry as geo
 from ..operators import grid, spatial
 from .registry import REGISTRY_CTE, Inputs, query, sql
 
-RECT = "rect_overlap"
-
 # overlap of a parcel rectangle with a layer rectangle whose top right corner is cut at 45 degrees
 OVERLAP_CTE = """
 ov_box AS (SELECT p.pnu, p.id, p.geom_area, l.feature_id, l.layer_id, l.name, l.code, l.forest_type, l.species, l.updated_year,
@@ -97,7 +95,7 @@ def outer_rings(i: Inputs):
 @query("polygon_area", sql("fx_layer", """
 SELECT feature_id, (x1 - x0) * (y1 - y0) - cut * cut / 2 AS area_m2 FROM fx_layer"""))
 def polygon_area(i: Inputs):
-    return i.layer().select("feature_id", geo.area(F.col("rings")).alias("area_m2"))
+    return i.layer().select("feature_id", F.expr(geo.area("rings")).alias("area_m2"))
 
 
 @query("geodesic_area", sql("fx_parcels", """
@@ -108,8 +106,8 @@ SELECT id, round(6378137.0 * 6378137.0 / 2 * radians((x1 - x0) / 100000) * (
      - ln((1 - 0.08181919084262149 * sin(radians(37 + y0 / 100000))) / (1 + 0.08181919084262149 * sin(radians(37 + y0 / 100000)))) / (2 * 0.08181919084262149))), 1) AS area_m2
 FROM fx_parcels"""))
 def geodesic_area(i: Inputs):
-    ring = geo.rectangle(127 + F.col("x0") / 100000, 37 + F.col("y0") / 100000, 127 + F.col("x1") / 100000, 37 + F.col("y1") / 100000)
-    return i.view("fx_parcels").select("id", F.round(geo.geodesic_area(ring), 1).alias("area_m2"))
+    ring = geo.rectangle("127 + x0 / 100000", "37 + y0 / 100000", "127 + x1 / 100000", "37 + y1 / 100000")
+    return i.view("fx_parcels").select("id", F.round(F.expr(geo.geodesic_area(ring)), 1).alias("area_m2"))
 
 
 @query("locate_parcel", sql("fx_points fx_parcels", """

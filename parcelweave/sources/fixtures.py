@@ -264,6 +264,21 @@ SELECT event_id, CAST((event_id * 37) % 10300 AS DOUBLE) + 0.5 AS px,
 FROM {events}"""
 
 
+FIXTURES["fx_cases"] = f"""
+SELECT id, pnu, address, jurisdiction, jimok, building_use, geom_area,
+       {_case("id % 22", fv.STANDARD_ZONES + ["미지정지역"])} AS zone,
+       {_case("id % 7", ["", "농막", "움막", "축사", "호텔", "원룸 카페", "상가 점포"])} AS facility,
+       CAST(100 + id % 9 * 75 AS DOUBLE) AS far_target,
+       {_case("id % 5", ["", "surface", "underground", "mixed", "unspecified"])} AS parking_strategy
+FROM {{fx_parcels}}"""
+
+FIXTURES["fx_plan_sources"] = f"""
+SELECT n_nationkey AS source_no, '나라' || {_STR("n_nationkey % 23")} || {_case("(n_nationkey % 23) % 3", ["시", "군", "구"])} AS org,
+       '지구' || {_STR("n_nationkey")} AS plan_name, '마을' || {_STR("n_nationkey % 5 + 1")} || '|가축' AS terms,
+       n_nationkey % 2 = 0 AS needs_check
+FROM {{nation}} WHERE n_regionkey <> 2"""
+
+
 def dependencies(text: str) -> list[str]:
     return list(dict.fromkeys(f for _, f, _, _ in string.Formatter().parse(text) if f))
 
@@ -289,8 +304,19 @@ def with_clause(*names: str) -> str:
     return ",\n".join(parts)
 
 
+SMALL = ("region", "nation", "supplier", "benchmark", "labels")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A base table; one that arrives in too few splits is spread over the cores.
+
+    A large table already has more splits than cores and is read as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SMALL or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

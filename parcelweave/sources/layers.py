@@ -21,7 +21,7 @@ def rings_from_geojson(geometry: Column) -> Column:
     return (F.when(kind == "Polygon", F.transform(F.slice(poly, 1, 1), as_points))
             .when(kind == "MultiPolygon", F.transform(F.filter(multi, lambda p: F.size(p) > 0),
                                                       lambda p: as_points(p[0])))
-            .otherwise(F.array().cast(geo.RING_TYPE)))
+            .otherwise(F.array().cast("array<array<struct<x:double,y:double>>>")))
 
 
 def rings_from_wkt(text: Column) -> Column:
@@ -43,39 +43,30 @@ CRS = {
 }
 
 
-def project(rings: Column, src: str, dst: str) -> Column:
+def project(rings: str, src: str, dst: str) -> str:
     """Reproject lon/lat rings to a metric system with native arithmetic."""
     if src == dst:
         return rings
     if src != "EPSG:4326" or dst not in CRS:
         raise ValueError(f"no projection from {src} to {dst}")
+    return geo.each(rings, lambda r: geo.each(r, lambda p: geo.transverse_mercator(f"{p}.x", f"{p}.y", **CRS[dst])))
 
-    def to_xy(p):
-        x, y = geo.transverse_mercator(p["x"], p["y"], **CRS[dst])
-        return F.struct(x.alias("x"), y.alias("y"))
 
-    return F.transform(rings, lambda r: F.transform(r, to_xy))
-
-
-def clean_rings(rings: Column) -> Column:
+def clean_rings(rings: str) -> str:
     """Drop consecutive duplicate vertices and rings without area."""
     def dedupe(r):
-        n = F.size(r)
-        prev = F.concat(F.slice(r, -1, 1), F.slice(r, 1, F.greatest(n - 1, F.lit(0))))
-        pairs = F.zip_with(r, prev, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-        kept = F.filter(pairs, lambda s: (s["p"]["x"] != s["q"]["x"]) | (s["p"]["y"] != s["q"]["y"]))
-        return F.transform(kept, lambda s: s["p"])
+        prev = f"concat(slice({r}, -1, 1), slice({r}, 1, size({r}) - 1))"
+        pairs = f"zip_with({r}, {prev}, (p, q) -> named_struct('p', p, 'new', p.x <> q.x OR p.y <> q.y))"
+        return geo.each(geo.keep(pairs, lambda s: f"{s}.new"), lambda s: f"{s}.p")
 
-    cleaned = F.transform(F.filter(rings, lambda r: F.size(r) > 0), dedupe)
-    return F.filter(cleaned, lambda r: (F.size(r) >= 3) & (F.abs(geo.ring_area(r)) > 0))
+    cleaned = geo.each(geo.keep(rings, lambda r: f"size({r}) > 0"), dedupe)
+    return geo.keep(cleaned, lambda r: f"size({r}) >= 3 AND abs({geo.ring_area(r)}) > 0")
 
 
 def prepare_layer(raw: DataFrame, src_crs: str | None = None, dst_crs: str | None = None) -> DataFrame:
     """Repair, reproject and index raw features; empty geometry is dropped, all other columns stay."""
-    rings = clean_rings(F.col("rings"))
-    if src_crs and dst_crs:
-        rings = project(rings, src_crs, dst_crs)
-    return grid.with_shape(raw.withColumn("rings", rings).filter(F.size("rings") > 0))
+    clean = raw.withColumn("rings", F.expr(clean_rings("rings"))).filter(F.size("rings") > 0)
+    return grid.with_shape(clean, project("rings", src_crs, dst_crs) if src_crs and dst_crs else "rings")
 
 
 def write_layer(prepared: DataFrame, path: str, size: float) -> None:
