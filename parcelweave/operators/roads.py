@@ -34,17 +34,19 @@ def road_width(df: DataFrame) -> DataFrame:
 
 
 def road_access(parcels: DataFrame, adj: DataFrame, widths: DataFrame, parcel_id: str = "pnu",
-                unavailable: DataFrame | None = None) -> DataFrame:
+                unavailable: DataFrame | None = None, edges: bool = False) -> DataFrame:
     """Cadastral road contact of every parcel.
 
-    ``widths`` (n_id, width_m) covers road parcels.  Parcels listed in ``unavailable``
+    ``widths`` (n_id, width_m) covers road parcels.  With ``edges`` the per-edge road
+    contact is summed into ``road_len`` in the same pass (one entry per road neighbour).  Parcels listed in ``unavailable``
     could not be checked and are UNAVAILABLE, never "no road".
     """
     road = F.col("n_jimok").isin(*fv.ROAD_JIMOK)
     g = (adj.join(widths, "n_id", "left").groupBy(parcel_id).agg(
         F.sum(road.cast("bigint")).alias("roads"), F.max(F.when(road, F.col("contact_length_m"))).alias("road_contact_m"),
         F.max(F.when(road, F.coalesce("width_m", F.lit(0.0)))).alias("widest_m"),
-        F.sum((~road).cast("bigint")).alias("nonroads")))
+        F.sum((~road).cast("bigint")).alias("nonroads"),
+        *([F.collect_list(F.when(road, F.col("edge_contacts"))).alias("_ec")] if edges else [])))
     out = parcels.select(parcel_id).join(g, parcel_id, "left")
     out = (out.withColumn("_na", F.lit(False)) if unavailable is None else
            out.join(unavailable.select(parcel_id).distinct().withColumn("_na", F.lit(True)), parcel_id, "left"))
@@ -56,7 +58,9 @@ def road_access(parcels: DataFrame, adj: DataFrame, widths: DataFrame, parcel_id
                       F.when(~na, F.col("road_contact_m")).alias("road_contact_m"),
                       F.when(~na, widest).alias("widest_m"),
                       (~na & (widest > 0) & (widest < fv.ROAD_MIN_WIDTH_M)).alias("narrow_road"),
-                      F.when(na, 0).otherwise(F.coalesce("nonroads", F.lit(0))).alias("nonroads"))
+                      F.when(na, 0).otherwise(F.coalesce("nonroads", F.lit(0))).alias("nonroads"),
+                      *([F.expr("CASE WHEN size(_ec) > 0 THEN transform(_ec[0], (v, i) -> "
+                                "aggregate(_ec, 0D, (s, c) -> s + c[i])) END").alias("road_len")] if edges else []))
 
 
 def nonroad_neighbours(adj: DataFrame, parcel_id: str = "pnu") -> DataFrame:

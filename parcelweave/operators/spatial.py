@@ -127,6 +127,40 @@ def inspect_layers(parcels: DataFrame, overlaps: DataFrame, registry: DataFrame,
                     F.when(usable, F.coalesce("n_overlaps", F.lit(0))).otherwise(0).alias("n_overlaps")))
 
 
+def wide_layer_summary(parcels: DataFrame, overlaps: DataFrame, registry: list[tuple], parcel_id: str = "pnu") -> DataFrame:
+    """One row per parcel with the statuses after sliver removal and the leading overlaps.
+
+    Same rules as :func:`inspect_layers` and :func:`compact_layers`, in one aggregate of
+    the overlaps instead of one row per parcel and layer.  ``registry`` is the layer
+    configuration: (layer_id, title, provider, ready, available).
+    """
+    config = {r[0]: r for r in registry}
+
+    def missing(layer):
+        if layer not in config or not config[layer][3]:
+            return "NOT_CONFIGURED"
+        return None if config[layer][4] else "UNAVAILABLE"
+
+    top = lambda layer: F.min(F.when(F.col("layer_id") == layer, F.struct((-F.col("area_m2")).alias("a"), "feature_id", "code", "name")))
+    used = [layer for layer in config if missing(layer) is None]
+    g = (effective(overlaps).filter(F.col("layer_id").isin(*used)).groupBy(parcel_id)
+         .agg(*[top(layer).alias(f"top_{layer}") for layer in config]))
+    j = parcels.select(parcel_id).join(g, parcel_id, "left")
+
+    def status(layer):
+        gap = missing(layer)
+        if gap:
+            return F.lit(gap)
+        return F.when(F.col(f"top_{layer}").isNotNull(), "OVERLAP").otherwise("CLEAR")
+
+    has = lambda layer: F.col(f"top_{layer}").isNotNull() if layer in config else F.lit(False)
+    return j.select(
+        parcel_id, status("agricultural_promotion").alias("agriculture_status"), status("forest_class").alias("forest_status"),
+        F.col("top_forest_class.code").alias("forest_code"), F.col("top_forest_class.name").alias("forest_name"),
+        has("forest_inventory").alias("has_inventory"), status("disaster_risk_zone").alias("disaster_status"),
+        status("ecological_nature").alias("eco_status"), status("ecological_separate_management").alias("separate_status"))
+
+
 def effective(overlaps: DataFrame) -> DataFrame:
     """Overlaps that count: rounded share above zero and area unknown or above zero."""
     return overlaps.filter((F.col("share_pct") > 0) & (F.col("area_m2").isNull() | (F.col("area_m2") > 0)))

@@ -304,7 +304,7 @@ SELECT r.pnu, r.outlet_id, round_even(r.d, 1) AS length_m, coalesce(g.crossed, 0
 FROM route r LEFT JOIN (SELECT c.pnu, count(*) AS crossed, bool_or(coalesce(rk > 3 OR o.ownership <> '국공유', true)) AS crosses_private,
    count(*) FILTER (rk <= 3 AND c.hit_no IN (SELECT id FROM fx_buildings)) AS built, max(cross_length_m) AS longest
   FROM (SELECT *, row_number() OVER (PARTITION BY pnu ORDER BY cross_length_m DESC, hit_id) AS rk FROM crossed) c
-  LEFT JOIN (SELECT id, arg_min(coalesce(ownership, ''), seq) AS ownership FROM own GROUP BY id) o ON o.id = c.hit_no GROUP BY c.pnu) g ON g.pnu = r.pnu""",
+  LEFT JOIN (SELECT id, coalesce(ownership, '') AS ownership FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq, coalesce(ownership, '')) AS rn FROM own) u WHERE rn = 1) o ON o.id = c.hit_no GROUP BY c.pnu) g ON g.pnu = r.pnu""",
     CROSS_CTE + ", " + OWNER_SQL))
 def encroachment(i: Inputs):
     from ..operators import payloads

@@ -272,6 +272,17 @@ SELECT id, pnu, address, jurisdiction, jimok, building_use, geom_area,
        {_case("id % 5", ["", "surface", "underground", "mixed", "unspecified"])} AS parking_strategy
 FROM {{fx_parcels}}"""
 
+FIXTURES["fx_region_requests"] = f"""
+SELECT nationkey AS request_id, CAST(CASE WHEN nationkey % 3 = 2 AND nationkey % 2 = 0 THEN 2 ELSE nationkey % 2 END AS BIGINT) AS kind,
+       substring(jurisdiction, position(' ' IN jurisdiction) + 1) AS county,
+       substring(jurisdiction, 1, position(' ' IN jurisdiction) - 1) AS sido,
+       CASE WHEN nationkey % 3 = 2 AND nationkey % 2 = 0 THEN '한국 나라' WHEN nationkey % 2 = 0 THEN jurisdiction
+            ELSE jurisdiction || ' 마을1리' END AS region,
+       jurisdiction || ' 마을900리' AS broad_region,
+       {_case("nationkey % 4", ["", "농막", "움막", "공장"])} AS building_use,
+       {_case("nationkey % 3", ["창고 지을 땅", "텃밭 추천", "산지전용 가능한 임야"])} AS query
+FROM {{fx_jurisdictions}}"""
+
 FIXTURES["fx_plan_sources"] = f"""
 SELECT n_nationkey AS source_no, '나라' || {_STR("n_nationkey % 23")} || {_case("(n_nationkey % 23) % 3", ["시", "군", "구"])} AS org,
        '지구' || {_STR("n_nationkey")} AS plan_name, '마을' || {_STR("n_nationkey % 5 + 1")} || '|가축' AS terms,
