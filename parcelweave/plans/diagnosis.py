@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..operators import envelope, keys, measures, roads, rules, spatial, verdict
+from .stages import stage
 
 
 @dataclass
@@ -33,6 +34,11 @@ class Tables:
     planned_roads: DataFrame
 
 
+def staged(t: Tables) -> Tables:
+    """Tables with the parcel geometry computed once and stored, since every branch reads it."""
+    return replace(t, parcels=stage(t.parcels, "parcels"))
+
+
 def _shape(parcels: DataFrame) -> DataFrame:
     return parcels.select("pnu", "rings", "edges", "walls", "minx", "miny", "maxx", "maxy")
 
@@ -50,13 +56,14 @@ def situation(t: Tables) -> DataFrame:
     hits = (spatial.points_in(points, t.zones.select("feature_id", "zone_name", "layer_no", "rings", "edges", "walls",
                                                      "minx", "miny", "maxx", "maxy"), spatial.LAYER_CELL))
     is_zone = F.col("zone_name").endswith("지역")
-    named = hits.groupBy("id", F.col("zone_name").alias("name"), is_zone.alias("is_zone")).agg(
-        F.min("layer_no").alias("pos"), F.min(F.struct("layer_no", "feature_id")).alias("at"))
+    named = stage(hits.groupBy("id", F.col("zone_name").alias("name"), is_zone.alias("is_zone")).agg(
+        F.min("layer_no").alias("pos"), F.min(F.struct("layer_no", "feature_id")).alias("at")), "point_zones")
     point_zone = named.filter("is_zone").groupBy("id").agg(F.min(F.struct("at", "name"))["name"].alias("point_zone"))
     dist = (keys.districts(t.designations, named.filter("NOT is_zone"))
             .groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda s: s["name"]).alias("districts")))
 
-    shares = spatial.rescale_shares(spatial.zone_shares(par, t.zones), base.select("pnu", "area_m2", "geom_area"))
+    base = stage(base, "base")
+    shares = stage(spatial.rescale_shares(spatial.zone_shares(par, t.zones), base.select("pnu", "area_m2", "geom_area")), "shares")
     limits = keys.resolve_limits(shares.join(base.select("pnu", "jurisdiction"), "pnu"), t.statutory, t.ordinance)
     weighted = measures.weighted_limits(limits)
     top = shares.groupBy("pnu").agg(F.min(F.struct((-F.col("area_m2")).alias("a"), "zone"))["zone"].alias("share_zone"))
@@ -75,18 +82,19 @@ def situation(t: Tables) -> DataFrame:
 def judged(t: Tables) -> DataFrame:
     """Situation plus conversion, road, screening and the final verdict."""
     par = t.parcels
-    s = rules.min_lot(rules.facility_verdict(rules.classify_jimok(situation(t))))
+    s = rules.min_lot(rules.facility_verdict(rules.classify_jimok(stage(situation(t), "situation"))))
     s = s.withColumn("facility_text", F.when(F.coalesce("facility", F.lit("")) != "", F.col("facility")).otherwise(F.col("building_use")))
     s = rules.constraints(s).withColumn("n_constraints", F.size("constraints"))
     s = rules.use_verdict(s, rules.use_matrix(par.sparkSession))
     s = s.withColumn("placement_restricted", F.col("below_min_lot") | F.col("has_buildings"))
 
-    ov = spatial.overlay(par, t.layer)
+    ov = stage(spatial.overlay(par, t.layer), "overlaps")
     summary = spatial.wide_layer_summary(par, ov, t.registry)
     adj = spatial.adjacency(par)
     widths = roads.road_width(par.filter(F.col("jimok").isin(*fv.ROAD_JIMOK)).select("pnu", "rings")) \
         .select(F.col("pnu").alias("n_id"), "width_m")
     access = roads.road_access(par, adj, widths, edges=True)
+    access = stage(access, "access")
     access = roads.planned_roads(access, par, t.planned_roads, t.designations.join(par.select("id", "pnu"), "id"))
 
     s = s.join(summary, "pnu", "left").join(access, "pnu", "left")
@@ -98,7 +106,8 @@ def judged(t: Tables) -> DataFrame:
 
 def diagnose(t: Tables) -> DataFrame:
     """Verdict, size, charges and number of permit steps of every parcel."""
-    j = judged(t)
+    t = staged(t)
+    j = stage(judged(t), "judged")
     steps = verdict.permit_steps(j)
     buildable = F.col("verdict").isin("allowed", "conditional") & (F.coalesce("bcr_max_pct", F.lit(0.0)) > 0)
     j = steps.withColumns({"permit_step_count": F.size("steps"), "buildable": buildable}).drop("steps", "emitted", "authority")

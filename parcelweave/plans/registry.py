@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import fixed_values as fv
 from ..functions import geometry as geo
 from ..operators import grid
-from ..sources.fixtures import view, with_clause
+from ..sources.fixtures import cached_plan, view, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,18 +56,20 @@ class Inputs:
         """A rule table whose size is fixed in the code."""
         return self.spark.createDataFrame(rows, schema)
 
+    def _shaped(self, name: str, rings: str) -> DataFrame:
+        return cached_plan(self.spark, (self.sf_dir, "shape", name), lambda: grid.with_shape(self.view(name), rings))
+
     def parcels(self) -> DataFrame:
-        return grid.with_shape(self.view("fx_parcels"), geo.rectangle("x0", "y0", "x1", "y1"))
+        return self._shaped("fx_parcels", geo.rectangle("x0", "y0", "x1", "y1"))
 
     def zones(self) -> DataFrame:
-        return grid.with_shape(self.view("fx_zones"), geo.rectangle("x0", "y0", "x1", "y1"))
+        return self._shaped("fx_zones", geo.rectangle("x0", "y0", "x1", "y1"))
 
     def layer(self) -> DataFrame:
-        return grid.with_shape(self.view("fx_layer"),
-                               geo.polygon(("x0", "y0"), ("x1", "y0"), ("x1", "y1 - cut"), ("x1 - cut", "y1"), ("x0", "y1")))
+        return self._shaped("fx_layer", geo.polygon(("x0", "y0"), ("x1", "y0"), ("x1", "y1 - cut"), ("x1 - cut", "y1"), ("x0", "y1")))
 
     def planned_roads(self) -> DataFrame:
-        return grid.with_shape(self.view("fx_planned_roads"), geo.rectangle("x0", "y0", "x1", "y1"))
+        return self._shaped("fx_planned_roads", geo.rectangle("x0", "y0", "x1", "y1"))
 
     def registry(self) -> DataFrame:
         return self.rows(LAYER_REGISTRY, "layer_id string, title string, provider string, ready boolean, available boolean")

@@ -330,9 +330,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores)
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def cached_plan(spark: SparkSession, key: tuple, make) -> DataFrame:
+    """Analyse a lazy plan once per session and reuse it (no data is held)."""
+    full = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), *key)
+    if full not in _PLANS:
+        _PLANS[full] = make()
+    return _PLANS[full]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view ``name`` (or a base table) as a lazy DataFrame."""
-    if name in TABLES:
-        return table(spark, sf_dir, name)
-    text = FIXTURES[name]
-    return spark.sql(text, **{d: view(spark, sf_dir, d) for d in dependencies(text)})
+    def make() -> DataFrame:
+        if name in TABLES:
+            return table(spark, sf_dir, name)
+        text = FIXTURES[name]
+        return spark.sql(text, **{d: view(spark, sf_dir, d) for d in dependencies(text)})
+    return cached_plan(spark, (sf_dir, name), make)
