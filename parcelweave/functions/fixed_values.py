@@ -382,3 +382,49 @@ CHUNK_CHARS = 1200
 PASSAGE_CHARS = 1500
 SNIPPET_CHARS = 280
 NATIONAL = "전국"
+
+SETBACK_PASSAGE = "대지.{0,6}공지|인접.{0,4}대지경계|건축선.{0,6}후퇴|이격|공지.{0,4}기준"
+LAW_KEYWORDS = (
+    "토지|대지|필지|개발행위|건축|용도지역|용도지구|용도구역|건폐율|용적률|농지|산지|전용|도로|접도|"
+    "건축선|주차|재해|환경|생태|상수원|수질|공원|습지|국가유산|매장유산|허가|신고|협의|심의|부담금|복구|준공"
+)
+USE_KEYWORDS = [
+    ("창고", "창고시설"), ("물류", "창고시설"), ("공장", "공장"), ("아파트", "공동주택"),
+    ("빌라", "공동주택"), ("원룸", "단독주택"), ("다가구", "단독주택"), ("주택", "단독주택"),
+    ("집", "단독주택"), ("사무", "업무시설"), ("빌딩", "업무시설"), ("오피스", "업무시설"),
+    ("상업시설", "판매시설"), ("상업", "판매시설"), ("학교", "교육연구시설"),
+    ("교육연구시설", "교육연구시설"), ("상가", "제1종근린생활시설"),
+    ("근린생활", "제1종근린생활시설"), ("마트", "판매시설"), ("판매", "판매시설"),
+    ("호텔", "숙박시설"), ("펜션", "숙박시설"), ("모텔", "숙박시설"),
+]
+FEASIBLE_SUBJECTS = ["건물", "건축", "신축", "시설", "주택", "집", "개발", "건축허가", "허가"]
+FEASIBLE_ACTION = "지을|짓|지어|세울|세워|올릴|올려|들어갈|신축"
+FEASIBLE_WORDING = (
+    "가능|지을|짓|지어|지어도|세울|세워|올릴|올려도|들어갈|들어오|입지|신축|개발할|개발해도|"
+    "할수있|될수있|날수있|허가나|허가날|해도돼|해도되|돼|되나|되니|될까|되는지|허용|가능여부|검토"
+)
+SPECIAL_OBJECT = "([가-힣A-Za-z0-9]{2,12})\\s*(?:을|를)?\\s*(?:지을|지어|짓|설치|세우|세울|올릴|올려|들일|들여)"
+GENERIC_OBJECTS = ["건물", "건축물", "시설물", "여기", "거기", "이곳", "그곳", "무엇", "무얼", "개발", "허가", "이곳에"]
+COORDINATES = "경도\\s*(-?\\d+(?:\\.\\d+)?)[^\\d-]+위도\\s*(-?\\d+(?:\\.\\d+)?)"
+PARCEL_ADDRESS = ("((?:[가-힣0-9]+(?:특별시|광역시|특별자치시|특별자치도|도|시|군|구|읍|면|동|리)\\s+)+"
+                  "(?:산\\s*)?\\d+(?:-\\d+)?)")
+PARCEL_ADDRESS_TEST = "(?:읍|면|동|리)\\s+(?:산\\s*)?\\d+(?:-\\d+)?(?:\\D|$)"
+LAW_NAME = "([가-힣·\\s]+?(?:법률|법|시행령|시행규칙))(?=\\s*제?\\d|\\s*(?:및|,|·|$))"
+SAME_LAW = "(?:및|,|·)?\\s*같은\\s+법\\s+(?:시행령|시행규칙)"
+LOT_MENTION = "(?:([가-힣]{1,12}(?:동|리|가))\\s*)?(산\\s*)?(\\d{1,4})(?:\\s*[-－]\\s*(\\d{1,4}))?"
+
+# appendix tables: text in a cell -> building use, in test order
+GRID_USES = [
+    ("공동주택", "공동주택"), ("아파트", "공동주택"), ("연립주택", "공동주택"), ("다세대", "공동주택"),
+    ("단독주택", "단독주택"), ("전용주거지역에서 건축", "단독주택"), ("공장", "공장"),
+    ("창고", "창고시설"), ("판매시설", "판매시설"), ("숙박시설", "숙박시설"),
+    ("제1종근린생활시설", "제1종근린생활시설"), ("제2종근린생활시설", "제2종근린생활시설"),
+    ("근린생활시설", "제2종근린생활시설"), ("업무시설", "업무시설"), ("의료시설", "의료시설"),
+    ("교육연구시설", "교육연구시설"), ("위락시설", "위락시설"),
+]
+GRID_DISTANCE = "(\\d+(?:\\.\\d+)?)\\s*(?:미터|m|M)(?![A-Za-z0-9])"
+GRID_GROSS = "(\\d[\\d,]*)\\s*(?:제곱미터|㎡|m2|평방미터)"
+GRID_SUB_GROSS = "(\\d[\\d,]*)\\s*(?:제곱미터|㎡)\\s*(미만|이상)"
+MAX_GRID_DISTANCE_M = 12
+SPECIAL_ECOLOGY_FIELDS = ["산림보호", "국립공원", "도립공원", "군립공원", "천연기념물", "야생동식물",
+                          "수산자원", "습지보호", "백두대간", "생태경관", "비고"]

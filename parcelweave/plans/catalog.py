@@ -1,4 +1,4 @@
 """All registered queries; importing the query modules fills the registry."""
 
-from . import measure_queries, rule_queries, spatial_queries, verdict_queries  # noqa: F401
+from . import measure_queries, rule_queries, spatial_queries, text_queries, verdict_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
