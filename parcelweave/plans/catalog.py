@@ -1,4 +1,11 @@
 """All registered queries; importing the query modules fills the registry."""
 
-from . import measure_queries, rule_queries, spatial_queries, text_queries, verdict_queries  # noqa: F401
+from . import (  # noqa: F401
+    measure_queries,
+    rule_queries,
+    shape_queries,
+    spatial_queries,
+    text_queries,
+    verdict_queries,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401
