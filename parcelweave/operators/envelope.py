@@ -89,7 +89,7 @@ def constrained_massing(df: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Building size under setbacks and surface parking, all rows at once.
 
     The north setback depends on the height and the height on the remaining area, so a
-    bounded number of rounds is unrolled; rows that settled keep their values.  Needs the
+    bounded number of rounds runs inside each row; rows that settled keep their values.  Needs the
     envelope inputs plus building_area_m2, gross_floor_area_m2, floors, mass_height_m,
     zone, setback_status, applied_surface_m2.
     """
@@ -99,22 +99,23 @@ def constrained_massing(df: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                          "north_daylight": F.col("zone").isin(*fv.NORTH_DAYLIGHT_ZONES),
                          "north_m": F.lit(0.0)})
     df = setback_envelope(df).withColumnRenamed("envelope_area_m2", "_env0")
-    df = df.withColumns({"_h": F.col("mass_height_m"), "_done": F.lit(False), "_n": F.lit(0.0), "_adj": F.col("building_area_m2")})
-    with_north = _setback_edges("_north", lambda e, i: "_nn")
-    for _ in range(rounds):
-        df = df.withColumn("_nn", F.when(F.col("_done"), F.col("_n")).when(
-            ~F.col("north_daylight"), 0.0).when(F.col("_h") <= 10, 1.5).otherwise(F.col("_h") / 2))
-        env = (f"CASE WHEN _done THEN 0D WHEN _nn = 0 THEN _env0 WHEN convex THEN {geo.ring_area_abs(geo.inset('_base', with_north))} "
-               f"ELSE {_lattice_area(['_bands', with_north])} END")
-        df = df.withColumn("_env", F.expr(env))
-        limit = F.greatest(F.lit(0.0), F.col("ring_area") - F.col("applied_surface_m2"))
-        df = df.withColumn("_a", F.when(F.col("_done"), F.col("_adj")).otherwise(F.least("building_area_m2", "_env", limit)))
-        raw = F.when(F.col("_a") > 0, F.greatest(F.lit(1), F.ceil(F.col("gross_floor_area_m2") / F.col("_a") - 1e-9))).otherwise(0)
-        df = df.withColumn("_nh", F.when(F.col("_done"), F.col("_h")).otherwise(
-            F.when(F.col("floors") > 0, F.least(raw, F.col("floors"))).otherwise(0) * fv.FLOOR_HEIGHT_M))
-        df = df.select(*[c for c in df.columns if c not in ("_h", "_done", "_n", "_adj", "_nn", "_env", "_a", "_nh")],
-                       F.col("_nh").alias("_h"), (F.col("_done") | (F.abs(F.col("_nh") - F.col("_h")) < 0.1)).alias("_done"),
-                       F.col("_nn").alias("_n"), F.col("_a").alias("_adj"))
+
+    def advance(s):
+        def sized(nn):
+            north = _setback_edges("_north", lambda e, i: nn)
+            env = (f"CASE WHEN {nn} = 0 THEN _env0 WHEN convex THEN {geo.ring_area_abs(geo.inset('_base', north))} "
+                   f"ELSE {_lattice_area(['_bands', north])} END")
+            return geo.let(lambda a: geo.let(
+                lambda nh: f"named_struct('h', {nh}, 'done', abs({nh} - {s}.h) < 0.1D, 'n', {nn}, 'adj', {a})",
+                nh=f"double(CASE WHEN floors > 0 THEN least(CASE WHEN {a} > 0 THEN greatest(1, ceil(gross_floor_area_m2 / {a} - 1e-9D)) "
+                   f"ELSE 0 END, floors) ELSE 0 END) * {fv.FLOOR_HEIGHT_M}D"),
+                a=f"least(building_area_m2, {env}, greatest(0D, ring_area - applied_surface_m2))")
+        return geo.let(sized, nn=f"CASE WHEN NOT north_daylight THEN 0D WHEN {s}.h <= 10 THEN 1.5D ELSE {s}.h / 2 END")
+
+    # one fold with a bounded number of rounds; settled rows pass their state through
+    fold = (f"aggregate(sequence(1, {rounds}), named_struct('h', mass_height_m, 'done', false, 'n', 0D, 'adj', building_area_m2), "
+            f"(s, k) -> CASE WHEN s.done THEN s ELSE {advance('s')} END)")
+    df = df.withColumn("_s", F.expr(fold)).withColumns({"_n": F.col("_s.n"), "_adj": F.col("_s.adj")}).drop("_s")
     ok = F.col("_adj") >= fv.MIN_FOOTPRINT_M2
     df = df.withColumns({"layout_feasible": ok, "_adj": F.when(ok, F.col("_adj")).otherwise(0.0)})
     df = df.withColumn("_gfa", F.when(F.col("floors") > 0, F.least(F.col("gross_floor_area_m2"), F.col("_adj") * F.col("floors"))).otherwise(0.0))
@@ -127,7 +128,7 @@ def constrained_massing(df: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         "reduction_pct": F.when(density > 0, geo.bround((1 - F.col("_adj") / density) * 100, 1)).otherwise(0.0),
         "north_setback_m": geo.bround("_n", 1), "achievable_gfa_m2": geo.bround("_gfa", 2),
         "final_height_m": F.when(F.col("final_floors") > 0, geo.bround(F.col("final_floors") * fv.FLOOR_HEIGHT_M, 1)).otherwise(0.0),
-    }).drop("_h", "_done", "_n", "_adj", "_gfa", "_fl", "_bands", "_north", "_base", "_env0", "_ring")
+    }).drop("_n", "_adj", "_gfa", "_fl", "_bands", "_north", "_base", "_env0", "_ring")
 
 
 def inset_for_area(df: DataFrame, ratio: str = "ratio", steps: int = 48) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..session import checkpoint_dir
 
@@ -33,7 +34,8 @@ def run_available(df: DataFrame, name: str, mode: str = "append", path: str | No
     q = (df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
          .foreachBatch(write).start())
     q.awaitTermination()
-    return spark.read.schema(df.schema.add("batch", "int")).parquet(f"{root}/data").drop("batch")
+    schema = StructType([*df.schema.fields, StructField("batch", IntegerType())])
+    return spark.read.schema(schema).parquet(f"{root}/data").drop("batch")
 
 
 def diagnose_stream(requests: DataFrame, diagnosed: DataFrame, key: str = "pnu") -> DataFrame:
@@ -53,9 +55,6 @@ SESSION_OUTPUT = "session long, active string, last_intent string, restored long
 
 def _session_update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Folds a session's events in time order into the active parcel and per-parcel context."""
-    if state.hasTimedOut:
-        state.remove()
-        return
     active, intent, parcels, events = state.get if state.exists else ("", "", "{}", 0)
     context, restored = json.loads(parcels), 0
     rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
@@ -65,18 +64,27 @@ def _session_update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterat
         context[parcel] = what
         active, intent, events = parcel, what, events + 1
     state.update((active, intent, json.dumps(context), int(events)))
-    state.setTimeoutDuration(30 * 60 * 1000)
     yield pd.DataFrame([{"session": key[0], "active": active, "last_intent": intent, "restored": restored,
                          "parcels": len(context), "events": events}])
 
 
-def session_state(stream: DataFrame) -> DataFrame:
+def _expiring_update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    yield from _session_update(key, frames, state)
+    state.setTimeoutDuration(30 * 60 * 1000)
+
+
+def session_state(stream: DataFrame, idle: bool = False) -> DataFrame:
     """Per-session state: active parcel, last intent, parcels seen, returns to a known parcel.
 
-    ``stream`` holds session, event_id, ts, parcel, intent.
+    ``stream`` holds session, event_id, ts, parcel, intent.  With ``idle`` a session that
+    stays silent for half an hour is forgotten (for streams that run on).
     """
+    update = _expiring_update if idle else _session_update
     return stream.groupBy("session").applyInPandasWithState(
-        _session_update, SESSION_OUTPUT, SESSION_STATE, "append", "ProcessingTimeTimeout")
+        update, SESSION_OUTPUT, SESSION_STATE, "append", "ProcessingTimeTimeout" if idle else "NoTimeout")
 
 
 def latency(timings: DataFrame, window: str = "1 hour", late: str = "10 minutes", time: str = "ts") -> DataFrame:
