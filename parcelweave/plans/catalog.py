@@ -1,6 +1,7 @@
 """All registered queries; importing the query modules fills the registry."""
 
 from . import (  # noqa: F401
+    diagnosis_queries,
     measure_queries,
     rule_queries,
     shape_queries,

@@ -328,23 +328,3 @@ def tables(i: Inputs) -> diagnosis.Tables:
         ordinance=i.view("fx_ordinance"), setback_rules=i.view("fx_setback_rules"), planned_roads=i.planned_roads())
 
 
-@query("diagnosis")
-def diagnosis_query(i: Inputs):
-    return diagnosis.diagnose(tables(i))
-
-
-@query("permit_steps")
-def permit_steps(i: Inputs):
-    j = verdict.permit_steps(diagnosis.judged(diagnosis.staged(tables(i))))
-    return j.select("pnu", F.inline("steps")).withColumns({"legal_refs": F.array_join("legal_refs", ","), "depends_on": F.array_join("depends_on", ",")})
-
-
-@query("permit_edges")
-def permit_edges(i: Inputs):
-    return verdict.permit_edges(verdict.permit_steps(diagnosis.judged(diagnosis.staged(tables(i)))))
-
-
-@query("permit_trace")
-def permit_trace(i: Inputs):
-    return verdict.permit_trace(verdict.permit_steps(diagnosis.judged(diagnosis.staged(tables(i))))).groupBy("rule_id").agg(
-        F.sum("emitted").alias("emitted"), F.sum(F.col("matched").cast("bigint")).alias("matched"))
