@@ -32,14 +32,16 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long")
 
 
-def steps(batches, column: str):
-    """Slices of record batches with at most STEP_BYTES of text each, or one row."""
+def steps(batches, column: str, most: int = STEP_BYTES):
+    """Slices of record batches with at most ``most`` bytes of text each, or one row."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         text = batch.column(batch.schema.get_field_index(column))
         ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(text), 0), dtype=np.int64))
         at = 0
         while at < batch.num_rows:
-            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP_BYTES, "right"))
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
             stop = max(stop, at + 1)
             yield batch.slice(at, stop - at)
             at = stop

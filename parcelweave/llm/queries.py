@@ -6,15 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, mixing, secret_scan, token_counts, url_filter
+import string
+
+from . import embedding_dedup, fingerprints, language_id, mixing, ngram_join, packing, secret_scan, suffix_dedup, token_counts, url_filter
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": lambda spark, d: url_filter.judge(read(spark, d, "pages")),
     "op2_document_fingerprints": lambda spark, d: fingerprints.fingerprints(read(spark, d, "documents")),
+    "op3_ngram_join": lambda spark, d: ngram_join.join(read(spark, d, "documents")),
     "op4_secret_scans": lambda spark, d: secret_scan.scan(read(spark, d, "documents")),
     "op5_source_mixing": lambda spark, d: mixing.mix(read(spark, d, "documents")).drop("source"),
+    "op6_suffix_dedup": lambda spark, d: suffix_dedup.remove(read(spark, d, "documents")),
     "op7_token_counts": lambda spark, d: token_counts.count(read(spark, d, "documents")),
     "op8_language_id": lambda spark, d: language_id.predict(read(spark, d, "documents")),
+    "op9_retrieval_packing": lambda spark, d: packing.pack(read(spark, d, "documents")),
+    "op10_embedding_dedup": lambda spark, d: embedding_dedup.link(read(spark, d, "embeddings")),
+}
+WORDS = r"[^\x20\x09-\x0D]+"
+LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
+
+ORACLES: dict[str, str] = {
+    "op3_ngram_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '{WORDS}') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS sh FROM w, unnest(range(1, len(w) - 3)) AS t(i)
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4) x),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS MATERIALIZED (SELECT p.a, p.b FROM (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2) p
+    JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id""",
+    "op10_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+good AS MATERIALIZED (SELECT * FROM v WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0),
+link AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+many AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(many.n, 0) AS n_links, low.component_id, e.vec_id = low.component_id AS kept
+FROM embeddings e JOIN low ON low.a = e.vec_id LEFT JOIN many ON many.a = e.vec_id""",
 }
-ORACLES: dict[str, str] = {}
