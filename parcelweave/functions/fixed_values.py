@@ -411,6 +411,7 @@ PARCEL_ADDRESS = ("((?:[가-힣0-9]+(?:특별시|광역시|특별자치시|특
 PARCEL_ADDRESS_TEST = "(?:읍|면|동|리)\\s+(?:산\\s*)?\\d+(?:-\\d+)?(?:\\D|$)"
 LAW_NAME = "([가-힣·\\s]+?(?:법률|법|시행령|시행규칙))(?=\\s*제?\\d|\\s*(?:및|,|·|$))"
 SAME_LAW = "(?:및|,|·)?\\s*같은\\s+법\\s+(?:시행령|시행규칙)"
+ARTICLE_HEADING = r"^\s*제\d+조(?:의\d+)?\s*\([^)]*\)"
 LOT_MENTION = "(?:([가-힣]{1,12}(?:동|리|가))\\s*)?(산\\s*)?(\\d{1,4})(?:\\s*[-－]\\s*(\\d{1,4}))?"
 
 # appendix tables: text in a cell -> building use, in test order

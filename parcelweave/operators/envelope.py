@@ -209,13 +209,13 @@ def divide_and_recompute(pieces: DataFrame, statutory: DataFrame, ordinance: Dat
     return measures.development_charge(measures.conversion_charge(sized))
 
 
-def evaluate_uses(parcels: DataFrame, matrix: DataFrame, setback_rules: DataFrame, uses: DataFrame) -> DataFrame:
+def evaluate_uses(parcels: DataFrame, matrix: DataFrame, setback_rules: DataFrame, uses: list[str]) -> DataFrame:
     """Verdict and setbacks of every supported use on every parcel.
 
     Where a rule needs the subtype, its provisional preview distances are shown and
     marked.  ``uses`` is the fixed list of uses, so rows grow by that factor only.
     """
-    all_uses = parcels.drop("building_use").join(uses, F.lit(True))
+    all_uses = parcels.drop("building_use").withColumn("building_use", F.explode(F.array(*map(F.lit, uses))))
     judged = rules.setbacks(rules.use_verdict(all_uses, matrix), setback_rules)
     preview = F.col("setback_status") == "NEEDS_SUBTYPE"
     return judged.withColumns({

@@ -117,8 +117,7 @@ def build_aliases(jurisdictions: DataFrame) -> DataFrame:
     return rows.select("jurisdiction", F.inline("a"))
 
 
-def detect_jurisdiction(df: DataFrame, aliases: DataFrame, separate: DataFrame, key: str = "id",
-                        max_alias: int = 24) -> DataFrame:
+def detect_jurisdiction(df: DataFrame, aliases: DataFrame, separate: DataFrame, key: str = "id") -> DataFrame:
     """Jurisdiction of each address: manual aliases first, then generated, longest first.
 
     ``aliases`` holds (alias, jurisdiction, priority) with priority 0 = manual.  The
@@ -132,11 +131,11 @@ def detect_jurisdiction(df: DataFrame, aliases: DataFrame, separate: DataFrame,
     named = text.withColumn("_n", F.regexp_replace("_t", r"(산)?[0-9-]+$", ""))
     distinct = named.select("_n").distinct()
     n = F.length("_n")
+    ali = aliases.select(F.regexp_replace("alias", r"\s+", "").alias("alias"), "jurisdiction", "priority").filter("alias <> ''")
+    lengths = [r[0] for r in ali.select(F.length("alias")).distinct().collect()]  # as many as aliases have lengths
     subs = F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(2), F.greatest(F.least(n, F.lit(max_alias)), F.lit(2))),
-        lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))),
-                              lambda at: F.substring(F.col("_n"), at, k)))))
-    ali = aliases.select(F.regexp_replace("alias", r"\s+", "").alias("alias"), "jurisdiction", "priority")
+        F.filter(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"), lambda k: k <= n),
+        lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda at: F.substring(F.col("_n"), at, k)))))
     hit = (distinct.withColumn("alias", F.explode(subs)).join(ali, "alias")
            .groupBy("_n").agg(F.min(F.struct("priority", (-F.length("alias")).alias("neg"), "jurisdiction")).alias("b"))
            .select("_n", F.col("b.jurisdiction").alias("jurisdiction")))

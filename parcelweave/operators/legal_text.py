@@ -56,7 +56,7 @@ def base_article(articles: DataFrame, kind: str, key: str = "doc_no") -> DataFra
     paren = F.regexp_extract("title", r"\(([^)]*)\)", 1)
     core = F.when(F.col("title").rlike(r"\([^)]*\)"), paren).otherwise(F.col("title"))
     squash = lambda c: F.replace(c, F.lit(" "), F.lit(""))
-    head = squash(F.concat(core, F.lit(" "), F.substring("body", 1, 60)))
+    head = squash(F.concat(core, F.lit(" "), F.regexp_extract("body", fv.ARTICLE_HEADING, 0)))
     base = F.contains(head, F.lit(inline)) | F.contains(squash(F.col("body")), F.lit(clause))
     score = sum((F.col("body").rlike(zone_value_pattern(z)).cast("int") for z in fv.STANDARD_ZONES), F.lit(0))
     scored = articles.filter(base).select(key, F.struct(score.alias("score"), (-F.col("pos")).alias("neg"), "body").alias("s"))
@@ -94,7 +94,7 @@ def validate_limits(bcr: DataFrame, far: DataFrame, statutory: DataFrame, key: s
 def setback_passages(articles: DataFrame, key: str = "doc_no") -> DataFrame:
     """Articles speaking of open space or setbacks, whole text, with their number and title."""
     hit = articles.filter(F.col("body").rlike(fv.SETBACK_PASSAGE))
-    source = F.when(F.col("title") != "", F.col("title")).otherwise(F.substring("body", 1, 40))
+    source = F.when(F.col("title") != "", F.col("title")).otherwise(F.regexp_extract("body", fv.ARTICLE_HEADING, 0))
     return hit.select(key, "pos", F.nullif(F.regexp_extract("body", r"제\d+조(?:의\d+)?", 0), F.lit("")).alias("article"),
                       F.when(source.rlike(r"\([^)]*\)"), F.regexp_extract(source, r"\(([^)]*)\)", 1)).otherwise("대지 안의 공지").alias("title"),
                       F.col("body").alias("text"))
@@ -114,7 +114,7 @@ def build_chunks(docs: DataFrame, key: str = "doc_no", size: int = fv.CHUNK_CHAR
     """
     meta = docs.select(key, F.col("org").alias("jurisdiction"), F.col("name").alias("ordinance"), "effective_date")
     art = extract_articles(docs, key)
-    core = F.when(F.col("title") != "", F.col("title")).otherwise(F.substring("body", 1, 40))
+    core = F.when(F.col("title") != "", F.col("title")).otherwise(F.regexp_extract("body", fv.ARTICLE_HEADING, 0))
     art = art.filter(F.concat_ws(" ", core, F.col("body")).rlike(fv.CHUNK_KEYWORDS)).select(
         key, "pos", F.nullif(F.regexp_extract("body", r"제\d+조(?:의\d+)?", 0), F.lit("")).alias("article"),
         F.when(core.rlike(r"\([^)]*\)"), F.regexp_extract(core, r"\(([^)]*)\)", 1)).otherwise(core).alias("title"),
@@ -137,8 +137,8 @@ def law_chunks(laws: DataFrame, key: str = "doc_no") -> DataFrame:
 # --- other extractions -----------------------------------------------------------------------
 
 
-def law_names(df: DataFrame, bases: str = "bases", limit: int = 10) -> DataFrame:
-    """Distinct law names of a row's basis texts in order, "같은 법 시행령" spelled out, first ten."""
+def law_names(df: DataFrame, bases: str = "bases") -> DataFrame:
+    """Distinct law names of a row's basis texts in order, "같은 법 시행령" spelled out."""
     def of(basis):
         same = F.regexp_extract_all(basis, F.lit(r"같은\s+법\s+(시행령|시행규칙)"), 1)
         rest = F.regexp_replace(basis, fv.SAME_LAW, "")
@@ -147,7 +147,7 @@ def law_names(df: DataFrame, bases: str = "bases", limit: int = 10) -> DataFrame
         stem = F.regexp_replace(F.get(names, F.lit(0)), r"\s+(시행령|시행규칙)$", "")
         return F.concat(names, F.when(F.size(names) > 0, F.transform(same, lambda s: F.concat(stem, F.lit(" "), s)))
                         .otherwise(F.array().cast("array<string>")))
-    return df.withColumn("laws", F.slice(F.array_distinct(F.flatten(F.transform(bases, of))), 1, limit))
+    return df.withColumn("laws", F.array_distinct(F.flatten(F.transform(bases, of))))
 
 
 def verify_laws(names: DataFrame, catalog: DataFrame, key: str = "id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..plans.stages import stage
 from . import rules
 
 
@@ -59,8 +60,8 @@ def target_jimok(use: Column, query: Column) -> Column:
             .when(rules.contains_any(blob, fv.FARM_HINTS), arr(fv.FARM_TARGET_JIMOK)).otherwise(arr(fv.GENERAL_TARGET_JIMOK)))
 
 
-def candidates(parcels: DataFrame, scanned: DataFrame, regions: DataFrame, k: int, key: str = "pnu") -> DataFrame:
-    """Pool of candidates per request, largest first, three times ``k`` (at least eight).
+def candidates(parcels: DataFrame, scanned: DataFrame, regions: DataFrame, key: str = "pnu") -> DataFrame:
+    """All candidates of each request.
 
     ``scanned`` (key, px, py, zone) are the parcels in non-urban zones.  Rows at the same
     rounded point count once; facilities that farmland rules forbid are left out.
@@ -71,13 +72,11 @@ def candidates(parcels: DataFrame, scanned: DataFrame, regions: DataFrame, k: in
     w = Window.partitionBy("request_id", F.round("px", 4), F.round("py", 4)).orderBy(key)
     once = wanted.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
     fit = rules.facility_verdict(rules.classify_jimok(once.withColumn("facility", F.col("building_use"))))
-    fit = fit.filter(F.coalesce("facility_verdict", F.lit("")) != "not_allowed")
-    rank = Window.partitionBy("request_id").orderBy(F.desc("area_m2"), key)
-    return fit.withColumn("pool_rank", F.row_number().over(rank)).filter(F.col("pool_rank") <= max(3 * k, 8))
+    return fit.filter(F.coalesce("facility_verdict", F.lit("")) != "not_allowed")
 
 
 def recommend(pool: DataFrame, conversion: DataFrame, buildings: DataFrame, k: int, key: str = "pnu") -> DataFrame:
-    """The ``k`` best candidates per request that can be built on.
+    """The ``k`` largest candidates per request that can be built on, and why others cannot.
 
     ``conversion`` (key, conversion_status): a missing status excludes the candidate;
     ``buildings`` (key, has_buildings): checked only for built-up land, missing passes.
@@ -90,23 +89,24 @@ def recommend(pool: DataFrame, conversion: DataFrame, buildings: DataFrame, k: i
               .when(F.col("conversion_status") == "RESTRICTED_REVIEW", "conversion_restricted")
               .when(F.col("below_min_lot"), "below_minimum_lot").when(occupied, "existing_building"))
     j = j.withColumn("excluded", reason)
-    w = Window.partitionBy("request_id", F.col("excluded").isNull()).orderBy("pool_rank")
-    ranked = j.withColumn("rank", F.when(F.col("excluded").isNull(), F.row_number().over(w)))
-    return ranked.filter(F.col("excluded").isNotNull() | (F.col("rank") <= k))
+    # accepted ones alone are ranked, so only k rows of each task travel
+    w = Window.partitionBy("request_id").orderBy(F.desc("area_m2"), key)
+    best = j.filter("excluded IS NULL").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best.unionByName(j.filter("excluded IS NOT NULL").withColumn("rank", F.lit(None).cast("int")))
 
 
 def recommend_with_broadening(regions: DataFrame, search) -> DataFrame:
-    """Drop the last region token until candidates appear; all levels run as one job.
+    """Drop the last region token until a candidate is accepted; all levels run as one job.
 
-    ``search`` maps (request_id, region, building_use, query) rows to candidates.  The most
-    specific level with any candidate wins.
+    ``search`` maps (request_id, region, building_use, query) rows to accepted candidates.
+    The most specific level with any wins.
     """
     parts = F.split(F.trim(F.col("region")), r"\s+")
     levels = regions.select("request_id", "building_use", "query", F.explode(F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("level"), F.array_join(F.slice(parts, 1, n), " ").alias("region")))).alias("l"))
     flat = levels.select(F.concat_ws("#", F.col("request_id").cast("string"), F.col("l.level").cast("string")).alias("request_id"),
                          "building_use", "query", "l.region")
-    found = search(flat)
+    found = stage(search(flat), "broadening")
     split = found.withColumns({"level": F.element_at(F.split("request_id", "#"), 2).cast("int"),
                                "request_id": F.element_at(F.split("request_id", "#"), 1).cast("bigint")})
     best = split.groupBy("request_id").agg(F.max("level").alias("level"))

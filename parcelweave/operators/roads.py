@@ -160,21 +160,18 @@ def crossed_parcels(routes: DataFrame, parcels: DataFrame, parcel_id: str = "pnu
 
 
 def encroachment(routes: DataFrame, parcels: DataFrame, owners: DataFrame, buildings: DataFrame,
-                 parcel_id: str = "pnu", looked_up: int = 3) -> DataFrame:
+                 parcel_id: str = "pnu") -> DataFrame:
     """Whether each route is blocked by land that is not public.
 
-    The ``looked_up`` longest crossings get their ownership (hit_id, ownership) and
-    building flag (hit_id, has_building); other crossings count as private.
+    Every crossing gets its ownership (hit_id, ownership) and building flag (hit_id,
+    has_building); one of unknown ownership counts as private.
     """
     hits = crossed_parcels(routes, parcels, parcel_id)
-    from pyspark.sql import Window
-    w = Window.partitionBy(parcel_id).orderBy(F.desc("cross_length_m"), "hit_id")
-    ranked = hits.withColumn("rank", F.row_number().over(w))
-    known = ranked.join(owners, "hit_id", "left").join(buildings, "hit_id", "left")
-    own = F.when(F.col("rank") <= looked_up, F.col("ownership"))
+    known = hits.join(owners, "hit_id", "left").join(buildings, "hit_id", "left")
+    own = F.col("ownership")
     g = known.groupBy(parcel_id).agg(
         F.count(F.lit(1)).alias("crossed"), F.max(F.coalesce(own != "국공유", F.lit(True))).alias("crosses_private"),
-        F.sum(((F.col("rank") <= looked_up) & F.coalesce("has_building", F.lit(False))).cast("bigint")).alias("built_crossings"),
+        F.sum(F.coalesce("has_building", F.lit(False)).cast("bigint")).alias("built_crossings"),
         F.max("cross_length_m").alias("longest_crossing_m"))
     return (routes.select(parcel_id, "outlet_id", "length_m").join(g, parcel_id, "left")
             .withColumns({"crossed": F.coalesce("crossed", F.lit(0)), "crosses_private": F.coalesce("crosses_private", F.lit(False)),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..session import code_table
 
 
 def first_match(text: Column, pairs: list[tuple[str, object]], otherwise=None) -> Column:
@@ -26,7 +27,7 @@ def contains_any(text: Column, terms: list[str]) -> Column:
 def use_matrix(spark: SparkSession) -> DataFrame:
     rows = [(use, zone, status) for use, (ok, cond) in fv.USE_MATRIX.items()
             for status, zones in (("allowed", ok), ("conditional", cond)) for zone in zones]
-    return spark.createDataFrame(rows, "building_use string, zone string, matrix_status string")
+    return code_table(spark, rows, "building_use string, zone string, matrix_status string")
 
 
 def use_verdict(df: DataFrame, matrix: DataFrame) -> DataFrame:
@@ -46,9 +47,8 @@ def use_verdict(df: DataFrame, matrix: DataFrame) -> DataFrame:
 def uses_for_zone(zones: DataFrame, matrix: DataFrame) -> DataFrame:
     """Uses per status for each distinct zone (the inverse of the matrix)."""
     order = {use: n for n, use in enumerate(fv.USE_MATRIX)}
-    spark = zones.sparkSession
-    uses = spark.createDataFrame([(u, n) for u, n in order.items()], "building_use string, use_order int")
-    grid = zones.select("zone").distinct().join(uses, F.lit(True))
+    uses = F.explode(F.array(*[F.struct(F.lit(u).alias("building_use"), F.lit(n).alias("use_order")) for u, n in order.items()]))
+    grid = zones.select("zone").distinct().select("zone", uses.alias("u")).select("zone", "u.*")
     rated = grid.join(matrix, ["building_use", "zone"], "left").withColumn(
         "status", F.coalesce("matrix_status", F.lit("not_allowed")))
     pick = lambda s: F.array_join(F.transform(F.array_sort(F.collect_list(

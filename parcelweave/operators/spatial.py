@@ -110,15 +110,15 @@ def overlay(parcels: DataFrame, layer: DataFrame, parcel_id: str = "pnu",
                       geo.bround(F.col("area") * 100 / F.col("geom_area"), 1).alias("share_pct"))
 
 
-def inspect_layers(parcels: DataFrame, overlaps: DataFrame, registry: DataFrame, parcel_id: str = "pnu") -> DataFrame:
+def inspect_layers(parcels: DataFrame, overlaps: DataFrame, registry: list[tuple], parcel_id: str = "pnu") -> DataFrame:
     """Status of every (parcel, registered layer): a missing layer is never CLEAR.
 
-    ``registry`` holds (layer_id, title, ready, available); it is one row per layer, so
-    pairing it with the parcels multiplies them by the number of layers only.
+    ``registry`` is the layer configuration: (layer_id, title, provider, ready, available).
     """
     hit = (overlaps.groupBy(parcel_id, "layer_id")
            .agg(F.count(F.lit(1)).alias("n_overlaps"), F.max("area_m2").alias("max_area_m2")))
-    grid_rows = parcels.select(parcel_id).join(registry, F.lit(True))
+    layers = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, ("layer_id", "title", "provider", "ready", "available"))]) for r in registry]))
+    grid_rows = parcels.select(parcel_id, layers.alias("l")).select(parcel_id, "l.*")
     status = (F.when(~F.col("ready"), "NOT_CONFIGURED").when(~F.col("available"), "UNAVAILABLE")
               .when(F.col("n_overlaps") > 0, "OVERLAP").otherwise("CLEAR"))
     usable = F.col("ready") & F.col("available")

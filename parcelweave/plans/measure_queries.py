@@ -266,7 +266,7 @@ rcand AS (SELECT s.pnu, s.px, s.py, q.pnu AS outlet_id, q.jimok AS outlet_jimok,
   FROM src s JOIN fx_parcels q ON q.gx BETWEEN s.gx - 6 AND s.gx + 6 AND q.gy BETWEEN s.gy - 6 AND s.gy + 6 AND q.id <> s.id AND q.jimok IN ('도', '구', '천')
    AND q.x0 <= s.x1 + 180 AND q.x1 >= s.x0 - 180 AND q.y0 <= s.y1 + 180 AND q.y1 >= s.y0 - 180),
 rdist AS (SELECT *, sqrt(power(qx - px, 2) + power(qy - py, 2)) AS d FROM rcand),
-route AS (SELECT pnu, px, py, outlet_id, outlet_jimok, qx, qy, d FROM (SELECT *, row_number() OVER (PARTITION BY pnu ORDER BY d, outlet_id) AS rn FROM rdist) t WHERE rn = 1 AND d >= 0.5)"""
+route AS MATERIALIZED (SELECT pnu, px, py, outlet_id, outlet_jimok, qx, qy, d FROM (SELECT *, row_number() OVER (PARTITION BY pnu ORDER BY d, outlet_id) AS rn FROM rdist) t WHERE rn = 1 AND d >= 0.5)"""
 
 
 def routes(i: Inputs, par):
@@ -280,7 +280,7 @@ def nearest_outlet(i: Inputs):
 
 OWNER_SQL = """
 op AS (SELECT id, seq, owner, CASE WHEN seq % 3 = 2 THEN NULL WHEN seq % 3 = 0 THEN owner WHEN owner <> '불명' THEN owner END AS owner_name FROM fx_owner_payloads),
-own AS (SELECT id, seq, owner_name, CASE WHEN owner_name IN ('국유지', '군유지') THEN '국공유' WHEN owner_name IN ('개인', '법인', '기타 단체') THEN '사유' END AS ownership FROM op)"""
+own AS MATERIALIZED (SELECT id, seq, owner_name, CASE WHEN owner_name IN ('국유지', '군유지') THEN '국공유' WHEN owner_name IN ('개인', '법인', '기타 단체') THEN '사유' END AS ownership FROM op)"""
 CROSS_CTE = ROUTE_CTE + """,
 cl AS (SELECT r.pnu, q.pnu AS hit_id, q.id AS hit_no, q.jimok AS hit_jimok, r.d, r.px, r.py, r.qx, r.qy,
    CASE WHEN qx = px THEN CASE WHEN px >= q.x0 AND px < q.x1 THEN 0 ELSE 2 END ELSE least((q.x0 - px) / (qx - px), (q.x1 - px) / (qx - px)) END AS tx0,
@@ -289,7 +289,7 @@ cl AS (SELECT r.pnu, q.pnu AS hit_id, q.id AS hit_no, q.jimok AS hit_jimok, r.d,
    CASE WHEN qy = py THEN CASE WHEN py >= q.y0 AND py < q.y1 THEN 1 ELSE -1 END ELSE greatest((q.y0 - py) / (qy - py), (q.y1 - py) / (qy - py)) END AS ty1
   FROM route r JOIN fx_parcels q ON q.gx BETWEEN floor(r.px / 40) - 6 AND floor(r.px / 40) + 6 AND q.gy BETWEEN floor(r.py / 40) - 6 AND floor(r.py / 40) + 6
    AND q.pnu <> r.pnu AND q.jimok NOT IN ('도', '구', '천')),
-crossed AS (SELECT pnu, hit_id, hit_no, hit_jimok, round_even(len, 1) AS cross_length_m FROM (SELECT *, d * (least(tx1, ty1, 1) - greatest(tx0, ty0, 0)) AS len FROM cl) t WHERE len > 0.05)"""
+crossed AS MATERIALIZED (SELECT pnu, hit_id, hit_no, hit_jimok, round_even(len, 1) AS cross_length_m FROM (SELECT *, d * (least(tx1, ty1, 1) - greatest(tx0, ty0, 0)) AS len FROM cl) t WHERE len > 0.05)"""
 
 
 @query("crossed_parcels", sql("fx_parcels", "SELECT pnu, hit_id, hit_jimok, cross_length_m FROM crossed", CROSS_CTE))
@@ -301,9 +301,9 @@ def crossed_parcels(i: Inputs):
 @query("encroachment", sql("fx_parcels fx_owner_payloads fx_buildings", """
 SELECT r.pnu, r.outlet_id, round_even(r.d, 1) AS length_m, coalesce(g.crossed, 0) AS crossed, coalesce(g.crosses_private, false) AS crosses_private,
   CAST(coalesce(g.built, 0) AS BIGINT) AS built_crossings, g.longest AS longest_crossing_m
-FROM route r LEFT JOIN (SELECT c.pnu, count(*) AS crossed, bool_or(coalesce(rk > 3 OR o.ownership <> '국공유', true)) AS crosses_private,
-   count(*) FILTER (rk <= 3 AND c.hit_no IN (SELECT id FROM fx_buildings)) AS built, max(cross_length_m) AS longest
-  FROM (SELECT *, row_number() OVER (PARTITION BY pnu ORDER BY cross_length_m DESC, hit_id) AS rk FROM crossed) c
+FROM route r LEFT JOIN (SELECT c.pnu, count(*) AS crossed, bool_or(coalesce(o.ownership <> '국공유', true)) AS crosses_private,
+   count(*) FILTER (bd.id IS NOT NULL) AS built, max(cross_length_m) AS longest
+  FROM crossed c LEFT JOIN (SELECT DISTINCT id FROM fx_buildings) bd ON bd.id = c.hit_no
   LEFT JOIN (SELECT id, coalesce(ownership, '') AS ownership FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq, coalesce(ownership, '')) AS rn FROM own) u WHERE rn = 1) o ON o.id = c.hit_no GROUP BY c.pnu) g ON g.pnu = r.pnu""",
     CROSS_CTE + ", " + OWNER_SQL))
 def encroachment(i: Inputs):

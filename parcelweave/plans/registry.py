@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import fixed_values as fv
 from ..functions import geometry as geo
 from ..operators import grid
+from ..session import code_table
 from ..sources.fixtures import cached_plan, view, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,7 +55,7 @@ class Inputs:
 
     def rows(self, rows: list[tuple], schema: str) -> DataFrame:
         """A rule table whose size is fixed in the code."""
-        return self.spark.createDataFrame(rows, schema)
+        return code_table(self.spark, rows, schema)
 
     def _shaped(self, name: str, rings: str) -> DataFrame:
         return cached_plan(self.spark, (self.sf_dir, "shape", name), lambda: grid.with_shape(self.view(name), rings))

@@ -176,7 +176,7 @@ def constraints(i: Inputs):
 
 
 def setback_cte(name: str, source: str) -> str:
-    return f"""{name}_m AS (SELECT c.id, c.building_use AS case_use, r.*, row_number() OVER (PARTITION BY c.id, c.building_use ORDER BY CASE WHEN r.use = '*' THEN 1 ELSE 0 END, r.rule_order) AS rn
+    return f"""{name}_m AS MATERIALIZED (SELECT c.id, c.building_use AS case_use, r.*, row_number() OVER (PARTITION BY c.id, c.building_use ORDER BY CASE WHEN r.use = '*' THEN 1 ELSE 0 END, r.rule_order) AS rn
   FROM {source} c JOIN fx_setback_rules r ON r.jurisdiction = c.jurisdiction AND r.use IN (c.building_use, '*')
    AND (r.min_gross IS NULL OR c.gross >= r.min_gross) AND (r.max_gross_excl IS NULL OR c.gross < r.max_gross_excl)
    AND (r.zone IS NULL OR r.zone = c.zone) AND (r.zone_contains IS NULL OR contains(c.zone, r.zone_contains))
@@ -206,7 +206,7 @@ def setbacks(i: Inputs):
 
 @query("applicable_setbacks", sql("fx_cases fx_setback_rules", """
 SELECT id, building_use, setback_status, front_m, adjacent_m FROM sb WHERE setback_status = 'NEEDS_SUBTYPE' OR front_m > 0 OR adjacent_m > 0""",
-    CASE_GROSS_CTE + """, cu AS (SELECT c.id, c.jurisdiction, u.use AS building_use, c.zone, c.gross FROM cg c
+    CASE_GROSS_CTE + """, cu AS MATERIALIZED (SELECT c.id, c.jurisdiction, u.use AS building_use, c.zone, c.gross FROM cg c
    JOIN (SELECT DISTINCT jurisdiction, use FROM fx_setback_rules) u ON u.jurisdiction = c.jurisdiction), """ + setback_cte("sb", "cu")))
 def applicable_setbacks(i: Inputs):
     return rules.applicable_setbacks(case_gross(i), i.view("fx_setback_rules")).select(

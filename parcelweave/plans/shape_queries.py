@@ -96,16 +96,24 @@ def latency_batch(i: Inputs):
     return out.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "mean_ms": F.round("mean_ms", 6)})
 
 
-@query("latency_stream")
+@query("latency_stream", sql("", """
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS phase, count(*) AS calls, round(avg(value), 6) AS mean_ms, max(value) AS max_ms,
+  list_sort(list(value))[CAST(ceil(0.95 * count(*)) AS BIGINT)] AS p95_ms FROM events GROUP BY 1, 2"""))
 def latency_stream(i: Inputs):
     stream = jobs.event_stream(i.spark, i.sf_dir).select("ts", F.col("event_type").alias("phase"), F.col("value").alias("ms"))
-    return jobs.run_available(jobs.latency(stream), "latency")
+    out = jobs.run_available(jobs.latency(stream), "latency", "update", keys=["window_start", "phase"])
+    return out.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "mean_ms": F.round("mean_ms", 6)})
 
 
-@query("dedupe_ttl_stream")
+@query("dedupe_ttl_stream", sql("", """
+SELECT ts, event_id, user_id, event_type FROM (WITH RECURSIVE o AS MATERIALIZED (SELECT ts, event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+ w AS (SELECT *, ts AS last, true AS answered FROM o WHERE rn = 1 UNION ALL
+  SELECT o.*, CASE WHEN o.ts - w.last >= INTERVAL 15 MINUTE THEN o.ts ELSE w.last END, o.ts - w.last >= INTERVAL 15 MINUTE FROM w JOIN o ON o.user_id = w.user_id AND o.event_type = w.event_type AND o.rn = w.rn + 1)
+ SELECT * FROM w) x WHERE answered"""))
 def dedupe_ttl_stream(i: Inputs):
     stream = jobs.event_stream(i.spark, i.sf_dir).select("ts", "event_id", "user_id", "event_type")
-    return jobs.run_available(jobs.dedupe_ttl(stream, ["user_id", "event_type"]), "dedupe")
+    out = jobs.run_available(jobs.dedupe_ttl(stream, ["user_id", "event_type"]), "dedupe")
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("session_state_stream", sql("", """
@@ -114,7 +122,7 @@ FROM (SELECT *, lag(parcel) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS
  FROM (SELECT *, 'P' || CAST(event_id % 7 AS STRING) AS parcel FROM events) a) b GROUP BY user_id"""))
 def session_state_stream(i: Inputs):
     stream = jobs.event_stream(i.spark, i.sf_dir).selectExpr("user_id AS session", "event_id", "ts", "'P' || string(event_id % 7) AS parcel", "event_type AS intent")
-    return jobs.run_available(jobs.session_state(stream), "session")
+    return jobs.run_available(jobs.session_state(stream), "session", keys=["session"])
 
 
 @query("diagnose_stream", sql("fx_cases fx_statutory", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import geometry as geo
 from ..operators import grid, spatial
-from .registry import REGISTRY_CTE, Inputs, query, sql
+from .registry import LAYER_REGISTRY, REGISTRY_CTE, Inputs, query, sql
 
 # overlap of a parcel rectangle with a layer rectangle whose top right corner is cut at 45 degrees
 OVERLAP_CTE = """
@@ -161,14 +161,14 @@ lcomp AS (SELECT s.pnu, s.layer_id, s.title, CASE WHEN s.status = 'OVERLAP' AND
 @query("inspect_layers", sql("fx_parcels fx_layer", "SELECT * FROM lstat", LAYER_STATUS_CTE))
 def inspect_layers(i: Inputs):
     par = i.parcels()
-    return spatial.inspect_layers(par, spatial.overlay(par, i.layer()), i.registry())
+    return spatial.inspect_layers(par, spatial.overlay(par, i.layer()), LAYER_REGISTRY)
 
 
 @query("compact_layers", sql("fx_parcels fx_layer", "SELECT pnu, layer_id, status, kept FROM lcomp", LAYER_STATUS_CTE))
 def compact_layers(i: Inputs):
     par = i.parcels()
     ov = spatial.overlay(par, i.layer())
-    return spatial.compact_layers(spatial.inspect_layers(par, ov, i.registry()), ov).select("pnu", "layer_id", "status", "kept")
+    return spatial.compact_layers(spatial.inspect_layers(par, ov, LAYER_REGISTRY), ov).select("pnu", "layer_id", "status", "kept")
 
 
 @query("zone_shares", sql("fx_parcels fx_zones", "SELECT * FROM shares", SHARES_CTE))

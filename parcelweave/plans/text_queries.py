@@ -22,7 +22,7 @@ ZONES_CTE = values([(n, z) for n, z in enumerate(fv.STANDARD_ZONES)], "zn", "n,
 def _base_cte(kind: str, inline: str, clause: str) -> str:
     return rf"""
 {kind}_s AS (SELECT a.doc_no, a.pos, a.body, count(*) FILTER (regexp_matches(a.body, zn.zone || '\s*(?::|은|는)?\s*\d{{1,4}}\s*(?:퍼센트|%)')) AS score FROM art a CROSS JOIN zn
-  WHERE contains(replace(CASE WHEN regexp_matches(a.title, '\([^)]*\)') THEN regexp_extract(a.title, '\(([^)]*)\)', 1) ELSE a.title END || ' ' || substr(a.body, 1, 60), ' ', ''), '{inline}')
+  WHERE contains(replace(CASE WHEN regexp_matches(a.title, '\([^)]*\)') THEN regexp_extract(a.title, '\(([^)]*)\)', 1) ELSE a.title END || ' ' || regexp_extract(a.body, '^\s*제\d+조(?:의\d+)?\s*\([^)]*\)', 0), ' ', ''), '{inline}')
    OR contains(replace(a.body, ' ', ''), '{clause}') GROUP BY 1, 2, 3),
 {kind} AS (SELECT doc_no, pos, score, body FROM (SELECT *, row_number() OVER (PARTITION BY doc_no ORDER BY score DESC, pos) AS rn FROM {kind}_s WHERE score > 0) t WHERE rn = 1),
 {kind}_v AS (SELECT doc_no, zone, CAST(v AS INTEGER) AS value FROM (SELECT doc_no, zone, regexp_extract(body, zone || '\s*(?::|은|는)?\s*(\d{{1,4}})\s*(?:퍼센트|%)', 1) AS v FROM {kind} CROSS JOIN zn) t WHERE v <> '')"""
@@ -72,7 +72,7 @@ def validate_limits(i: Inputs):
 
 @query("setback_passages", sql("fx_law_docs", r"""
 SELECT doc_no, pos, nullif(regexp_extract(body, '제\d+조(?:의\d+)?', 0), '') AS article, CASE WHEN regexp_matches(src, '\([^)]*\)') THEN regexp_extract(src, '\(([^)]*)\)', 1) ELSE '대지 안의 공지' END AS title, body AS text
-FROM (SELECT *, CASE WHEN title <> '' THEN title ELSE substr(body, 1, 40) END AS src FROM art WHERE regexp_matches(body, '대지.{0,6}공지|인접.{0,4}대지경계|건축선.{0,6}후퇴|이격|공지.{0,4}기준')) t""", ART_CTE))
+FROM (SELECT *, CASE WHEN title <> '' THEN title ELSE regexp_extract(body, '^\s*제\d+조(?:의\d+)?\s*\([^)]*\)', 0) END AS src FROM art WHERE regexp_matches(body, '대지.{0,6}공지|인접.{0,4}대지경계|건축선.{0,6}후퇴|이격|공지.{0,4}기준')) t""", ART_CTE))
 def setback_passages(i: Inputs):
     return legal_text.setback_passages(legal_text.extract_articles(i.view("fx_law_docs")))
 
@@ -157,7 +157,7 @@ nm AS (SELECT id, k, unnest(range(0, len(m))) AS j, regexp_replace(trim(regexp_r
 sm AS (SELECT pl.id, pl.k, 1000 + unnest(range(0, len(regexp_extract_all(basis, '같은\s+법\s+(시행령|시행규칙)', 1)))) AS j,
    regexp_replace(nm.name, '\s+(시행령|시행규칙)$', '') || ' ' || unnest(regexp_extract_all(basis, '같은\s+법\s+(시행령|시행규칙)', 1)) AS name FROM pl JOIN nm ON nm.id = pl.id AND nm.k = pl.k AND nm.j = 0),
 ln AS (SELECT id, name, min(k * 10000 + j) AS o FROM (SELECT * FROM nm WHERE name <> '' UNION ALL SELECT * FROM sm) u GROUP BY 1, 2),
-laws AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o) AS rn FROM ln) t WHERE rn <= 10)"""
+laws AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o) AS rn FROM ln) t)"""
 
 
 def basis_lists(i: Inputs):

@@ -230,12 +230,11 @@ def divide_and_recompute(i: Inputs):
 SELECT c.id, c.building_use, CASE WHEN NOT l.found THEN 'unknown' ELSE coalesce(m.status, 'not_allowed') END AS verdict, sb.setback_status,
   CASE WHEN sb.setback_status = 'NEEDS_SUBTYPE' THEN sb.preview_front_m ELSE sb.front_m END AS shown_front_m
 FROM cu c JOIN lim l ON l.id = c.id JOIN sb ON sb.id = c.id AND sb.building_use = c.building_use LEFT JOIN matrix m ON m.building_use = c.building_use AND m.zone = c.zone""",
-    ",".join([limits_cte("lim", "fx_cases"), MATRIX_CTE, USES_CTE, "cu AS (SELECT c.id, c.jurisdiction, u.building_use, c.zone, c.geom_area * 1.5 AS gross FROM fx_cases c CROSS JOIN uses u)", setback_cte("sb", "cu")])))
+    ",".join([limits_cte("lim", "fx_cases"), MATRIX_CTE, USES_CTE, "cu AS MATERIALIZED (SELECT c.id, c.jurisdiction, u.building_use, c.zone, c.geom_area * 1.5 AS gross FROM fx_cases c CROSS JOIN uses u)", setback_cte("sb", "cu")])))
 def evaluate_uses(i: Inputs):
     c = i.view("fx_cases").select("id", "jurisdiction", "zone", (F.col("geom_area") * 1.5).alias("gross"))
     lim = keys.resolve_limits(c, i.view("fx_statutory"), i.view("fx_ordinance")).withColumn("n_constraints", F.lit(0))
-    uses = i.rows([(u,) for u in fv.USE_MATRIX], "building_use string")
-    return envelope.evaluate_uses(lim, rules.use_matrix(i.spark), i.view("fx_setback_rules"), uses).select(
+    return envelope.evaluate_uses(lim, rules.use_matrix(i.spark), i.view("fx_setback_rules"), list(fv.USE_MATRIX)).select(
         "id", "building_use", "verdict", "setback_status", "shown_front_m")
 
 
@@ -262,8 +261,7 @@ want AS (SELECT r.request_id, r.building_use, p.pnu, p.id, p.jimok, p.geom_area
     WHEN regexp_matches(r.building_use || ' ' || r.query, '농막|농지|밭|논|텃밭|농사|영농|과수') THEN p.jimok IN ('전', '답', '과수원')
     ELSE p.jimok IN ('대', '잡종지', '공장용지', '창고용지', '전', '답', '과수원', '목장용지') END
    AND NOT (contains(r.building_use, '움막') AND p.jimok IN ('전', '답', '과'))),
-once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, px, py ORDER BY pnu) AS n FROM want) t WHERE n = 1),
-pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY area_m2 DESC, pnu) AS pool_rank FROM once) t WHERE pool_rank <= 18)"""
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, px, py ORDER BY pnu) AS n FROM want) t WHERE n = 1)"""
 
 
 def pool(i: Inputs, regions=None):
@@ -271,16 +269,16 @@ def pool(i: Inputs, regions=None):
     scanned = spatial.region_scan(par, i.zones())
     flat = i.view("fx_parcels").select("id", "pnu", "address", "jimok", F.col("geom_area").alias("area_m2"))
     regions = regions if regions is not None else i.view("fx_region_requests").select("request_id", "region", "building_use", "query")
-    return recommend.candidates(flat, scanned, regions, 6)
+    return recommend.candidates(flat, scanned, regions)
 
 
-@query("candidates", sql("fx_parcels fx_zones fx_region_requests", "SELECT request_id, pnu, zone, jimok, area_m2, CAST(pool_rank AS INTEGER) AS pool_rank FROM pool", SCAN_CTE))
+@query("candidates", sql("fx_parcels fx_zones fx_region_requests", "SELECT request_id, pnu, zone, jimok, area_m2 FROM pool", SCAN_CTE))
 def candidates(i: Inputs):
-    return pool(i).select("request_id", "pnu", "zone", "jimok", "area_m2", "pool_rank")
+    return pool(i).select("request_id", "pnu", "zone", "jimok", "area_m2")
 
 
 @query("recommend", sql("fx_parcels fx_zones fx_region_requests fx_cases fx_layer fx_buildings fx_address_index", """
-SELECT request_id, pnu, excluded, CAST(CASE WHEN excluded IS NULL THEN rk END AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id, excluded IS NULL ORDER BY pool_rank) AS rk FROM (
+SELECT request_id, pnu, excluded, CAST(CASE WHEN excluded IS NULL THEN rk END AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id, excluded IS NULL ORDER BY area_m2 DESC, pnu) AS rk FROM (
   SELECT p.*, CASE WHEN c.conversion_status = 'RESTRICTED_REVIEW' THEN 'conversion_restricted' WHEN p.area_m2 < """ + MIN_LOT_SQL.format(z="p.zone") + """ THEN 'below_minimum_lot'
     WHEN p.jimok IN ('대', '잡종지', '공장용지', '창고용지', '학교용지', '종교용지') AND b.has_buildings THEN 'existing_building' END AS excluded
   FROM pool p JOIN conv c ON c.pnu = p.pnu LEFT JOIN bld b ON b.id = p.id) t) u WHERE excluded IS NOT NULL OR rk <= 6""",
@@ -298,19 +296,24 @@ def recommended(i: Inputs, candidates_df):
     return recommend.recommend(candidates_df, conv, built, 6)
 
 
-@query("recommend_broadening", sql("fx_parcels fx_zones fx_region_requests", """
-SELECT request_id, CAST(max(level) AS INTEGER) AS level, count(*) FILTER (level = ml) AS candidates FROM (SELECT *, max(level) OVER (PARTITION BY request_id) AS ml FROM pool2) t WHERE level = ml GROUP BY request_id""",
-    SCAN_CTE + """,
+EXCLUDED_SQL = """CASE WHEN c.conversion_status = 'RESTRICTED_REVIEW' THEN 'conversion_restricted' WHEN p.area_m2 < """ + MIN_LOT_SQL.format(z="p.zone") + """ THEN 'below_minimum_lot'
+    WHEN p.jimok IN ('대', '잡종지', '공장용지', '창고용지', '학교용지', '종교용지') AND b.has_buildings THEN 'existing_building' END"""
+
+
+@query("recommend_broadening", sql("fx_parcels fx_zones fx_region_requests fx_cases fx_layer fx_buildings fx_address_index", """
+SELECT request_id, CAST(ml AS INTEGER) AS level, least(count(*), 6) AS candidates FROM (SELECT *, max(level) OVER (PARTITION BY request_id) AS ml FROM good2) t WHERE level = ml GROUP BY request_id, ml""",
+    ",".join([SCAN_CTE, CONV_CTE, BUILDINGS_CTE]) + """,
 lv AS (SELECT r.request_id, r.building_use, r.query, n AS level, array_to_string(list_slice(string_split(r.broad_region, ' '), 1, n), ' ') AS region FROM fx_region_requests r, (SELECT unnest([1, 2, 3]) AS n) g WHERE n <= len(string_split(r.broad_region, ' '))),
 lt AS (SELECT lv.*, list_filter(string_split(region, ' '), lambda x: regexp_matches(x, '..*(시|군|구|읍|면|동|리)$')) AS terms FROM lv),
-w2 AS (SELECT l.request_id, l.level, p.pnu, p.geom_area AS area_m2, s.px, s.py FROM lt l JOIN fx_parcels p ON (len(terms) = 0 AND contains(p.address, l.region)) OR (len(terms) > 0 AND len(list_filter(terms, lambda t: contains(p.address, t))) = len(terms))
+w2 AS (SELECT l.request_id, l.level, p.pnu, p.id, p.jimok, p.geom_area AS area_m2, s.px, s.py, s.zone FROM lt l JOIN fx_parcels p ON (len(terms) = 0 AND contains(p.address, l.region)) OR (len(terms) > 0 AND len(list_filter(terms, lambda t: contains(p.address, t))) = len(terms))
   JOIN scan s ON s.pnu = p.pnu WHERE CASE WHEN regexp_matches(l.building_use || ' ' || l.query, '산지전용|산지|임야|임업|산 지|산림') THEN p.jimok = '임'
     WHEN regexp_matches(l.building_use || ' ' || l.query, '농막|농지|밭|논|텃밭|농사|영농|과수') THEN p.jimok IN ('전', '답', '과수원')
     ELSE p.jimok IN ('대', '잡종지', '공장용지', '창고용지', '전', '답', '과수원', '목장용지') END AND NOT (contains(l.building_use, '움막') AND p.jimok IN ('전', '답', '과'))),
-pool2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, level ORDER BY area_m2 DESC, pnu) AS rk FROM w2) t WHERE rk <= 18)"""))
+good2 AS (SELECT p.request_id, p.level FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, level, px, py ORDER BY pnu) AS n FROM w2) t WHERE n = 1) p
+  JOIN conv c ON c.pnu = p.pnu LEFT JOIN bld b ON b.id = p.id WHERE (""" + EXCLUDED_SQL + """) IS NULL)"""))
 def recommend_broadening(i: Inputs):
     req = i.view("fx_region_requests").select("request_id", F.col("broad_region").alias("region"), "building_use", "query")
-    out = recommend.recommend_with_broadening(req, lambda flat: pool(i, flat))
+    out = recommend.recommend_with_broadening(req, lambda flat: recommended(i, pool(i, flat)).filter("excluded IS NULL").select("request_id", "pnu"))
     return out.groupBy("request_id").agg(F.max("level").alias("level"), F.count(F.lit(1)).alias("candidates"))
 
 

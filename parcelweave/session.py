@@ -28,9 +28,26 @@ def local_session(cores: str | None = None, shuffle_partitions: int = 8) -> Spar
     return spark
 
 
+def code_table(spark: SparkSession, rows: list[tuple], schema: str):
+    """Rows fixed in the code as a relation whose exact size the optimiser knows."""
+    names = [c.strip().split(" ") for c in schema.split(",")]
+
+    def literal(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return str(v).lower() if isinstance(v, bool) else f"{v!r}D" if isinstance(v, float) else str(v)
+
+    listed = ", ".join("(" + ", ".join(f"CAST({literal(v)} AS {t})" for v, (_, t) in zip(r, names)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS t({', '.join(n for n, _ in names)})")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only when unset."""
+    """The shared folder the cluster names; a temporary one only on a single machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="spark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)

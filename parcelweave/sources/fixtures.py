@@ -315,19 +315,10 @@ def with_clause(*names: str) -> str:
     return ",\n".join(parts)
 
 
-SMALL = ("region", "nation", "supplier", "benchmark", "labels")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table; one that arrives in too few splits is spread over the cores.
-
-    A large table already has more splits than cores and is read as it is.
-    """
+    """A base table as it is stored; one of a single split is spread, so what moves is never more than one split."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SMALL or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    return df.repartition(spark.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 
 _PLANS: dict[tuple, DataFrame] = {}

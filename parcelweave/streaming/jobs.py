@@ -21,8 +21,11 @@ def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parque
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
-    """Process everything available into a table of the shared folder and return it."""
+def run_available(df: DataFrame, name: str, mode: str = "append", path: str | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Process everything available into a table of the shared folder and return it.
+
+    With ``keys`` later batches replace earlier rows of the same key.
+    """
     spark = df.sparkSession
     import uuid
     root = path or f"{checkpoint_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
@@ -35,7 +38,15 @@ def run_available(df: DataFrame, name: str, mode: str = "append", path: str | No
          .foreachBatch(write).start())
     q.awaitTermination()
     schema = StructType([*df.schema.fields, StructField("batch", IntegerType())])
-    return spark.read.schema(schema).parquet(f"{root}/data").drop("batch")
+    rows = spark.read.schema(schema).parquet(f"{root}/data")
+    return latest(rows, keys, "batch").drop("batch") if keys else rows.drop("batch")
+
+
+def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """The row of the highest version of each key."""
+    rest = [c for c in rows.columns if c not in keys and c != version]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("r"), F.max(version).alias(version))
+    return best.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest], version).select(*rows.columns)
 
 
 def diagnose_stream(requests: DataFrame, diagnosed: DataFrame, key: str = "pnu") -> DataFrame:
@@ -44,26 +55,40 @@ def diagnose_stream(requests: DataFrame, diagnosed: DataFrame, key: str = "pnu")
     return requests.join(known, key, "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
 
 
-def dedupe_ttl(stream: DataFrame, keys: list[str], ttl: str = "15 minutes", time: str = "ts") -> DataFrame:
-    """Each key answered once per time-to-live; later repeats within it are dropped."""
-    return stream.withWatermark(time, ttl).dropDuplicatesWithinWatermark(keys)
+def dedupe_ttl(stream: DataFrame, keys: list[str], ttl_seconds: int = 900, time: str = "ts", order: str = "event_id") -> DataFrame:
+    """Events that are answered: the first of a key, and each one at least the time-to-live after the last answered.
+
+    The state of a key is the time of its last answer, compared with event time, so the
+    result does not depend on where batches end as long as events arrive in order.
+    """
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        frame = pd.concat(list(frames)).sort_values([time, order])
+        keep = []
+        for t in frame[time].to_numpy().astype("datetime64[us]").astype("int64").tolist():
+            keep.append(last is None or t - last >= ttl_seconds * 1_000_000)
+            last = t if keep[-1] else last
+        state.update((last,))
+        yield frame[keep]
+
+    return stream.groupBy(*keys).applyInPandasWithState(update, stream.schema, "last long", "append", "NoTimeout")
 
 
-SESSION_STATE = "active string, last_intent string, parcels string, events long"
+SESSION_STATE = "active string, last_intent string, parcels string, events long, restored long"
 SESSION_OUTPUT = "session long, active string, last_intent string, restored long, parcels long, events long"
 
 
 def _session_update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Folds a session's events in time order into the active parcel and per-parcel context."""
-    active, intent, parcels, events = state.get if state.exists else ("", "", "{}", 0)
-    context, restored = json.loads(parcels), 0
+    active, intent, parcels, events, restored = state.get if state.exists else ("", "", "{}", 0, 0)
+    context = json.loads(parcels)
     rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
     for parcel, what in zip(rows["parcel"], rows["intent"]):
         if parcel != active and parcel in context:
             restored += 1  # back to a parcel seen before: its context applies again
         context[parcel] = what
         active, intent, events = parcel, what, events + 1
-    state.update((active, intent, json.dumps(context), int(events)))
+    state.update((active, intent, json.dumps(context), int(events), int(restored)))
     yield pd.DataFrame([{"session": key[0], "active": active, "last_intent": intent, "restored": restored,
                          "parcels": len(context), "events": events}])
 
@@ -80,7 +105,8 @@ def session_state(stream: DataFrame, idle: bool = False) -> DataFrame:
     """Per-session state: active parcel, last intent, parcels seen, returns to a known parcel.
 
     ``stream`` holds session, event_id, ts, parcel, intent.  With ``idle`` a session that
-    stays silent for half an hour is forgotten (for streams that run on).
+    stays silent for half an hour is forgotten (for streams that run on).  Rows are
+    cumulative: the newest of a session replaces the ones before.
     """
     update = _expiring_update if idle else _session_update
     return stream.groupBy("session").applyInPandasWithState(
@@ -111,20 +137,30 @@ def refresh(stream: DataFrame, keys: list[str], version: str, folder: str) -> Ca
     readers always see a complete table.  Call the result for the newest snapshot.
     """
     spark = stream.sparkSession
-    done: list[int] = []
+    schema = stream.schema
+
+    def snapshots() -> list[int]:
+        """Complete snapshots in the folder, which outlives this process."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(p.getName().split("=")[1]) for p in names if p.getName().startswith("snapshot=")
+                      and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def read(number: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{folder}/snapshot={number}")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        previous = [b for b in done if b < batch_id]
-        base = spark.read.parquet(f"{folder}/snapshot={previous[-1]}") if previous else batch.limit(0)
+        before = [b for b in snapshots() if b < batch_id]
+        base = read(before[-1]) if before else batch.limit(0)
         upsert_latest(base, batch, keys, version).write.mode("overwrite").parquet(f"{folder}/snapshot={batch_id}")
-        if batch_id not in done:
-            done.append(batch_id)
 
     query: StreamingQuery = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/_state")
                              .trigger(availableNow=True).start())
 
-    def latest() -> DataFrame:
+    def newest() -> DataFrame:
         query.awaitTermination()
-        return spark.read.parquet(f"{folder}/snapshot={done[-1]}")
+        have = snapshots()
+        return read(have[-1]) if have else spark.createDataFrame([], schema)
 
-    return latest
+    return newest
