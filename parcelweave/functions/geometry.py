@@ -1,7 +1,8 @@
 """Polygon mathematics as native SQL expressions.
 
-A geometry is ``rings``: an array of outer rings, each an array of (x, y)
-structs.  Everything that needs area or containment works on ``walls``: the
+A geometry is ``rings``, an array of arrays of (x, y) structs.  A single ring is
+solid whatever its direction; of several, counter-clockwise ones are solid and
+clockwise ones are holes (``oriented`` makes them so).  Everything that needs area or containment works on ``walls``: the
 non-vertical ring edges written left to right as (lx, yl, rx, yr) with a sign,
 +1 where the polygon lies below the edge and -1 where it lies above.  A polygon
 is the signed sum of the regions under its walls, so areas, overlaps and point
@@ -82,16 +83,27 @@ def ring_area(ring: str) -> str:
                  f"(({p}.x - {ox}) * ({q}.y - {oy}) - ({q}.x - {ox}) * ({p}.y - {oy})) / 2)")
 
 
+def turned(ring: str, hole: bool = False) -> str:
+    """The ring counter-clockwise, or clockwise for a hole."""
+    return f"CASE WHEN {ring_area(ring)} {'<=' if hole else '>='} 0 THEN {ring} ELSE reverse({ring}) END"
+
+
+def oriented(parts: str) -> str:
+    """Rings of polygons given as arrays of an outer ring and its holes."""
+    return "flatten(" + each(keep(parts, lambda p: f"size({p}) > 0"), lambda p: (
+        f"concat(array({turned(f'{p}[0]')}), {each(f'slice({p}, 2, size({p}))', lambda r: turned(r, True))})")) + ")"
+
+
 def edges(rings: str) -> str:
-    """Counter-clockwise directed edges of all parts."""
-    return "flatten(" + each(
-        keep(rings, lambda r: f"size({r}) >= 3"),
-        lambda r: f"CASE WHEN {ring_area(r)} >= 0 THEN {_pairs(r)} ELSE {_pairs(f'reverse({r})')} END") + ")"
+    """Directed edges of all parts, the inside to their left."""
+    def of(rs):
+        return (f"flatten({each(rs, lambda r: f'CASE WHEN size({rs}) > 1 OR {ring_area(r)} >= 0 THEN {_pairs(r)} ELSE ' + _pairs(f'reverse({r})') + ' END')})")
+    return let(of, rs=keep(rings, lambda r: f"size({r}) >= 3"))
 
 
 def area(rings: str) -> str:
-    """Planar area: sum of absolute ring areas, rings under 3 points skipped."""
-    return total(each(keep(rings, lambda r: f"size({r}) >= 3"), lambda r: f"abs({ring_area(r)})"))
+    """Planar area: solid rings less holes, rings under 3 points skipped."""
+    return "abs(" + total(each(keep(rings, lambda r: f"size({r}) >= 3"), ring_area)) + ")"
 
 
 def _authalic_q(lat: str) -> str:

@@ -67,7 +67,10 @@ class Inputs:
         return self._shaped("fx_zones", geo.rectangle("x0", "y0", "x1", "y1"))
 
     def layer(self) -> DataFrame:
-        return self._shaped("fx_layer", geo.polygon(("x0", "y0"), ("x1", "y0"), ("x1", "y1 - cut"), ("x1 - cut", "y1"), ("x0", "y1")))
+        """Rectangles with a cut corner; every third one has a rectangular hole."""
+        outer = geo.polygon(("x0", "y0"), ("x1", "y0"), ("x1", "y1 - cut"), ("x1 - cut", "y1"), ("x0", "y1"))
+        hole = geo.rectangle("x0 + (x1 - x0) / 4", "y0 + (y1 - y0) / 4", "(x0 + x1) / 2", "(y0 + y1) / 2")
+        return self._shaped("fx_layer", f"CASE WHEN feature_id % 3 = 0 THEN {geo.oriented(f'array(concat({outer}, {hole}))')} ELSE {outer} END")
 
     def planned_roads(self) -> DataFrame:
         return self._shaped("fx_planned_roads", geo.rectangle("x0", "y0", "x1", "y1"))

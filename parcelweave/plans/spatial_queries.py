@@ -9,15 +9,16 @@ from ..functions import geometry as geo
 from ..operators import grid, spatial
 from .registry import LAYER_REGISTRY, REGISTRY_CTE, Inputs, query, sql
 
-# overlap of a parcel rectangle with a layer rectangle whose top right corner is cut at 45 degrees
+# overlap of a parcel rectangle with a layer rectangle whose top right corner is cut at 45 degrees, less its rectangular hole
 OVERLAP_CTE = """
 ov_box AS (SELECT p.pnu, p.id, p.geom_area, l.feature_id, l.layer_id, l.name, l.code, l.forest_type, l.species, l.updated_year,
     greatest(p.x0, l.x0) AS ax, least(p.x1, l.x1) AS bx, greatest(p.y0, l.y0) AS ay, least(p.y1, l.y1) AS by_,
-    l.x1 + l.y1 - l.cut AS lim
+    l.x1 + l.y1 - l.cut AS lim, CASE WHEN l.feature_id % 3 = 0 THEN
+      greatest(least(p.x1, (l.x0 + l.x1) / 2) - greatest(p.x0, l.x0 + (l.x1 - l.x0) / 4), 0) * greatest(least(p.y1, (l.y0 + l.y1) / 2) - greatest(p.y0, l.y0 + (l.y1 - l.y0) / 4), 0) ELSE 0 END AS hole
   FROM fx_parcels p JOIN fx_layer l ON p.x0 < l.x1 AND p.x1 > l.x0 AND p.y0 < l.y1 AND p.y1 > l.y0),
 ov_area AS (SELECT *, (bx - ax) * (by_ - ay) - (
     power(greatest(bx + by_ - lim, 0), 2) - power(greatest(ax + by_ - lim, 0), 2)
-    - power(greatest(bx + ay - lim, 0), 2) + power(greatest(ax + ay - lim, 0), 2)) / 2 AS area FROM ov_box),
+    - power(greatest(bx + ay - lim, 0), 2) + power(greatest(ax + ay - lim, 0), 2)) / 2 - hole AS area FROM ov_box),
 ov AS (SELECT pnu, id, feature_id, layer_id, name, code, forest_type, species, updated_year, round_even(area, 1) AS area_m2,
     round_even(area * 100 / geom_area, 1) AS share_pct FROM ov_area WHERE area > 0.000001)"""
 
@@ -87,13 +88,14 @@ SELECT feature_id, CAST(0 AS BIGINT) AS part, CAST(seq AS BIGINT) AS seq, x, y F
   SELECT feature_id, 2, x1, y1 - cut FROM fx_layer UNION ALL SELECT feature_id, 3, x1 - cut, y1 FROM fx_layer UNION ALL
   SELECT feature_id, 4, x0, y1 FROM fx_layer) t"""))
 def outer_rings(i: Inputs):
-    rings = i.layer().select("feature_id", F.posexplode("rings").alias("part", "ring"))
+    outer = F.expr(geo.keep("rings", lambda r: f"{geo.ring_area(r)} > 0"))
+    rings = i.layer().select("feature_id", F.posexplode(outer).alias("part", "ring"))
     return rings.select("feature_id", F.col("part").cast("bigint").alias("part"), F.posexplode("ring").alias("seq", "pt")) \
         .select("feature_id", "part", F.col("seq").cast("bigint").alias("seq"), F.col("pt.x").alias("x"), F.col("pt.y").alias("y"))
 
 
 @query("polygon_area", sql("fx_layer", """
-SELECT feature_id, (x1 - x0) * (y1 - y0) - cut * cut / 2 AS area_m2 FROM fx_layer"""))
+SELECT feature_id, (x1 - x0) * (y1 - y0) - cut * cut / 2 - CASE WHEN feature_id % 3 = 0 THEN (x1 - x0) * (y1 - y0) / 16 ELSE 0 END AS area_m2 FROM fx_layer"""))
 def polygon_area(i: Inputs):
     return i.layer().select("feature_id", F.expr(geo.area("rings")).alias("area_m2"))
 

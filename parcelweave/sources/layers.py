@@ -12,28 +12,44 @@ _COORDS = "array<array<array<double>>>"
 
 
 def rings_from_geojson(geometry: Column) -> Column:
-    """Outer rings of a GeoJSON Polygon or MultiPolygon string."""
+    """Outer rings and holes of a GeoJSON Polygon or MultiPolygon string."""
     kind = F.get_json_object(geometry, "$.type")
     coords = F.get_json_object(geometry, "$.coordinates")
     as_points = lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     poly = F.from_json(coords, _COORDS)
     multi = F.from_json(coords, f"array<{_COORDS}>")
-    return (F.when(kind == "Polygon", F.transform(F.slice(poly, 1, 1), as_points))
-            .when(kind == "MultiPolygon", F.transform(F.filter(multi, lambda p: F.size(p) > 0),
-                                                      lambda p: as_points(p[0])))
-            .otherwise(F.array().cast("array<array<struct<x:double,y:double>>>")))
+    parts = (F.when(kind == "Polygon", F.array(F.transform(poly, as_points)))
+             .when(kind == "MultiPolygon", F.transform(multi, lambda p: F.transform(p, as_points)))
+             .otherwise(F.array().cast("array<array<array<struct<x:double,y:double>>>>")))
+    return _oriented(parts)
+
+
+def _oriented(parts: Column) -> Column:
+    """Parts (outer ring, then holes) as rings whose direction tells solid from hole."""
+    def area(ring):
+        following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+        o = ring[0]
+        twice = F.zip_with(ring, following, lambda p, q: (p["x"] - o["x"]) * (q["y"] - o["y"]) - (q["x"] - o["x"]) * (p["y"] - o["y"]))
+        return F.reduce(twice, F.lit(0.0), lambda a, v: a + v)
+
+    solid = lambda r: F.when(area(r) >= 0, r).otherwise(F.reverse(r))
+    hole = lambda r: F.when(area(r) <= 0, r).otherwise(F.reverse(r))
+    full = F.transform(parts, lambda p: F.filter(p, lambda r: F.size(r) > 0))
+    return F.flatten(F.transform(F.filter(full, lambda p: F.size(p) > 0), lambda p: F.concat(
+        F.array(solid(p[0])), F.transform(F.slice(p, 2, F.size(p)), hole))))
 
 
 def rings_from_wkt(text: Column) -> Column:
-    """Outer ring of each part of a WKT POLYGON or MULTIPOLYGON."""
+    """Outer ring and holes of each part of a WKT POLYGON or MULTIPOLYGON."""
     body = F.regexp_replace(F.upper(text), r"^\s*(MULTI)?POLYGON\s*Z?\s*", "")
     # a part opens with two brackets; holes follow inside the part after "),("
     parts = F.regexp_extract_all(body, F.lit(r"\(\s*(\([^()]*\)(?:\s*,\s*\([^()]*\))*)\s*\)"), 1)
-    first = F.transform(parts, lambda p: F.regexp_extract(p, r"\(([^()]*)\)", 1))
-    return F.transform(first, lambda r: F.transform(
+    rings = F.transform(parts, lambda p: F.regexp_extract_all(p, F.lit(r"\(([^()]*)\)"), 1))
+    points = lambda r: F.transform(
         F.split(F.trim(r), r"\s*,\s*"),
         lambda p: F.struct(F.element_at(F.split(F.trim(p), r"\s+"), 1).cast("double").alias("x"),
-                           F.element_at(F.split(F.trim(p), r"\s+"), 2).cast("double").alias("y"))))
+                           F.element_at(F.split(F.trim(p), r"\s+"), 2).cast("double").alias("y")))
+    return _oriented(F.transform(rings, lambda p: F.transform(p, points)))
 
 
 # projected systems of the source layers: central meridian, origin latitude, scale, false easting/northing
@@ -70,10 +86,10 @@ def prepare_layer(raw: DataFrame, src_crs: str | None = None, dst_crs: str | Non
 
 
 def write_layer(prepared: DataFrame, path: str, size: float) -> None:
-    """Store a layer one row per (feature, cell), sorted by cell so scans prune."""
+    """Store layers one row per (feature, cell), sorted by cell so scans prune; other layers in the folder stay."""
     cells = grid.with_cells(prepared.drop("walls", "edges"), size)
     (cells.repartitionByRange("cx", "cy").sortWithinPartitions("cx", "cy")
-     .write.mode("overwrite").partitionBy("layer_id").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer_id").parquet(path))
 
 
 def read_layer(spark: SparkSession, path: str) -> DataFrame:

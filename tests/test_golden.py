@@ -183,3 +183,25 @@ def test_massing_caps_target(spark):
 
 def test_use_names_are_consistent():
     assert set(fv.PARKING_RULES) <= set(fv.USE_MATRIX)
+
+
+def test_polygons_with_holes(spark):
+    """A square with a square hole, from both text formats and either ring direction."""
+    from parcelweave.functions import geometry as geo
+    from parcelweave.operators import grid, spatial
+    from parcelweave.sources import layers
+    import json
+    outer, hole = [[0, 0], [10, 0], [10, 10], [0, 10], [0, 0]], [[2, 2], [8, 2], [8, 8], [2, 8], [2, 2]]
+    far = [[20, 0], [22, 0], [22, 2], [20, 2], [20, 0]]
+    shapes = {"ccw": {"type": "Polygon", "coordinates": [outer, hole]}, "cw": {"type": "Polygon", "coordinates": [outer[::-1], hole[::-1]]},
+              "multi": {"type": "MultiPolygon", "coordinates": [[outer, hole], [far[::-1]]]}}
+    raw = spark.createDataFrame([(k, json.dumps(v)) for k, v in shapes.items()], "feature_id string, g string").withColumn("rings", layers.rings_from_geojson(F.col("g")))
+    wkt = spark.createDataFrame([("wkt", "MULTIPOLYGON (((0 0, 10 0, 10 10, 0 10, 0 0), (2 2, 2 8, 8 8, 8 2, 2 2)), ((20 0, 22 0, 22 2, 20 2, 20 0)))")], "feature_id string, g string")
+    both = grid.with_shape(raw.unionByName(wkt.withColumn("rings", layers.rings_from_wkt(F.col("g")))))
+    area = {r[0]: r[1] for r in both.select("feature_id", F.expr(geo.area("rings"))).collect()}
+    assert area == {"ccw": 64.0, "cw": 64.0, "multi": 68.0, "wkt": 68.0}
+    parcel = grid.with_shape(spark.sql("SELECT 1 AS pnu, 64D AS geom_area"), geo.rectangle("1", "1", "9", "9")).withColumn("geom_area", F.lit(64.0))
+    found = spatial.overlay(parcel, both, keep=()).collect()
+    assert {r.feature_id: r.area_m2 for r in found} == dict.fromkeys(area, 28.0)  # 8 x 8 less 6 x 6
+    inside = both.select("feature_id", F.expr(geo.contains("walls", "5D", "5D")).alias("a"), F.expr(geo.contains("walls", "1D", "5D")).alias("b")).collect()
+    assert all((r.a, r.b) == (False, True) for r in inside)
