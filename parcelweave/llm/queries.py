@@ -26,7 +26,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 WORDS = r"[^\x20\x09-\x0D]+"
 LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
 
+RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
+WEIGHTS = " ".join(f"WHEN {k} THEN {w}::DOUBLE" for k, w in enumerate(mixing.WEIGHTS))
+
 ORACLES: dict[str, str] = {
+    "op1_url_filters": rf"""
+WITH r AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM (SELECT page_id, coalesce(url, '') AS url FROM pages) u),
+p AS MATERIALIZED (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+rules AS (SELECT h || s AS rule, * FROM (VALUES {RULES}) AS t(h, s, v)),
+listed AS MATERIALIZED (SELECT DISTINCT host AS l FROM p WHERE host <> '' AND starts_with(md5(host), '{url_filter.LIST_PREFIX}')),
+j AS (SELECT p.*, (SELECT arg_max({{'rule': rule, 'v': v}}, length(rule)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s)) AS best,
+  EXISTS (SELECT 1 FROM listed WHERE host = l OR ends_with(host, '.' || l)) AS listed FROM p)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM j""",
+    "op5_source_mixing": rf"""
+WITH s AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS size, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, {mixing.KEY_BITS // 4}) AS BIGINT) AS key FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} {WEIGHTS} END AS w FROM s GROUP BY source),
+cap AS (SELECT *, source_size::DOUBLE * {mixing.MOST_EPOCHS} AS cap, source_size::DOUBLE * {mixing.MOST_EPOCHS} / w AS ratio FROM src),
+-- the share of a unit of weight is the largest of what is left after each number of full sources
+unit AS (SELECT max(((SELECT sum(source_size) FROM src) - before) / behind) AS unit FROM (SELECT sum(cap) OVER o - cap AS before, sum(w) OVER (ORDER BY ratio DESC, source DESC NULLS FIRST ROWS UNBOUNDED PRECEDING) AS behind
+  FROM cap WINDOW o AS (ORDER BY ratio, source NULLS LAST ROWS UNBOUNDED PRECEDING)) x),
+t AS (SELECT source, source_size, least(w * unit, cap) AS target FROM cap, unit),
+p AS (SELECT s.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(floor(target) / source_size) AS BIGINT) ELSE 0 END AS epochs, sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM s JOIN t ON t.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - epochs * source_size - start)) AS BIGINT) AS taken FROM p""",
     "op3_ngram_join": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '{WORDS}') AS w FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS sh FROM w, unnest(range(1, len(w) - 3)) AS t(i)
