@@ -19,10 +19,12 @@ def weighted_limits(shares: DataFrame, parcel_id: str = "pnu") -> DataFrame:
     (``found``, ``bcr_max_pct``, ``far_max_pct``).  Applied with two or more pieces whose
     smallest is at most 330 m2; one unresolved piece leaves the limits unchanged.
     """
+    # areas have one decimal and limits at most one, so decimal sums are exact in any order
+    area, exact = F.col("area_m2").cast("decimal(18,1)"), lambda c: F.col(c).cast("decimal(9,1)")
     g = (shares.filter(F.col("area_m2") > 0).groupBy(parcel_id).agg(
-        F.count(F.lit(1)).alias("pieces"), F.min("area_m2").alias("smallest"), F.sum("area_m2").alias("total"),
+        F.count(F.lit(1)).alias("pieces"), F.min("area_m2").alias("smallest"), F.sum(area).cast("double").alias("total"),
         F.min(F.col("found").cast("int")).alias("all_found"),
-        F.sum(F.col("area_m2") * F.col("bcr_max_pct")).alias("b"), F.sum(F.col("area_m2") * F.col("far_max_pct")).alias("f")))
+        F.sum(area * exact("bcr_max_pct")).cast("double").alias("b"), F.sum(area * exact("far_max_pct")).cast("double").alias("f")))
     due = (F.col("pieces") >= 2) & (F.col("smallest") <= fv.STRADDLE_MAX_PIECE_M2)
     status = F.when(due & (F.col("all_found") == 1), "WEIGHTED").when(due, "UNRESOLVED").otherwise("UNCHANGED")
     g = g.withColumn("weighting", status)

@@ -43,6 +43,8 @@ def tfidf_index(chunks: DataFrame, key: str = "chunk_no", meta: tuple[str, ...]
     The filter columns of a chunk ride along in its postings, so a search never joins
     back to the chunk table before its top-k.
     """
+    if "jurisdiction" in meta:  # once for each chunk instead of each posting
+        chunks = chunks.withColumn("jurisdiction", tidy(F.col("jurisdiction")))
     tf = chunks.select(key, *meta, F.explode(tokens(F.col("text"))).alias("term")).groupBy(key, *meta, "term").agg(F.count(F.lit(1)).alias("tf"))
     vocab = vocabulary(tf, chunks.agg(F.count(F.lit(1)).alias("n")))
     raw = tf.join(vocab, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
@@ -50,9 +52,13 @@ def tfidf_index(chunks: DataFrame, key: str = "chunk_no", meta: tuple[str, ...]
     return raw.withColumn("weight", F.col("w") / norm).select("term", key, *meta, "weight"), vocab
 
 
+def tidy(name: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", " "))
+
+
 def same_jurisdiction(requested: Column, indexed: Column) -> Column:
-    tidy = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    a, b = tidy(requested), tidy(indexed)
+    """Of tidy names: equal, or one ends with the other as its last words."""
+    a, b = requested, indexed
     return (a != "") & (b != "") & ((a == b) | b.endswith(F.concat(F.lit(" "), a)) | a.endswith(F.concat(F.lit(" "), b)))
 
 
@@ -66,7 +72,7 @@ def search(queries: DataFrame, postings: DataFrame, vocab: DataFrame, k: int = 5
     """
     q = (tokenize(queries, "query_id", "query").join(vocab, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf")))
     q = q.withColumn("qw", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))).select("query_id", "term", "qw")
-    q = q.join(queries.select("query_id", F.col("jurisdiction").alias("want"), "effective_on"), "query_id")
+    q = q.join(queries.select("query_id", tidy(F.col("jurisdiction")).alias("want"), "effective_on"), "query_id")
     law = F.col("kind").startswith("법령-")
     p = postings.filter(law) if scope == "law" else postings.filter(~law) if scope == "ordinance" else postings
     seen = p.join(q, "term")

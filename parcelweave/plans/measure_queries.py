@@ -14,7 +14,7 @@ WEIGHT_CTE = SHARES_CTE.strip() + """,
 zj AS (SELECT p.id, s.pnu, s.zone, p.jurisdiction, s.area_m2 FROM shares s JOIN fx_parcels p ON p.pnu = s.pnu),
 """ + limits_cte("zl", "zj") + """,
 wt AS (SELECT z.pnu, count(*) AS pieces, CASE WHEN count(*) >= 2 AND min(z.area_m2) <= 330 THEN CASE WHEN bool_and(l.found) THEN 'WEIGHTED' ELSE 'UNRESOLVED' END
-    ELSE 'UNCHANGED' END AS weighting, sum(z.area_m2 * l.bcr_max_pct) / sum(z.area_m2) AS b, sum(z.area_m2 * l.far_max_pct) / sum(z.area_m2) AS f
+    ELSE 'UNCHANGED' END AS weighting, CAST(sum(CAST(z.area_m2 AS DECIMAL(18,1)) * CAST(l.bcr_max_pct AS DECIMAL(9,1))) AS DOUBLE) / CAST(sum(CAST(z.area_m2 AS DECIMAL(18,1))) AS DOUBLE) AS b, CAST(sum(CAST(z.area_m2 AS DECIMAL(18,1)) * CAST(l.far_max_pct AS DECIMAL(9,1))) AS DOUBLE) / CAST(sum(CAST(z.area_m2 AS DECIMAL(18,1))) AS DOUBLE) AS f
   FROM zj z JOIN zl l ON l.id = z.id AND l.zone = z.zone WHERE z.area_m2 > 0 GROUP BY z.pnu)"""
 
 
