@@ -15,6 +15,7 @@ empty table gives an empty result; a document longer than a window fills several
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -31,7 +32,7 @@ SHARD_ROWS = 512
 #: BM25
 K1, B = 1.2, 0.75
 #: words whose ids a task keeps at most; beyond it the store is begun anew
-STORE_WORDS = 400_000
+STORE_WORDS = 800_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -39,22 +40,39 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordIds:
     """Ids of texts, word by word, as unsigned 32-bit little-endian bytes."""
 
+    #: a stop or comma between a letter (one that lower case keeps a letter) and white space is a token of its own
+    MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([.,])(?=[ \n]|$)")
+
     def __init__(self, tokenizer):
         self.tokenizer, self.store = tokenizer, {}
 
+    def words(self, text: str) -> list[str]:
+        """What parts a text without changing its ids; only blank and line feed are white space here."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:  # lower case may depend on more than the letter
+            pass
+        else:
+            text = text.lower()
+        return self.MARK.sub(r" \1", text).replace("\n", " ").split(" ")
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words, from one text of them all; a token belongs to the word it starts in."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ends = np.cumsum([len(w) + 1 for w in words])
+        at = np.searchsorted(ends, np.fromiter((a for a, _ in found.offsets), np.int64, len(found)), "right")
+        cuts = np.searchsorted(at, np.arange(len(words) + 1))
+        ids = np.array(found.ids, "<u4")
+        self.store.update((w, ids[a:b].tobytes()) for w, a, b in zip(words, cuts[:-1].tolist(), cuts[1:].tolist()))
+
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[list[str]]]:
-        """Bytes of the ids, and the words, of each text.  Only blank and line feed part words here."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+        """Bytes of the ids, and the words, of each text."""
+        words = [self.words(t) for t in texts]
         if len(self.store) > STORE_WORDS:
             self.store.clear()
         new = [w for w in set().union(*words) if w not in self.store] if words else []
-        # a final stop or comma after a letter is a token of its own, and case does not matter to ASCII words
-        plain = {w: (w[:-1] if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() else w) for w in new}
-        plain = {w: (p.lower() if p.isascii() else p) for w, p in plain.items()}
-        ask = list({p for p in plain.values()} | {".", ","})
-        ids = dict(zip(ask, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(ask, add_special_tokens=False))))
-        for w, p in plain.items():
-            self.store[w] = ids[p] + (ids[w[-1]] if len(w) > len(p) else b"")
+        for k in range(0, len(new), 1000):
+            self._learn(new[k : k + 1000])
         get = self.store.__getitem__
         return [b"".join(map(get, ws)) for ws in words], words
 
