@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,7 +19,19 @@ STEP_BYTES = 8 << 20
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """This package for the executors, once for each application, so tasks can import it wherever they run."""
+    root = Path(__file__).resolve().parents[2]
+    if spark.sparkContext.applicationId not in _shipped and root.is_dir():
+        _shipped.add(spark.sparkContext.applicationId)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/parcelweave", "zip", root, "parcelweave"))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -24,6 +40,15 @@ def identified(df: DataFrame, key: str, *columns: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), *columns)
 
 
+#: ids told to every task (16 MB), so that documents are picked before they move; above it they meet by a join
+MOST_TOLD = 1 << 21
+
+
+def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is in ``ids`` (distinct, stored); their number decides how."""
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_TOLD else ids, "doc_id", "left_semi")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

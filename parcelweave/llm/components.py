@@ -23,15 +23,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     ``edges`` has columns u and v; nulls, loops and repeated edges do no harm.
     """
-    e, mark = stage(_tidy(edges.where("u IS NOT NULL AND v IS NOT NULL")), name), None
+    e = stage(_tidy(edges.where("u IS NOT NULL AND v IS NOT NULL")), name)
     while True:
+        ends = e.select(F.col("u").alias("id"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(e.select(F.col("v").alias("id"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        ends = ends.groupBy("id").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        if ends.where("below > 1 OR below = 1 AND above = 1").isEmpty():  # every node hangs on one root
+            return e.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         e = stage(_tidy(small), name)
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
-        mark = now

@@ -9,13 +9,16 @@ A tree over all documents would be one task, so points meet by *route*: of two s
 rarest quarter of each must share a shingle (the prefix filter), so every document is sent along the
 shingles of its prefix.  "Rare" needs only a common order; shingles that are frequent anywhere come last.
 
-1. One pass digests the sets (equal sets form a class, one member stands for it), makes the points and
-   reports frequent shingles.
+1. One pass digests the sets (equal sets form a class, one member stands for it) and reports frequent
+   shingles.
 2. A second pass sends prefixes along, packed by bucket; shingles with one document drop out.
 3. Star rounds: on each route one pivot is verified against the others.  A group of near copies becomes
    one component this way with as many checks as members, never all pairs.
 4. On routes that still lead through several components the tree finds all pairs of different
    components whose bound suffices; they are verified.  No link between different components is lost.
+   A pair also needs enough shingles from the shared one on, in the common order, in both sets: it is
+   sure to have them on the route of its first shared shingle, so other routes may leave it.  Of routes
+   with the same documents only the first in order, where most shingles are left, is searched.
 
 Frequent routes are split: buckets by salted parts, trees by pairs of blocks, pivots by groups of
 ``PIVOT_ROWS``.
@@ -26,24 +29,26 @@ in one component; rows that share an id are one node; an empty table gives an em
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stages import stage
-from .common import identified, mix64, steps
+from .common import identified, mix64, picked, steps
 from .components import components
 from .shingles import set_digest, shingle_sets
 
 #: a link needs 100 * intersection >= PERCENT * union
 PERCENT = 75
 #: shingles that count as frequent: so often within one task's slice of the corpus; and how many are told to all tasks (4 MB)
-LOCAL_COUNT, MOST_FREQUENT = 4, 1 << 18
+LOCAL_COUNT, MOST_FREQUENT = 3, 1 << 18
 #: distinct shingles counted at a time within a task
 COUNT_ROWS = 1 << 22
 #: postings of one bucket part, rows of one tree, checks of one pivot group
-PART_ROWS, TREE_ROWS, PIVOT_ROWS = 1 << 18, 2048, 256
+PART_ROWS, TREE_ROWS, PIVOT_ROWS = 1 << 18, 1024, 256
 #: shingles to a group of the count vector
 GROUP_SIZE = 8
 STAR_ROUNDS = 2
@@ -59,6 +64,12 @@ def enough(overlap, a, b):
     return 100 * overlap >= PERCENT * (a + b - overlap)
 
 
+def linked(s: np.ndarray, t: np.ndarray) -> bool:
+    """The exact test, on sorted distinct shingles."""
+    both = np.sort(np.concatenate([s, t]))
+    return enough(int(np.count_nonzero(both[1:] == both[:-1])), len(s), len(t))
+
+
 def count_vector(s: np.ndarray) -> np.ndarray:
     groups = 8
     while groups * GROUP_SIZE < len(s) and groups < 4096:
@@ -74,22 +85,23 @@ def fold(vectors: np.ndarray, groups: int) -> np.ndarray:
 
 
 class CountTree:
-    """An R-tree over count vectors, packed by size; boxes keep coordinate maxima and least sizes."""
+    """An R-tree over count vectors, packed by size; boxes keep maxima of coordinates and rests, and least sizes."""
 
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, rests: np.ndarray):
         self.order = np.argsort(sizes, kind="stable")
-        self.levels = [(vectors[self.order], sizes[self.order])]
+        self.levels = [(vectors[self.order], sizes[self.order], rests[self.order])]
         while len(self.levels[-1][0]) > FANOUT:
-            v, n = self.levels[-1]
+            v, n, r = self.levels[-1]
             at = np.arange(0, len(v), FANOUT)
-            self.levels.append((np.maximum.reduceat(v, at), np.minimum.reduceat(n, at)))
+            self.levels.append((np.maximum.reduceat(v, at), np.minimum.reduceat(n, at), np.maximum.reduceat(r, at)))
 
-    def search(self, vector: np.ndarray, size: int) -> np.ndarray:
+    def search(self, vector: np.ndarray, size: int, rest: int) -> np.ndarray:
         """Numbers of the points that may overlap enough."""
         at = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
-            v, n = self.levels[depth]
-            bound = np.minimum(np.minimum(v[at], vector).sum(1), size)
+            v, n, r = self.levels[depth]
+            at = at[enough(np.minimum(r[at], rest), n[at], size)]
+            bound = np.minimum(v[at], vector).sum(1)
             at = at[enough(bound, n[at], size)]
             if depth:
                 at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
@@ -97,32 +109,47 @@ class CountTree:
         return self.order[at]
 
 
-def tree_pairs(vectors: list[np.ndarray], sizes: np.ndarray, components_: np.ndarray, left: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (i, j) of different components that may link; ``left`` tells the two blocks apart (-1: one block, all pairs)."""
-    out = []
+def tree_pairs(vectors: list[np.ndarray], sizes: np.ndarray, rests: np.ndarray, left: np.ndarray):
+    """Pairs (i, j) that may link, each once.
+
+    ``rests`` are the shingles each set has from the route's one on; ``left`` tells two blocks apart (-1: one block, all pairs).
+    """
     widths = np.array([len(v) for v in vectors])
     for g in np.unique(widths):
         # linked sets differ in size by less than a factor of two, so in groups by one step
         near = np.flatnonzero((widths == g) | (widths == 2 * g))
         points = np.concatenate([fold(vectors[k][None], g) for k in near])
-        tree = CountTree(points, sizes[near])
+        tree = CountTree(points, sizes[near], rests[near])
         for a, k in enumerate(near):
-            if widths[k] != g:
-                continue
-            for b in tree.search(points[a], int(sizes[k])):
-                j = near[b]
-                if components_[j] == components_[k] or (left[k] >= 0 and left[k] == left[j]):
-                    continue
-                if (widths[j] == g and j < k) or not enough(min(sizes[k], sizes[j]), sizes[k], sizes[j]):
-                    continue
-                out.append((int(k), int(j)))
+            if widths[k] == g:
+                j = near[tree.search(points[a], int(sizes[k]), int(rests[k]))]
+                j = j[((widths[j] != g) | (j > k)) & ((left[k] < 0) | (left[j] != left[k])) & enough(np.minimum(sizes[j], sizes[k]), sizes[j], sizes[k])]
+                for other in j:
+                    yield int(k), int(other)
+
+
+def tree_links(ids: list[int], sets: list[np.ndarray], rests: np.ndarray, components_: list[int], left: np.ndarray) -> list[tuple[int, int]]:
+    """Verified links that join components, one for each two that meet; pairs within a component need no check."""
+    root = {c: c for c in components_}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for k, j in tree_pairs([count_vector(s) for s in sets], np.array([len(s) for s in sets]), rests, left):
+        a, b = find(components_[k]), find(components_[j])
+        if a != b and linked(sets[k], sets[j]):
+            root[a] = b
+            out.append((ids[k], ids[j]))
     return out
 
 
 def _digests(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, n, h1, h2, vector of each document; kind 1: frequent shingle h1 with its count n."""
-    names = ["kind", "doc_id", "n", "h1", "h2", "vector"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    """kind 0: doc_id, n, h1, h2 of each document; kind 1: frequent shingle h1 with its count n."""
+    names = ["kind", "doc_id", "n", "h1", "h2"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
         held, rows, seen = [], 0, set()
@@ -131,13 +158,13 @@ def _digests(docs: DataFrame) -> DataFrame:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= LOCAL_COUNT
             v, c = values[often].astype(np.int64), counts[often]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((np.ones(len(v)), np.zeros(len(v)), c, v, np.zeros(len(v))), kinds)] + [pa.nulls(len(v), pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((np.ones(len(v)), np.zeros(len(v)), c, v, np.zeros(len(v))), kinds)], names)
 
         for step in steps(batches, "text"):
             sets = shingle_sets(step.column(1))
             digests = [set_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), kinds[0]), step.column(0), pa.array([len(s) for s in sets], kinds[2]), pa.array([d[0] for d in digests], kinds[3]),
-                                              pa.array([d[1] for d in digests], kinds[4]), pa.array([count_vector(s).tobytes() for s in sets], kinds[5])], names)
+                                              pa.array([d[1] for d in digests], kinds[4])], names)
             for s, d in zip(sets, digests):
                 if len(s) and d not in seen:
                     seen.add(d)
@@ -149,20 +176,20 @@ def _digests(docs: DataFrame) -> DataFrame:
         if held:
             yield frequent()
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, h1 long, h2 long, vector binary")
+    return docs.mapInArrow(run, "kind int, doc_id long, n long, h1 long, h2 long")
 
 
 def _routes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: int, parts: int) -> DataFrame:
-    """(token, doc_id, n) of every prefix shingle that two documents share."""
+    """(token, doc_id, n, rest) of every prefix shingle that two documents share; rest: shingles from it on, in the common order."""
     spark = docs.sparkSession
     told = spark.sparkContext.broadcast(frequent)
 
     def send(batches):
         values, counts = told.value
-        seen, tokens, owners, sizes, rows = set(), [], [], [], 0
+        seen, tokens, owners, sizes, rests, rows = set(), [], [], [], [], 0
 
         def packed():
-            t, d, n = np.concatenate(tokens), np.concatenate(owners), np.concatenate(sizes)
+            t, d, n, r = np.concatenate(tokens), np.concatenate(owners), np.concatenate(sizes), np.concatenate(rests)
             hot = np.zeros(len(t), np.int64)
             if len(values):
                 at = np.minimum(np.searchsorted(values, t), len(values) - 1)
@@ -170,11 +197,11 @@ def _routes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: i
                 hot[many] = 1 + (mix64(d[many].astype(np.uint64)) % np.maximum(1, counts[at[many]] // PART_ROWS + 1).astype(np.uint64)).astype(np.int64)
             key = (mix64(t) % np.uint64(buckets)).astype(np.int64) * parts + hot % parts
             order = np.argsort(key, kind="stable")
-            key, t, d, n = key[order], t[order], d[order], n[order]
+            key, t, d, n, r = key[order], t[order], d[order], n[order], r[order]
             cuts = np.flatnonzero(np.diff(key)) + 1
             firsts = np.concatenate([[0], cuts])
             column = lambda x: pa.array([p.tobytes() for p in np.split(x, cuts)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(key[firsts], pa.int64()), column(t), column(d), column(n)], ["part", "t", "d", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(key[firsts], pa.int64()), column(t), column(d), column(n), column(r)], ["part", "t", "d", "n", "r"])
 
         for step in steps(batches, "text"):
             for doc_id, s in zip(step.column(0).to_pylist(), shingle_sets(step.column(1))):
@@ -190,19 +217,20 @@ def _routes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: i
                 tokens.append(s_)
                 owners.append(np.full(len(s_), doc_id, np.int64))
                 sizes.append(np.full(len(s_), len(s), np.int32))
+                rests.append(np.arange(len(s), len(s) - len(s_), -1, dtype=np.int32))
                 rows += len(s_)
             if rows > COUNT_ROWS:
                 yield packed()
-                tokens, owners, sizes, rows = [], [], [], 0
+                tokens, owners, sizes, rests, rows = [], [], [], [], 0
         if rows:
             yield packed()
 
     def meet(key, frame):
         t = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["t"]])
         d = np.concatenate([np.frombuffer(x, np.int64) for x in frame["d"]])
-        n = np.concatenate([np.frombuffer(x, np.int32) for x in frame["n"]])
+        n, r = (np.concatenate([np.frombuffer(x, np.int32) for x in frame[c]]) for c in "nr")
         order = np.argsort(t, kind="stable")
-        t, d, n = t[order], d[order], n[order]
+        t, d, n, r = t[order], d[order], n[order], r[order]
         same = np.zeros(len(t), bool)
         eq = t[1:] == t[:-1]
         same[1:] |= eq
@@ -212,18 +240,17 @@ def _routes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: i
             same |= (values_[at] == t) & (told.value[1][at] > PART_ROWS)
         import pandas as pd
 
-        return pd.DataFrame({"token": t[same].astype(np.int64), "doc_id": d[same], "n": n[same].astype(np.int64)})
+        return pd.DataFrame({"token": t[same].astype(np.int64), "doc_id": d[same], "n": n[same].astype(np.int64), "rest": r[same].astype(np.int64)})
 
-    sent = docs.mapInArrow(send, "part long, t binary, d binary, n binary")
-    return sent.groupBy("part").applyInPandas(meet, "token long, doc_id long, n long")
+    sent = docs.mapInArrow(send, "part long, t binary, d binary, n binary, r binary")
+    return sent.groupBy("part").applyInPandas(meet, "token long, doc_id long, n long, rest long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) whose sets link, as (u, v).  Groups of a's partners are split."""
     pairs = stage(pairs, "ngram-pairs")
     salted = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_ROWS).alias("salts")), "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
+    texts = picked(docs, stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ngram-ids"))
     many = texts.join(salted.select("a", F.col("b").alias("doc_id"), "salt"), "doc_id").select("a", "salt", F.lit(1).alias("role"), "doc_id", "text")
     one = texts.join(salted.select("a", "salt").distinct().withColumn("doc_id", F.col("a")), "doc_id").select("a", "salt", F.lit(0).alias("role"), "doc_id", "text")
 
@@ -236,7 +263,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     current, own = (a, salt), []
                 if role == 0:
                     own.append(s)
-                elif any(enough(len(s) + len(p) - len(np.union1d(s, p)), len(s), len(p)) for p in own if enough(min(len(s), len(p)), len(s), len(p))):
+                elif any(linked(s, p) for p in own if enough(min(len(s), len(p)), len(s), len(p))):
                     found.append((a, doc_id))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["u", "v"])
 
@@ -244,39 +271,52 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return stage(met.mapInArrow(run, "u long, v long"), "ngram-links")
 
 
-def _trees(runs: DataFrame, points: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) that the trees of the given routes (token, doc_id, component_id) leave."""
+def _trees(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Links (u, v) between components that the trees of the given routes (token, doc_id, n, rest, component_id) find."""
+    # a partner has the least size of the route at least, and PERCENT of one's own
+    least = runs.groupBy("token").agg(F.min("n").alias("least"))
+    partner = F.greatest(F.col("least").cast("double"), F.col("n") * (PERCENT / 100))
+    runs = runs.join(least, "token").where((100 + PERCENT) * F.col("rest") >= PERCENT * (F.col("n") + partner) - 1e-6)
+    # linked sets differ in size by 100 / PERCENT at most, so a partner is in the same class of sizes or the next one
+    runs = runs.withColumn("class", F.floor(F.log("n") / math.log(100 / PERCENT)))
+    places = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class")
+    sizes = runs.groupBy("token", "class").agg(F.count("*").alias("m")).select("token", "m", places).groupBy("token", "class").agg(F.sum("m").alias("m")).where("m > 1")
+    runs = runs.join(sizes.select("token", "class"), ["token", "class"], "left_semi")
+    facts = runs.groupBy("token").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("s1"),
+                                      F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("s2"), F.sum("rest").alias("rests")).where("low <> high")
+    first = stage(facts.groupBy("m", "s1", "s2").agg(F.max_by("token", "rests").alias("token")).select("token"), "ngram-first")
+    runs = runs.join(first, "token", "left_semi")
     blocks = runs.groupBy("token").agg(F.ceil(F.count("*") / TREE_ROWS).alias("blocks"))
     rows = runs.join(blocks, "token").withColumn("mine", F.pmod(F.xxhash64("doc_id"), "blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     rows = rows.withColumn("other", other).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-    rows = rows.select("token", "i", "j", "mine", "doc_id", "component_id").join(points.select("doc_id", "n", "vector"), "doc_id")
-    rows = rows.select("token", "i", "j", "mine", "doc_id", "component_id", "n", "vector").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    rows = stage(rows.select("token", "i", "j", "mine", "doc_id", "component_id", "rest"), "ngram-searched")
+    texts = picked(docs, stage(rows.select("doc_id").distinct(), "ngram-ids"))
+    rows = rows.join(texts, "doc_id").select("token", "i", "j", "mine", "doc_id", "component_id", "rest", "text").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def run(batches):
         key, held = None, []
 
         def flush():
-            ids = np.array([h[1] for h in held])
-            pairs = tree_pairs([np.frombuffer(h[4], np.uint16) for h in held], np.array([h[3] for h in held]), np.array([h[2] for h in held]),
-                               np.array([h[0] if key[1] != key[2] else -1 for h in held]))
-            return [(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in pairs]
+            left = np.array([h[0] if key[1] != key[2] else -1 for h in held])
+            return tree_links([h[1] for h in held], [h[4] for h in held], np.array([h[3] for h in held]), [h[2] for h in held], left)
+
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["u", "v"])
 
-        for batch in batches:
+        for step in steps(batches, "text"):
             found = []
-            for t, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            for t, i, j, *rest in zip(*(step.column(k).to_pylist() for k in range(7)), shingle_sets(step.column(7))):
                 if (t, i, j) != key:
                     if len(held) > 1:
                         found += flush()
                     key, held = (t, i, j), []
                 held.append(rest)
-            found = list(set(found))
-            yield pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in found], pa.int64()), pa.array([int(x) for _, x in found], pa.int64())], ["a", "b"])
+            yield batch_of(found)
         if len(held) > 1:
-            found = list(set(flush()))
-            yield pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in found], pa.int64()), pa.array([int(x) for _, x in found], pa.int64())], ["a", "b"])
+            yield batch_of(flush())
 
-    return rows.mapInArrow(run, "a long, b long")
+    return stage(rows.mapInArrow(run, "u long, v long").distinct(), "ngram-links")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -304,15 +344,15 @@ def join(docs: DataFrame) -> DataFrame:
     links, known = member.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), None
     for number in range(STAR_ROUNDS + 1):
         placed = routes.join(known, "doc_id") if number else routes.withColumn("component_id", F.col("doc_id"))
-        open_ = placed.groupBy("token").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.min(F.struct(F.xxhash64("doc_id", F.lit(number)).alias("x"), "doc_id", "n", "component_id")).alias("p")).where("low <> high")
+        open_ = placed.groupBy("token").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.min(F.struct(F.xxhash64("doc_id", F.pmod("token", F.lit(1 + 3 * number))).alias("x"), "doc_id", "n", "rest", "component_id")).alias("p")).where("low <> high")
         if number:
             open_ = stage(open_, "ngram-open")
         if number < STAR_ROUNDS:
-            star = placed.join(open_.select("token", "p"), "token").where("p.component_id <> component_id").where(100 * F.least("n", "p.n") >= PERCENT * F.greatest("n", "p.n"))
-            pairs = representatives(star.select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
+            # later rounds try several pivots, by the token, where documents share several routes
+            star = placed.join(open_.select("token", "p"), "token").where("p.component_id <> component_id").where((100 + PERCENT) * F.least("rest", "p.rest") >= PERCENT * (F.col("n") + F.col("p.n")))
+            found = _verified(rows, representatives(star.select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()))
         else:
-            pairs = representatives(_trees(placed.join(open_.select("token"), "token", "left_semi").select("token", "doc_id", "component_id"), points.dropDuplicates(["doc_id"])))
-        found = _verified(rows, pairs)
+            found = _trees(rows, placed.join(open_.select("token"), "token", "left_semi").select("token", "doc_id", "n", "rest", "component_id"))
         links = links.unionByName(found)
         roots = components(links, "ngram-components")
         ids = member.select("doc_id").distinct()

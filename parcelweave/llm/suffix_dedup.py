@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stages import stage
-from .common import identified, joined_bytes, mix64, steps, text_or_empty
+from .common import identified, joined_bytes, mix64, picked, steps, text_or_empty
 from .shingles import _powers
 
 LENGTH = 400
@@ -45,9 +45,6 @@ SHALLOW = 24
 MOST_CONTEXTS = 2048
 #: bytes hashed at a time
 BLOCK = 1 << 20
-#: ids told to every task to pick their documents before the shuffle; above this they meet by a join
-MOST_TOLD = 1 << 21
-
 ROW = "key long, ctx long, doc_id long, h long, lo long, hi long, mid long"
 NAMES = ["key", "ctx", "doc_id", "h", "lo", "hi", "mid"]
 SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -225,11 +222,8 @@ def repeated_windows(left: list[bytes], right: list[bytes], grid: int) -> np.nda
 
 def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows`` gathered by document, with its text."""
-    spark = docs.sparkSession
     by = rows.groupBy("doc_id", "h").agg(F.collect_list(F.struct("key", "ctx", "lo", "hi", "mid", "copies")).alias("rows"))
-    ids = rows.select("doc_id").distinct()
-    n = ids.count()
-    wanted = docs.join(F.broadcast(ids) if n <= MOST_TOLD else ids, "doc_id", "left_semi")
+    wanted = picked(docs, stage(rows.select("doc_id").distinct(), "suffix-ids"))
     return wanted.dropDuplicates(["doc_id", "h"]).join(by, ["doc_id", "h"]).select("doc_id", "h", "text", "rows")
 
 
