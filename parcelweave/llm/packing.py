@@ -32,7 +32,7 @@ SHARD_ROWS = 512
 #: BM25
 K1, B = 1.2, 0.75
 #: words whose ids a task keeps at most; beyond it the store is begun anew
-STORE_WORDS = 800_000
+STORE_WORDS = 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -40,11 +40,13 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordIds:
     """Ids of texts, word by word, as unsigned 32-bit little-endian bytes."""
 
-    #: a stop or comma between a letter (one that lower case keeps a letter) and white space is a token of its own
-    MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([.,])(?=[ \n]|$)")
+    #: ASCII marks between a letter (one that lower case keeps a letter) and white space are tokens of their own
+    MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)(?=[ \n]|$)")
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.store = tokenizer, {}
+        self.tokenizer = tokenizer
+        self.store: dict[str, int] = {}
+        self.ids: list[bytes] = []
 
     def words(self, text: str) -> list[str]:
         """What parts a text without changing its ids; only blank and line feed are white space here."""
@@ -54,7 +56,9 @@ class WordIds:
             pass
         else:
             text = text.lower()
-        return self.MARK.sub(r" \1", text).replace("\n", " ").split(" ")
+        if "<|" not in text:  # special tokens are whole
+            text = self.MARK.sub(r" \1", text)
+        return text.replace("\n", " ").split(" ")
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words, from one text of them all; a token belongs to the word it starts in."""
@@ -63,34 +67,35 @@ class WordIds:
         at = np.searchsorted(ends, np.fromiter((a for a, _ in found.offsets), np.int64, len(found)), "right")
         cuts = np.searchsorted(at, np.arange(len(words) + 1))
         ids = np.array(found.ids, "<u4")
-        self.store.update((w, ids[a:b].tobytes()) for w, a, b in zip(words, cuts[:-1].tolist(), cuts[1:].tolist()))
+        self.store.update(zip(words, range(len(self.ids), len(self.ids) + len(words))))
+        self.ids += [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[list[str]]]:
-        """Bytes of the ids, and the words, of each text."""
-        words = [self.words(t) for t in texts]
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[np.ndarray]]:
+        """Bytes of the ids, and the numbers of the words, of each text."""
         if len(self.store) > STORE_WORDS:
-            self.store.clear()
-        new = [w for w in set().union(*words) if w not in self.store] if words else []
+            self.store, self.ids = {}, []
+        words = [self.words(t) for t in texts]
+        numbers = [list(map(self.store.get, ws)) for ws in words]
+        new = list({w for ws, ns in zip(words, numbers) if None in ns for w, n in zip(ws, ns) if n is None})
         for k in range(0, len(new), 1000):
             self._learn(new[k : k + 1000])
-        get = self.store.__getitem__
-        return [b"".join(map(get, ws)) for ws in words], words
+        numbers = [[self.store[w] if n is None else n for w, n in zip(ws, ns)] if None in ns else ns for ws, ns in zip(words, numbers)]
+        return [b"".join(map(self.ids.__getitem__, ns)) for ns in numbers], [np.array(ns, np.int64) for ns in numbers]
 
 
 class ShardIndex:
-    """BM25 postings of one shard."""
+    """BM25 postings of one shard, from the word numbers of its documents."""
 
-    def __init__(self, words: list[list[str]]):
-        names: dict[str, int] = {}
-        terms = [np.array([names.setdefault(w, len(names)) for w in ws if w], np.int64) for ws in words]
+    def __init__(self, words: list[np.ndarray]):
         n = len(words)
-        doc = np.repeat(np.arange(n), [len(t) for t in terms])
-        pair, count = np.unique(np.concatenate(terms) * n + doc if n else np.zeros(0, np.int64), return_counts=True)
+        doc = np.repeat(np.arange(n), [len(t) for t in words])
+        names, terms = np.unique(np.concatenate(words), return_inverse=True)
+        pair, count = np.unique(terms * n + doc, return_counts=True)
         term, doc = pair // n, pair % n
-        length = np.array([len(t) for t in terms], float)
+        length = np.array([len(t) for t in words], float)
         df = np.bincount(term, minlength=len(names))
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / max(1.0, length.mean() if n else 1.0))
+        norm = K1 * (1 - B + B * length / max(1.0, length.mean()))
         weight = idf[term] * count * (K1 + 1) / (count + norm[doc])
         shared = df[term] > 1  # a term of one document retrieves nothing
         term, doc, weight = term[shared], doc[shared], weight[shared]
