@@ -3,7 +3,8 @@
 Vectors of one label and equal components are one class.  Classes, scaled to length one, live in the
 inverted list of their nearest coarse centroid and are coded by the product quantiser of their residual.
 A query is looked up in every list that can hold a partner: with radius r = sqrt(2 - 2 * LEAST), a vector
-within r of q has centroid c as its nearest only if d(q,c)^2 - d(q,c*)^2 <= 2 r d(c,c*), c* being q's own.
+within r of q has centroid c as its nearest only if d(q,c)^2 - d(q,e)^2 <= 2 r d(c,e) for every centroid e;
+this is tried for the RIVALS nearest to q.
 In a list, table look-ups give the asymmetric distance to every code; a vector stays when that is within
 r plus the vector's own coding error.  Both bounds are exact, so probes are sufficient and no pair is
 lost; the exact cosine of the stored doubles decides.
@@ -35,6 +36,8 @@ SAMPLE = 8192
 #: subspaces, codes of each, and rounds of fitting
 SUBSPACES, CODES, ROUNDS = 8, 64, 8
 MOST_LISTS, BLOCK_ROWS = 1024, 1024
+#: centroids that a list is compared with before it is probed
+RIVALS = 32
 SEED = 7
 
 
@@ -66,10 +69,10 @@ class Index:
         self.books = [_k_means(residual[:, p], CODES, rng) for p in self.parts]
         self.between = np.sqrt(np.maximum(0, (self.coarse**2).sum(1)[:, None] + (self.coarse**2).sum(1) - 2 * self.coarse @ self.coarse.T))
 
-    def unit(self, vectors: list[list[float]]) -> np.ndarray:
+    def unit(self, vectors: np.ndarray) -> np.ndarray:
+        """Vectors of one dimension, scaled to length one and padded."""
         out = np.zeros((len(vectors), self.width))
-        for k, v in enumerate(vectors):
-            out[k, : len(v)] = v
+        out[:, : vectors.shape[1]] = vectors
         top = np.abs(out).max(1, keepdims=True)  # so that squares neither overflow nor vanish
         out /= top
         return out / np.linalg.norm(out, axis=1, keepdims=True)
@@ -83,9 +86,14 @@ class Index:
         return own, codes, np.linalg.norm(residual - rebuilt, axis=1)
 
     def probes(self, u: np.ndarray, own: np.ndarray, radius: float) -> list[np.ndarray]:
+        """Lists that can hold a vector within the radius: no other centroid may be too much nearer, tried for the nearest ones."""
         d = (u**2).sum(1)[:, None] + (self.coarse**2).sum(1) - 2 * u @ self.coarse.T
-        mine = d[np.arange(len(u)), own]
-        return [np.flatnonzero(row) for row in d - mine[:, None] <= 2 * radius * self.between[own] + 1e-9]
+        near = np.argsort(d, axis=1)[:, :RIVALS]
+        fits = np.ones(d.shape, bool)
+        for k in range(near.shape[1]):
+            c = near[:, k]
+            fits &= d - d[np.arange(len(u)), c][:, None] <= 2 * radius * self.between[c] + 1e-9
+        return [np.flatnonzero(row) for row in fits]
 
     def distances(self, u: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of queries to the coded vectors of a list, by one table for each subspace."""
@@ -97,6 +105,14 @@ class Index:
         return np.sqrt(np.maximum(out, 0))
 
 
+def _table(column: pa.Array, kind: str) -> np.ndarray:
+    """A binary column of equally long values as a matrix."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return np.ascontiguousarray(data).view(kind).reshape(len(column), -1)
+
+
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest reachable number of each of n nodes."""
     label = np.arange(n)
@@ -153,48 +169,57 @@ def link(embeddings: DataFrame, least: float = LEAST) -> DataFrame:
     sample = [r[0] for r in classes.orderBy(F.xxhash64("h1"), "id").limit(SAMPLE).select("v").collect()]
     empty = Index.__new__(Index)
     empty.width = width
-    index = Index(empty.unit(sample), max(1, min(MOST_LISTS, int(n**0.5))))
+    index = Index(np.concatenate([empty.unit(np.array([v for v in sample if len(v) == d])) for d in sorted(set(map(len, sample)))]), max(1, min(MOST_LISTS, int(n**0.5))))
+    kind = "<f4" if embeddings.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
     told = spark.sparkContext.broadcast(index)
 
     def place(batches):
         ix = told.value
         for batch in batches:
-            u = ix.unit(batch.column(2).to_pylist())
-            own, codes, errors = ix.encode(u)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors, pa.float64()),
-                                              pa.array([p.tolist() for p in ix.probes(u, own, radius)], pa.list_(pa.int32()))], [*batch.schema.names, "list", "codes", "error", "probes"])
-
-    facts = classes.select("label", F.size("v").alias("dim"), "v", "id", "copies")
-    placed = stage(facts.mapInArrow(place, "label int, dim int, v array<double>, id long, copies long, list int, codes binary, error double, probes array<int>")
-                   if embeddings.schema["label"].dataType.simpleString() == "int" else
-                   facts.withColumn("label", F.col("label").cast("string")).mapInArrow(place, "label string, dim int, v array<double>, id long, copies long, list int, codes binary, error double, probes array<int>"), "pq-placed")
+            dims, vectors = np.array(batch.column(1).to_pylist()), batch.column(2)
+            for d in np.unique(dims):  # rows of one dimension at a time
+                at = np.flatnonzero(dims == d)
+                raw = np.array([vectors[int(k)].as_py() for k in at], np.float64)
+                u = ix.unit(raw)
+                own, codes, errors = ix.encode(u)
+                rows = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([v.tobytes() for v in raw.astype(kind)], pa.binary()), rows.column(3), rows.column(4), pa.array(own, pa.int32()),
+                                                  pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors, pa.float64()), pa.array([p.tolist() for p in ix.probes(u, own, radius)], pa.list_(pa.int32()))],
+                                                 ["label", "dim", "v", "id", "copies", "list", "codes", "error", "probes"])
+
+    facts = classes.select(F.xxhash64("label").alias("label"), F.size("v").alias("dim"), "v", "id", "copies")
+    placed = stage(facts.mapInArrow(place, "label long, dim int, v binary, id long, copies long, list int, codes binary, error double, probes array<int>"), "pq-placed")
     where = ["label", "dim", "list"]
     blocks = placed.groupBy(*where).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
     members = placed.join(blocks, where).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     asks = placed.drop("codes", "error", "list").withColumn("list", F.explode("probes")).join(blocks, where).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     columns = [*where, "block", "id", "copies", "v"]
-    both = members.select(*columns, "codes", "error", F.lit(True).alias("member")).unionByName(asks.select(*columns, F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), F.lit(False).alias("member")))
+    none = F.lit(bytes(len(index.parts)))
+    both = members.select(*columns, "codes", "error", F.lit(True).alias("member")).unionByName(asks.select(*columns, none.alias("codes"), F.lit(0.0).alias("error"), F.lit(False).alias("member")))
 
     def meet(batches):
-        """A stream of rows sorted by list and block."""
+        """A stream of rows sorted by label, dimension, list and block."""
         ix = told.value
         key, held = None, []
 
         def flush():
-            ids = np.array([h[0] for h in held])
-            codes = np.array([np.frombuffer(h[3], np.uint8) if h[3] else np.zeros(len(ix.parts), np.uint8) for h in held])
-            member = np.array([h[5] for h in held])
-            found, links, roots = _list_links(ix, key[2], ids, np.array([h[1] for h in held]), ix.unit([h[2] for h in held]), codes, np.array([h[4] or 0.0 for h in held]), ~member, member, least, radius)
+            ids, copies, units, codes, errors, member = (np.concatenate(x) for x in zip(*held))
+            found, links, roots = _list_links(ix, key[2], ids, copies, units, codes, errors, ~member, member, least, radius)
             some = (links > 0) | (roots != found)
             return pa.RecordBatch.from_arrays([pa.array(found[some]), pa.array(links[some]), pa.array(roots[some])], ["id", "links", "root"])
 
         for batch in batches:
-            for label, dim, at, block, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                if (label, dim, at, block) != key:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                if (now := tuple(keys[a].tolist())) != key:
                     if held:
                         yield flush()
-                    key, held = (label, dim, at, block), []
-                held.append(rest)
+                    key, held = now, []
+                part = batch.slice(a, b - a)
+                held.append((part.column(4).to_numpy(), part.column(5).to_numpy(), ix.unit(_table(part.column(6), kind)), _table(part.column(7), "u1"), part.column(8).to_numpy(), part.column(9).to_numpy(zero_copy_only=False)))
         if held:
             yield flush()
 
