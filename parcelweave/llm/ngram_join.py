@@ -45,8 +45,8 @@ from .shingles import set_digest, shingle_sets
 PERCENT = 75
 #: shingles that count as frequent: so often within one task's slice of the corpus; and how many are told to all tasks (4 MB)
 LOCAL_COUNT, MOST_FREQUENT = 3, 1 << 18
-#: distinct shingles counted at a time within a task
-COUNT_ROWS = 1 << 22
+#: shingles counted, and prefix shingles packed, at a time within a task
+COUNT_ROWS, PACK_ROWS = 1 << 21, 1 << 20
 #: postings of one bucket part, rows of one tree, checks of one pivot group
 PART_ROWS, TREE_ROWS, PIVOT_ROWS = 1 << 18, 1024, 256
 #: shingles to a group of the count vector
@@ -219,7 +219,7 @@ def _routes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: i
                 sizes.append(np.full(len(s_), len(s), np.int32))
                 rests.append(np.arange(len(s), len(s) - len(s_), -1, dtype=np.int32))
                 rows += len(s_)
-            if rows > COUNT_ROWS:
+            if rows > PACK_ROWS:
                 yield packed()
                 tokens, owners, sizes, rests, rows = [], [], [], [], 0
         if rows:

@@ -32,7 +32,7 @@ SHARD_ROWS = 512
 #: BM25
 K1, B = 1.2, 0.75
 #: words whose ids a task keeps at most; beyond it the store is begun anew
-STORE_WORDS = 1_000_000
+STORE_WORDS = 500_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
