@@ -89,11 +89,17 @@ def _dealt(hashes: _Hashes, ref: np.ndarray, first: np.ndarray, last: np.ndarray
     return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 6
 
 
-def anchored(data: np.ndarray, offsets: np.ndarray):
-    """For the texts of a step: (text number, key, ctx, lo, hi, mid) with places relative to the text."""
-    n = len(data)
-    for c in range(0, n - LENGTH + 1, BLOCK):
-        part = data[c : c + BLOCK + LENGTH - 1]
+def anchored(data: np.ndarray, offsets: np.ndarray, block: int):
+    """For the texts of a step: (text number, key, ctx, lo, hi, mid) with places relative to the text.
+
+    ``block`` window starts are hashed at a time.  A run of windows that a block's end cuts is left to the next
+    block, which begins with it: as two rows of one key it would count as a repeat of itself.
+    """
+    n, c = len(data), 0
+    if block <= LENGTH:
+        raise ValueError("a block has to be longer than a run of windows with one anchor")
+    while c <= n - LENGTH:
+        part = data[c : c + block + LENGTH - 1]
         m = len(part)
         hashes = _Hashes(part)
         at = np.arange(m - ANCHOR + 1)
@@ -110,12 +116,16 @@ def anchored(data: np.ndarray, offsets: np.ndarray):
         edge[1:] = (anchor[1:] != anchor[:-1]) | (good[1:] != good[:-1])
         begin = np.flatnonzero(edge)
         stop = np.append(begin[1:], starts) - 1
+        passed = starts
+        if c + starts <= n - LENGTH and good[-1]:  # more windows follow
+            passed, begin, stop = int(begin[-1]), begin[:-1], stop[:-1]
         begin, stop = begin[good[begin]], stop[good[begin]]
         ref = anchor[begin]
         w, key, ctx, lo, hi, mid = _dealt(hashes, ref, ref - stop, ref - begin, GRIDS[0])
         doc = np.searchsorted(offsets, lo + c, "right") - 1
         base = offsets[doc] - c
         yield doc, key, ctx, lo - base, hi - base, mid - base
+        c += passed
 
 
 def _common(a: bytes, b: bytes, known: int) -> int:
@@ -321,7 +331,7 @@ def remove(docs: DataFrame) -> DataFrame:
         for step in steps(batches, "text", BLOCK):
             data, offsets = joined_bytes(step.column(1))
             ids, hashes = step.column(0).to_numpy(), step.column(2).to_numpy()
-            for doc, key, ctx, lo, hi, mid in anchored(data, offsets):
+            for doc, key, ctx, lo, hi, mid in anchored(data, offsets, BLOCK):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.astype(np.int64), ctx.astype(np.int64), ids[doc], hashes[doc], lo, hi, mid)], NAMES)
 
     def strip(batches):

@@ -205,6 +205,28 @@ def test_suffix_dedup(docs, rows, monkeypatch, most):
     assert got(suffix_dedup.remove(docs)) == repeats(rows)
 
 
+def test_suffix_dedup_long_texts(spark, monkeypatch):
+    """Unique texts of several blocks stay whole; a passage across a block's edge goes where it is repeated."""
+    block = 1000
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    text = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    passage = text(900)
+    rows = [(k, text(20 * block + 37 * k)) for k in range(8)]
+    rows += [(20, text(block - 300) + passage + text(5 * block)), (21, text(3 * block + 77) + passage), (22, passage + text(700) + passage[:450]), (23, "é" * 3 * block), (24, text(399)), (25, text(400))]
+    found = got(suffix_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found == repeats(rows) and sum(r[2] for r in found if r[0] < 20) == 0
+
+
+@pytest.mark.parametrize("block", [401, 1000, 4096])
+def test_anchored_rows_do_not_depend_on_blocks(block):
+    rng = np.random.default_rng(6)
+    data = rng.integers(97, 123, 30_000).astype(np.uint8)
+    offsets = np.array([0, 300, 12_000, 12_000, 12_405, 30_000])
+    place = lambda b: sorted(r for rows in suffix_dedup.anchored(data, offsets, b) for r in zip(*(c.tolist() for c in rows)))
+    assert place(block) == place(1 << 20)
+
+
 def test_deep_shallow_order():
     rng = np.random.default_rng(2)
     texts = [bytes(rng.integers(97, 99, rng.integers(0, 60)).astype(np.uint8)) for _ in range(200)]
