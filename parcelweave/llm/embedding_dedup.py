@@ -10,9 +10,10 @@ r plus the vector's own coding error.  Both bounds are exact, so probes are suff
 lost; the exact cosine of the stored doubles decides.
 
 Centroids and codebooks are fitted on at most ``SAMPLE`` classes, chosen by hash; every row is indexed.
-Long lists are split into blocks of ``BLOCK_ROWS`` that each see all the list's queries.  A task reports,
-for each query, how many vectors it links to and one link to the smallest member of its local component,
-never the pairs.
+Long lists are split into blocks of ``BLOCK_ROWS`` members, their queries into parts of ``QUERY_ROWS``; each
+block meets each part by itself, so no group grows with the table.  The part's queries pass by the members in
+slices of ``SLICE_ROWS``.  A task reports, for each query, how many vectors it links to and one of them, and
+for each member the root of its local component, never the pairs.
 
 Defined results: a null label, a null or empty vector, one of length zero or with a null or non-finite
 component links with nothing and is kept; vectors of different dimension do not link; equal rows link
@@ -36,6 +37,10 @@ SAMPLE = 8192
 #: subspaces, codes of each, and rounds of fitting
 SUBSPACES, CODES, ROUNDS = 8, 64, 8
 MOST_LISTS, BLOCK_ROWS = 1024, 1024
+#: queries that meet a block in one group, and those of them that a task holds at a time
+QUERY_ROWS, SLICE_ROWS = 16384, 256
+#: vector components compared at a time
+PAIR_VALUES = 1 << 22
 #: centroids that a list is compared with before it is probed
 RIVALS = 32
 SEED = 7
@@ -126,28 +131,47 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _list_links(index: Index, at: int, ids, copies, units, codes, errors, is_query, is_member, least: float, radius: float):
-    """(id, vectors linked to, smallest id of its local component) of a block of a list."""
-    order = np.argsort(ids, kind="stable")
-    ids, copies, units, is_query, is_member = ids[order], copies[order], units[order], is_query[order], is_member[order]
-    members = np.flatnonzero(is_member)
-    codes, errors = codes[order][members], errors[order][members]
-    queries = np.flatnonzero(is_query)
-    links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-    for k in range(0, len(queries), 256):
-        q = queries[k : k + 256]
-        near = index.distances(units[q], at, codes) <= radius + errors + 1e-6
-        a, b = np.nonzero(near)
-        a, b = q[a], members[b]
-        other = ids[a] != ids[b]
+class _Block:
+    """The members of a block of a list.  Queries pass by in slices; only what is known of the members is kept."""
+
+    def __init__(self, index: Index, at: int, ids, copies, units, codes, errors, least: float, radius: float):
+        self.index, self.at, self.ids, self.copies, self.units, self.codes = index, at, ids, copies, units, codes
+        self.reach, self.least, self.root = radius + errors + 1e-6, least, np.arange(len(ids))
+
+    def ask(self, ids: np.ndarray, units: np.ndarray):
+        """(id, vectors linked to, one of them) of the queries that link to a member."""
+        a, b = np.nonzero(self.index.distances(units, self.at, self.codes) <= self.reach)
+        other = ids[a] != self.ids[b]
         a, b = a[other], b[other]
-        hit = np.concatenate([np.einsum("ij,ij->i", units[a[s : s + 65536]], units[b[s : s + 65536]]) >= least for s in range(0, len(a), 65536)] or [np.zeros(0, bool)])
+        step = max(1, PAIR_VALUES // units.shape[1])
+        hit = np.concatenate([np.einsum("ij,ij->i", units[a[s : s + step]], self.units[b[s : s + step]]) >= self.least for s in range(0, len(a), step)] or [np.zeros(0, bool)])
         a, b = a[hit], b[hit]
-        np.add.at(links, a, copies[b])
-        # what is known of the component so far stays linked through its root
-        more = np.flatnonzero(root != np.arange(len(ids)))
-        root = _roots(len(ids), np.concatenate([a, more]), np.concatenate([b, root[more]]))
-    return ids, links, ids[root]
+        links = np.zeros(len(ids), np.int64)
+        np.add.at(links, a, self.copies[b])
+        who, first, place = np.unique(a, return_index=True, return_inverse=True)
+        lead = b[first]
+        # members that one query links to are one component; what is known so far stays linked through its root
+        self.root = _roots(len(self.ids), np.concatenate([lead[place], np.arange(len(self.ids))]), np.concatenate([b, self.root]))
+        return ids[who], links[who], self.ids[lead]
+
+    def own(self):
+        """(id, 0, root) of the members that hang on another one."""
+        k = np.flatnonzero(self.root != np.arange(len(self.ids)))
+        return self.ids[k], np.zeros(len(k), np.int64), self.ids[self.root[k]]
+
+
+def _dealt(placed: DataFrame) -> DataFrame:
+    """Members and queries of each list, dealt so that any two meet in one (block, asks) and no such group grows with the table."""
+    where = ["label", "dim", "list"]
+    part = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asks = placed.drop("codes", "error", "list").withColumn("list", F.explode("probes"))
+    parts = (placed.groupBy(*where).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+             .join(asks.groupBy(*where).agg(F.ceil(F.count("*") / QUERY_ROWS).alias("parts")), where))
+    members = placed.join(parts, where).withColumn("block", part(0, F.col("blocks"))).withColumn("asks", each("parts"))
+    asks = asks.join(parts, where).withColumn("asks", part(1, F.col("parts"))).withColumn("block", each("blocks"))
+    columns = [*where, "block", "asks", "id", "copies", "v"]
+    return members.select(*columns, "codes", "error", F.lit(True).alias("member")).unionByName(asks.select(*columns, F.lit(b"").alias("codes"), F.lit(0.0).alias("error"), F.lit(False).alias("member")))
 
 
 def link(embeddings: DataFrame, least: float = LEAST) -> DataFrame:
@@ -189,41 +213,42 @@ def link(embeddings: DataFrame, least: float = LEAST) -> DataFrame:
 
     facts = classes.select(F.xxhash64("label").alias("label"), F.size("v").alias("dim"), "v", "id", "copies")
     placed = stage(facts.mapInArrow(place, "label long, dim int, v binary, id long, copies long, list int, codes binary, error double, probes array<int>"), "pq-placed")
-    where = ["label", "dim", "list"]
-    blocks = placed.groupBy(*where).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    members = placed.join(blocks, where).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    asks = placed.drop("codes", "error", "list").withColumn("list", F.explode("probes")).join(blocks, where).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    columns = [*where, "block", "id", "copies", "v"]
-    none = F.lit(bytes(len(index.parts)))
-    both = members.select(*columns, "codes", "error", F.lit(True).alias("member")).unionByName(asks.select(*columns, none.alias("codes"), F.lit(0.0).alias("error"), F.lit(False).alias("member")))
+    order = ["label", "dim", "list", "block", "asks"]
 
     def meet(batches):
-        """A stream of rows sorted by label, dimension, list and block."""
+        """A stream of rows sorted by label, dimension, list, block and part of the queries, members first."""
         ix = told.value
-        key, held = None, []
+        key, held, block = None, [], None
+
+        def begun():
+            return _Block(ix, key[2], *(np.concatenate(x) for x in zip(*held)), least, radius)
 
-        def flush():
-            ids, copies, units, codes, errors, member = (np.concatenate(x) for x in zip(*held))
-            found, links, roots = _list_links(ix, key[2], ids, copies, units, codes, errors, ~member, member, least, radius)
-            some = (links > 0) | (roots != found)
-            return pa.RecordBatch.from_arrays([pa.array(found[some]), pa.array(links[some]), pa.array(roots[some])], ["id", "links", "root"])
+        def told_of(found):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["id", "links", "root"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)], axis=1)
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 2, 3, 4, 10)], axis=1)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
-                if (now := tuple(keys[a].tolist())) != key:
-                    if held:
-                        yield flush()
-                    key, held = now, []
-                part = batch.slice(a, b - a)
-                held.append((part.column(4).to_numpy(), part.column(5).to_numpy(), ix.unit(_table(part.column(6), kind)), _table(part.column(7), "u1"), part.column(8).to_numpy(), part.column(9).to_numpy(zero_copy_only=False)))
-        if held:
-            yield flush()
-
-    met = both.select(*where, "block", "id", "copies", "v", "codes", "error", "member").repartition(*where, "block").sortWithinPartitions(*where, "block")
+                if (now := tuple(keys[a, :5].tolist())) != key:
+                    if block:
+                        yield told_of(block.own())
+                    key, held, block = now, [], None
+                for s in range(a, b, SLICE_ROWS):
+                    part = batch.slice(s, min(b - s, SLICE_ROWS))
+                    ids, units = part.column(5).to_numpy(), ix.unit(_table(part.column(7), kind))
+                    if keys[a, 5]:
+                        held.append((ids, part.column(6).to_numpy(), units, _table(part.column(8), "u1"), part.column(9).to_numpy()))
+                    elif held or block:
+                        if not block:
+                            block, held = begun(), []
+                        yield told_of(block.ask(ids, units))
+        if block:
+            yield told_of(block.own())
+
+    met = _dealt(placed).select(*order, "id", "copies", "v", "codes", "error", "member").repartition(*order).sortWithinPartitions(*order, F.col("member").desc())
     found = stage(met.mapInArrow(meet, "id long, links long, root long"), "pq-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     member = good.join(classes.select(*key, "id", "copies"), key).select("vec_id", "id", "copies")

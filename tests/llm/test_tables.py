@@ -104,6 +104,25 @@ def test_embeddings_lose_no_link(spark, monkeypatch, block):
     assert sorted(tuple(r) for r in embedding_dedup.link(df).collect()) == linked(rows)
 
 
+@pytest.mark.parametrize("block, asks, slice_", [(5, 7, 3), (1024, 10, 256), (7, 16384, 2)])
+def test_embeddings_lose_no_link_between_parts(spark, monkeypatch, block, asks, slice_):
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", block)
+    monkeypatch.setattr(embedding_dedup, "QUERY_ROWS", asks)
+    monkeypatch.setattr(embedding_dedup, "SLICE_ROWS", slice_)
+    rows = vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert sorted(tuple(r) for r in embedding_dedup.link(df).collect()) == linked(rows)
+
+
+def test_embedding_groups_are_bounded(spark):
+    """A list that a whole table falls into: every member meets every query once, in groups of bounded size."""
+    n = 40_000
+    placed = spark.range(n).selectExpr("1L AS label", "2 AS dim", "X'00' AS v", "id", "1L AS copies", "0 AS list", "X'00' AS codes", "0D AS error", "array(0) AS probes")
+    groups = embedding_dedup._dealt(placed).groupBy("label", "dim", "list", "block", "asks").agg(F.count_if("member").alias("m"), F.count_if(~F.col("member")).alias("q")).collect()
+    assert sum(g.m * g.q for g in groups) == n * n
+    assert max(g.m for g in groups) < 1.3 * embedding_dedup.BLOCK_ROWS and max(g.q for g in groups) < 1.3 * embedding_dedup.QUERY_ROWS
+
+
 def test_embeddings_empty(spark):
     assert embedding_dedup.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
