@@ -66,6 +66,8 @@ def chunks(text: str, chunk: int, overlap: int):
         return
     for k, at in enumerate(range(0, n, chunk)):
         yield k, at, text[at : at + chunk + overlap]
+        if at + chunk + overlap >= n:  # a further one would lie inside it
+            return
 
 
 def summarise(tokenizer, n: int, at: int, piece: str, chunk: int, overlap: int) -> tuple:
@@ -74,22 +76,26 @@ def summarise(tokenizer, n: int, at: int, piece: str, chunk: int, overlap: int)
     tokens = [(s + at, i) for (s, _), i in zip(found.offsets, found.ids)]
     head = [x for x in tokens if x[0] < at + overlap] if at else []
     zone = at + chunk
-    last = zone >= n or at + len(piece) < zone
+    last = at + len(piece) >= n
     tail = [] if last else [x for x in tokens if x[0] >= zone]
     stable = [] if last else [zone + j + 1 for j, c in enumerate(piece[chunk:]) if c in SPACES]
-    cut = at + len(piece) if at + len(piece) >= n else max(stable, default=-1)
+    cut = max(stable, default=-1)
     return len(tokens), *map(list, zip(*head) if head else ([], [])), *map(list, zip(*tail) if tail else ([], [])), stable, cut
 
 
 def splice(tail: list[tuple[int, int]], head: list[tuple[int, int]], stable: list[int], cut: int) -> int | None:
-    """The first stable place from which both chunks have the same tokens up to ``cut``, or None.
+    """The first stable place from which both chunks have the same tokens, at least one, up to ``cut``, or None.
 
     What lies behind ``cut`` belongs to a word that the earlier chunk cuts, and is the later one's.
     """
-    for p in stable:
-        if [x for x in tail if p <= x[0] < cut] == [x for x in head if p <= x[0] < cut]:
-            return p
-    return None
+    tail, head = [x for x in tail if x[0] < cut], [x for x in head if x[0] < cut]
+    same = 0
+    while same < min(len(tail), len(head)) and tail[-1 - same] == head[-1 - same]:
+        same += 1
+    if not same:
+        return None
+    parted = max((x[-1 - same][0] for x in (tail, head) if len(x) > same), default=-1)
+    return next((p for p in stable if parted < p <= tail[-1][0]), None)
 
 
 def _huge(rows: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:

@@ -254,6 +254,23 @@ def test_token_counts(spark, docs, rows, chunk, overlap):
     assert got(token_counts.count(docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, SCHEMA).select("doc_id", "text")), chunk_chars=chunk, overlap_chars=overlap)) == want
 
 
+def test_splice_needs_an_agreeing_token():
+    tail, head, stable = [(100, 1), (104, 2), (109, 3), (115, 4)], [(100, 9), (104, 2), (109, 3), (115, 8)], [104, 109, 115]
+    assert token_counts.splice(tail, head, stable, 115) == 104
+    assert token_counts.splice(tail, [(x, i + 50) for x, i in head], stable, 115) is None
+    assert token_counts.splice(tail, [(100, 1), (104, 2), (107, 5), (109, 3)], stable, 115) == 109
+    assert token_counts.splice(tail, [(100, 1), (104, 2)], stable, 115) is None
+    assert token_counts.splice([], [], stable, 115) is None
+
+
+@pytest.mark.parametrize("n", [64, 65, 70, 80, 81, 128, 129, 144, 145])
+def test_chunks_cover_and_nest_not(n):
+    text = ("ab " * 100)[:n]
+    found = list(token_counts.chunks(text, 64, 16))
+    ends = [at + len(p) for _, at, p in found]
+    assert all(text[at:].startswith(p) for _, at, p in found) and ends[-1] == n and all(e < n for e in ends[:-1])
+
+
 # languages
 
 def test_language(spark, docs, rows):
