@@ -55,6 +55,8 @@ class WordIds:
         except UnicodeEncodeError:  # lower case may depend on more than the letter
             pass
         else:
+            if "<|" in text:  # special tokens are matched in the raw text
+                return [w if "<|" in w else w.lower() for w in text.replace("\n", " ").split(" ")]
             text = text.lower()
         if "<|" not in text:  # special tokens are whole
             text = self.MARK.sub(r" \1", text)

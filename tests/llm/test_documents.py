@@ -316,6 +316,17 @@ def test_packing(docs, rows):
         assert at <= packing.WINDOW and at & (at - 1) == 0
 
 
+def test_packing_special_tokens(spark):
+    """Special tokens are matched before case is folded."""
+    texts = ["a <|ENDOFTEXT|> b", "<|StartOfText|>", "Ends <|endoftext|> HERE!", "É<|EndOfText|>x", "<|startoftext|>Word", "<| UP |> \n<|ENDOFTEXT|>\nLow."]
+    t = tokenizer()
+    found = {r.doc_id: r for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    coded, _ = packing.WordIds(t).encode(texts)
+    for k, x in enumerate(texts):
+        want = np.array(t.encode(x, add_special_tokens=False).ids, "<u4")
+        assert coded[k] == want.tobytes() and found[k].doc_tokens == len(want) + 1, x
+
+
 def test_neighbours_are_lexical():
     index = packing.ShardIndex([np.array(x, np.int64) for x in ([1, 2], [3, 4], [1, 2, 5], [6, 4], [])])
     assert list(index.neighbours(0)[:2]) == [0, 2] and set(index.neighbours(3)[:2]) == {1, 3}
