@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import string
+import zlib
 
-from . import embedding_dedup, fingerprints, language_id, mixing, ngram_join, packing, secret_scan, suffix_dedup, token_counts, url_filter
+import numpy as np
+
+from . import embedding_dedup, fingerprints, language_id, mixing, ngram_join, packing, periodic_runs, secret_scan, suffix_dedup, token_counts, token_files, url_filter, whitening
 from .common import read
 
+
+def planted(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The words a tenth of the documents take instead of their own: a tail that repeats itself."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    i = np.arange(n)
+    i[a:] = a + (i[a:] - a) % (1 + (n - a) // (3 + g % 8))
+    return i
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": lambda spark, d: url_filter.judge(read(spark, d, "pages")),
     "op2_document_fingerprints": lambda spark, d: fingerprints.fingerprints(read(spark, d, "documents")),
@@ -22,6 +38,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": lambda spark, d: language_id.predict(read(spark, d, "documents")),
     "op9_retrieval_packing": lambda spark, d: packing.pack(read(spark, d, "documents")),
     "op10_embedding_dedup": lambda spark, d: embedding_dedup.link(read(spark, d, "embeddings")),
+    "op11_token_files": lambda spark, d: token_files.written(read(spark, d, "documents")),
+    "op12_periodic_runs": lambda spark, d: periodic_runs.digests(periodic_runs.collapse(read(spark, d, "documents"), planted)),
+    "op13_whitening": lambda spark, d: whitening.whiten(read(spark, d, "embeddings")),
 }
 WORDS = r"[^\x20\x09-\x0D]+"
 LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"

@@ -151,7 +151,7 @@ def test_same_rows_as_sql(spark, name):
 
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{k}" for k in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_pipeline_stages(spark):
