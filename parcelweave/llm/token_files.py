@@ -110,7 +110,7 @@ class TokenFiles:
             from pyspark import TaskContext
 
             part, place, before = TaskContext.get().partitionId(), 0, 0
-            coder = word_ids(vocabulary)
+            coder = word_ids(vocabulary, terms=False)
             held: list[tuple] = []  # (ids, doc_ids, sizes, without)
             n_ids = n_docs = 0
 

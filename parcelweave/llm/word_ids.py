@@ -19,7 +19,7 @@ from .common import joined_bytes
 from .token_counts import load_tokenizer
 
 #: words a task keeps at most; beyond it the store is begun anew
-STORE_WORDS = 1_000_000
+STORE_WORDS = 250_000
 #: new words that the library encodes as one text
 LEARN_WORDS = 4096
 # fixed value: the rule by which the vocabulary cuts texts
@@ -68,9 +68,10 @@ def parts_words(path: str) -> bool:
 
 
 class WordIds:
-    """Ids of texts by a store of words; ``terms`` numbers the words with case folded."""
+    """Ids of texts by a store of words; with ``terms`` the words are numbered, case folded."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, terms: bool = True):
+        self.terms = terms
         self.tokenizer = load_tokenizer(path)
         self.by_word = parts_words(path)
         self.clear()
@@ -91,7 +92,7 @@ class WordIds:
             sizes.append(np.bincount(of, minlength=len(some)))
             flat.append(np.array(found.ids, np.uint32))
         self.store.update(zip(words, range(len(self.store), len(self.store) + len(words))))
-        terms = [self.fold.setdefault(w if "<|" in w else w.lower(), len(self.fold)) for w in words]
+        terms = [self.fold.setdefault(w if "<|" in w else w.lower(), len(self.fold)) for w in words] if self.terms else [0] * len(words)
         self.flat, self.at = np.concatenate(flat), np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
         self.term = np.concatenate([self.term, np.array(terms, np.int64)])
 
@@ -123,11 +124,11 @@ class WordIds:
         return ids, ends[at], self.term[number], at
 
 
-_kept: dict[str, WordIds] = {}
+_kept: dict[tuple[str, bool], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, terms: bool = True) -> WordIds:
     """The store of this worker, which outlives a task."""
-    if path not in _kept:
-        _kept[path] = WordIds(path)
-    return _kept[path]
+    if (path, terms) not in _kept:
+        _kept[path, terms] = WordIds(path, terms)
+    return _kept[path, terms]
