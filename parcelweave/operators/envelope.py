@@ -2,28 +2,96 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
+from ..functions import free_area
 from ..functions import geometry as geo
 from . import measures, rules
 
-LATTICE_POINTS = 4000
-
-
 def north_edges(edge_array: str = "edges") -> str:
     """Edges whose outward normal points north (component above 0.25), longer than 5 cm."""
     return geo.keep(edge_array, lambda e: geo.let(
         lambda ln: f"{ln} > 0.05D AND ({e}.x1 - {e}.x2) / {ln} > 0.25D", ln=f"hypot({e}.x2 - {e}.x1, {e}.y2 - {e}.y1)"))
 
 
-def is_convex(ring: str) -> str:
-    """All turns of a counter-clockwise ring go the same way."""
-    edges = geo._pairs(ring)
+def main_ring(rings: str) -> str:
+    """Outer ring, counter-clockwise, of the part with the largest area less its holes."""
+    def net(r, rs):
+        inside = geo.let(lambda w: geo.total(geo.each(
+            geo.keep(rs, lambda h: f"{geo.ring_area(h)} < 0 AND {geo.contains(w, f'{h}[0].x', f'{h}[0].y')}"), geo.ring_area)), w=geo.walls(geo._pairs(r)))
+        return f"named_struct('a', {geo.ring_area(r)} + {inside}, 'r', {r})"
+
+    def best(rs):
+        return f"array_max({geo.each(geo.keep(rs, lambda r: f'{geo.ring_area(r)} > 0'), lambda r: net(r, rs))}).r"
+
+    return geo.let(lambda rs: f"CASE WHEN size({rs}) = 1 THEN {geo.turned(f'{rs}[0]')} ELSE {best(rs)} END", rs=geo.keep(rings, lambda r: f"size({r}) >= 3"))
+
+
+def right_cornered(rings: str, ring: str) -> str:
+    """One ring whose corners all turn by a right angle or more, so the band beside an edge spans all that lies along it."""
+    a, b = geo._var(), geo._var()
     return geo.let(lambda es: (
-        f"forall(zip_with({es}, concat(slice({es}, 2, greatest(size({es}) - 1, 0)), slice({es}, 1, 1)), (a, b) -> "
-        f"(a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) >= -1e-9D), t -> t)"), es=edges)
+        f"size({rings}) = 1 AND forall(zip_with({es}, concat(slice({es}, 2, greatest(size({es}) - 1, 0)), slice({es}, 1, 1)), ({a}, {b}) -> "
+        f"({a}.x2 - {a}.x1) * ({b}.y2 - {b}.y1) - ({a}.y2 - {a}.y1) * ({b}.x2 - {b}.x1) > 0 AND "
+        f"({a}.x2 - {a}.x1) * ({b}.x2 - {b}.x1) + ({a}.y2 - {a}.y1) * ({b}.y2 - {b}.y1) <= 1e-9D), t -> t)"), es=geo._pairs(ring))
+
+
+def _flat_rings(rings: str) -> str:
+    return "flatten(" + geo.each(rings, lambda r: f"concat(array(double(size({r}))), flatten({geo.each(r, lambda p: f'array({p}.x, {p}.y)')}))") + ")"
+
+
+def _flat_edges(edges: str, distance: str = "") -> str:
+    return "flatten(" + geo.each(edges, lambda e: f"array({e}.x1, {e}.y1, {e}.x2, {e}.y2, {distance or f'{e}.d'})") + ")"
+
+
+def _edges_of(flat) -> np.ndarray:
+    return np.asarray(flat, float).reshape(-1, 5)
+
+
+@F.pandas_udf(T.DoubleType())
+def _free_area(rings: pd.Series, bands: pd.Series, north: pd.Series) -> pd.Series:
+    """Largest part outside the bands; null rings give null."""
+    return pd.Series([None if r is None else free_area.largest(free_area.rings_of(r), free_area.bands(_edges_of(b)) + free_area.bands(_edges_of(n), joined=False))
+                      for r, b, n in zip(rings, bands, north)], dtype="float64")
+
+
+@F.pandas_udf(T.StructType().add("n", "double").add("adj", "double").add("done", "boolean"))
+def _settled(rings: pd.Series, bands: pd.Series, north: pd.Series, needs: pd.DataFrame) -> pd.DataFrame:
+    """North setback and area once the height no longer moves; null rings give nulls."""
+    def settle(r, b, n, need):
+        rings, fixed, north = free_area.rings_of(r), free_area.bands(_edges_of(b)), _edges_of(n)
+        areas: dict[float, float] = {}
+        height, depth, adj, done = need.height, 0.0, need.building, False
+        for _ in range(ROUNDS):
+            depth = 0.0 if not need.daylight else 1.5 if height <= 10 else height / 2
+            if depth not in areas:
+                areas[depth] = free_area.largest(rings, fixed + free_area.bands(np.column_stack([north[:, :4], np.full(len(north), depth)]), joined=False))
+            adj = min(need.building, areas[depth], max(0.0, need.room))
+            floors = min(max(1, math.ceil(need.gross / adj - 1e-9)) if adj > 0 else 0, need.floors) if need.floors > 0 else 0
+            done, height = abs(floors * fv.FLOOR_HEIGHT_M - height) < 0.1, floors * fv.FLOOR_HEIGHT_M
+            if done:
+                break
+        return depth, adj, done
+
+    rows = [(None, None, None) if r is None else settle(r, b, n, need) for r, b, n, need in zip(rings, bands, north, needs.itertuples())]
+    return pd.DataFrame(rows, columns=["n", "adj", "done"])
+
+
+@F.pandas_udf(T.DoubleType())
+def _even_inset(rings: pd.Series, edges: pd.Series, ratio: pd.Series, reach: pd.Series) -> pd.Series:
+    """Depth of the inset whose largest part keeps the share of the largest part's area; null rings give null."""
+    def depth(r, e, share, far):
+        rings = free_area.rings_of(r)
+        return free_area.inset_depth(rings, _edges_of(e)[:, :4], share * free_area.largest(rings, []), far)
+
+    return pd.Series([None if r is None else depth(r, e, s, f) for r, e, s, f in zip(rings, edges, ratio, reach)], dtype="float64")
 
 
 def front_edges(parcels: DataFrame, adj: DataFrame, parcel_id: str = "pnu") -> DataFrame:
@@ -36,52 +104,45 @@ def front_edges(parcels: DataFrame, adj: DataFrame, parcel_id: str = "pnu") -> D
     return j.withColumn("road_len", F.expr("transform(edges, (e, i) -> coalesce(element_at(m, i), 0D))")).drop("m")
 
 
-def _main_ring(df: DataFrame) -> DataFrame:
-    """Largest part as one counter-clockwise ring with its convexity."""
-    best = geo.let(lambda rs: f"array_max(transform({rs}, r -> named_struct('a', abs({geo.ring_area('r')}), 'r', r))).r", rs="rings")
-    df = df.withColumn("_r", F.expr(best))
-    df = df.withColumn("_ring", F.expr(f"CASE WHEN {geo.ring_area('_r')} >= 0 THEN _r ELSE reverse(_r) END")).drop("_r")
-    return df.withColumns({"convex": F.expr(is_convex("_ring")), "ring_area": F.expr(geo.ring_area_abs("_ring"))})
+def _main_part(df: DataFrame) -> DataFrame:
+    """``_ring``, the largest part's outer ring; ``_plain`` where native clipping of it is exact; ``ring_area``, the area of all parts."""
+    df = df.withColumn("_ring", F.expr(main_ring("rings")))
+    return df.withColumns({"_plain": F.expr(right_cornered("rings", "_ring")), "ring_area": F.expr(geo.area("rings"))})
+
+
+def _others(value: str) -> Column:
+    """A value for the rows that need the exact sweep, null for the others."""
+    return F.expr(f"CASE WHEN NOT _plain THEN {value} END")
 
 
 def _setback_edges(edge_array: str, distance) -> str:
     return (f"transform({edge_array}, (e, i) -> named_struct('x1', e.x1, 'y1', e.y1, 'x2', e.x2, 'y2', e.y2, 'd', {distance('e', 'i')}))")
 
 
-def _lattice_area(banned: list[str]) -> str:
-    """Area of the points of a concave parcel farther than each band's distance from its edges."""
-    step = f"greatest(0.25D, sqrt((maxx - minx) * (maxy - miny) / {LATTICE_POINTS}D))"
-
-    def count(s):
-        xs = f"transform(sequence(0, cast((maxx - minx) / {s} as int)), i -> minx + (i + 0.5D) * {s})"
-        ys = f"transform(sequence(0, cast((maxy - miny) / {s} as int)), i -> miny + (i + 0.5D) * {s})"
-        def free(x, y):
-            far = " AND ".join(f"NOT exists({b}, b -> b.d > 0 AND {geo.let(lambda d: d + '.d < b.d', d=geo._nearest_on_edge(x, y, 'b'))})" for b in banned)
-            return f"CASE WHEN {geo.contains('walls', x, y)} AND {far} THEN 1D ELSE 0D END"
-        grid = geo.total(geo.each(xs, lambda x: geo.total(geo.each(ys, lambda y: free(x, y)))))
-        return f"{grid} * {s} * {s}"
-    return geo.let(count, s=step)
+def _with_bands(df: DataFrame) -> DataFrame:
+    df = _main_part(df)
+    base = lambda e, i: (f"CASE WHEN get(road_len, {i}) > hypot({e}.x2 - {e}.x1, {e}.y2 - {e}.y1) / 2 "
+                         f"THEN coalesce(front_m, 0D) ELSE coalesce(adjacent_m, 0D) END")
+    df = df.withColumns({"_bands": F.expr(_setback_edges("edges", base)),
+                         "_north": F.expr(_setback_edges(north_edges(geo._pairs("_ring")), lambda e, i: "coalesce(north_m, 0D)"))})
+    return df.withColumn("_base", F.expr(f"CASE WHEN _plain THEN {geo.inset('_ring', '_bands')} END"))
 
 
 def setback_envelope(df: DataFrame) -> DataFrame:
-    """Area left after front, adjacent and north setbacks.
+    """Area of the largest part left after front, adjacent and north setbacks, exact for every parcel.
 
-    Needs rings, edges, walls, bbox, ``road_len`` per edge, front_m, adjacent_m, north_m.
-    An edge is a front edge when more than half of it touches a road.  Convex parcels are
-    clipped exactly; concave ones are measured on a lattice and say so in ``method``.
+    Needs rings, edges, bbox, ``road_len`` per edge, front_m, adjacent_m, north_m.  An edge is a front edge
+    when more than half of it touches a road.  A setback takes the band beside an edge, on both sides and
+    with flat ends; bands of neighbouring edges with one distance are mitred.  North setbacks lie along
+    the north edges of the largest part's outer ring, each for itself.
     """
-    df = _main_ring(df)
-    base = lambda e, i: (f"CASE WHEN get(road_len, {i}) > hypot({e}.x2 - {e}.x1, {e}.y2 - {e}.y1) / 2 "
-                         f"THEN coalesce(front_m, 0D) ELSE coalesce(adjacent_m, 0D) END")
-    df = df.withColumns({"_bands": F.expr(_setback_edges("edges", base)),
-                         "_north": F.expr(_setback_edges(north_edges(), lambda e, i: "coalesce(north_m, 0D)"))})
-    df = df.withColumn("_base", F.expr(f"CASE WHEN convex THEN {geo.inset('_ring', '_bands')} END"))
-    exact = geo.ring_area_abs(geo.inset("_base", "_north"))
-    area = f"CASE WHEN convex THEN {exact} ELSE {_lattice_area(['_bands', '_north'])} END"
-    return df.withColumns({"envelope_area_m2": F.expr(area),
-                           "method": F.when(F.col("convex"), "clip").otherwise("lattice")})
+    df = _with_bands(df)
+    swept = _free_area(_others(_flat_rings("rings")), _others(_flat_edges("_bands")), _others(_flat_edges("_north")))
+    clipped = F.expr(f"CASE WHEN _plain THEN {geo.ring_area_abs(geo.inset('_base', '_north'))} END")
+    return df.withColumn("envelope_area_m2", F.coalesce(clipped, swept)).drop("_ring", "_plain", "_bands", "_north", "_base")
 
 
+#: rounds of height against area
 ROUNDS = 6
 
 
@@ -91,20 +152,20 @@ def constrained_massing(df: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     The north setback depends on the height and the height on the remaining area, so a
     bounded number of rounds runs inside each row; rows that settled keep their values.  Needs the
     envelope inputs plus building_area_m2, gross_floor_area_m2, floors, mass_height_m,
-    zone, setback_status, applied_surface_m2.
+    zone, setback_status, applied_surface_m2.  ``height_settled`` tells rows whose height still moved
+    in the last round.
     """
     applied = F.col("setback_status") == "APPLIED"
     df = df.withColumns({"front_m": F.when(applied, F.coalesce("front_m", F.lit(0.0))).otherwise(0.0),
                          "adjacent_m": F.when(applied, F.coalesce("adjacent_m", F.lit(0.0))).otherwise(0.0),
                          "north_daylight": F.col("zone").isin(*fv.NORTH_DAYLIGHT_ZONES),
                          "north_m": F.lit(0.0)})
-    df = setback_envelope(df).withColumnRenamed("envelope_area_m2", "_env0")
+    df = _with_bands(df).withColumn("_env0", F.expr(geo.ring_area_abs("_base")))
 
     def advance(s):
         def sized(nn):
             north = _setback_edges("_north", lambda e, i: nn)
-            env = (f"CASE WHEN {nn} = 0 THEN _env0 WHEN convex THEN {geo.ring_area_abs(geo.inset('_base', north))} "
-                   f"ELSE {_lattice_area(['_bands', north])} END")
+            env = f"CASE WHEN {nn} = 0 THEN _env0 ELSE {geo.ring_area_abs(geo.inset('_base', north))} END"
             return geo.let(lambda a: geo.let(
                 lambda nh: f"named_struct('h', {nh}, 'done', abs({nh} - {s}.h) < 0.1D, 'n', {nn}, 'adj', {a})",
                 nh=f"double(CASE WHEN floors > 0 THEN least(CASE WHEN {a} > 0 THEN greatest(1, ceil(gross_floor_area_m2 / {a} - 1e-9D)) "
@@ -115,7 +176,11 @@ def constrained_massing(df: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     # one fold with a bounded number of rounds; settled rows pass their state through
     fold = (f"aggregate(sequence(1, {rounds}), named_struct('h', mass_height_m, 'done', false, 'n', 0D, 'adj', building_area_m2), "
             f"(s, k) -> CASE WHEN s.done THEN s ELSE {advance('s')} END)")
-    df = df.withColumn("_s", F.expr(fold)).withColumns({"_n": F.col("_s.n"), "_adj": F.col("_s.adj")}).drop("_s")
+    needs = F.struct(F.col("gross_floor_area_m2").alias("gross"), F.col("floors").cast("int").alias("floors"), F.col("building_area_m2").alias("building"),
+                     F.col("mass_height_m").alias("height"), (F.col("ring_area") - F.col("applied_surface_m2")).alias("room"), F.col("north_daylight").alias("daylight"))
+    df = df.withColumns({"_s": F.expr(f"CASE WHEN _plain THEN {fold} END"),
+                         "_t": _settled(_others(_flat_rings("rings")), _others(_flat_edges("_bands")), _others(_flat_edges("_north")), needs)})
+    df = df.withColumns({"_n": F.coalesce("_s.n", "_t.n"), "_adj": F.coalesce("_s.adj", "_t.adj"), "height_settled": F.coalesce("_s.done", "_t.done")}).drop("_s", "_t")
     ok = F.col("_adj") >= fv.MIN_FOOTPRINT_M2
     df = df.withColumns({"layout_feasible": ok, "_adj": F.when(ok, F.col("_adj")).otherwise(0.0)})
     df = df.withColumn("_gfa", F.when(F.col("floors") > 0, F.least(F.col("gross_floor_area_m2"), F.col("_adj") * F.col("floors"))).otherwise(0.0))
@@ -128,24 +193,26 @@ def constrained_massing(df: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         "reduction_pct": F.when(density > 0, geo.bround((1 - F.col("_adj") / density) * 100, 1)).otherwise(0.0),
         "north_setback_m": geo.bround("_n", 1), "achievable_gfa_m2": geo.bround("_gfa", 2),
         "final_height_m": F.when(F.col("final_floors") > 0, geo.bround(F.col("final_floors") * fv.FLOOR_HEIGHT_M, 1)).otherwise(0.0),
-    }).drop("_n", "_adj", "_gfa", "_fl", "_bands", "_north", "_base", "_env0", "_ring")
+    }).drop("_n", "_adj", "_gfa", "_fl", "_bands", "_north", "_base", "_env0", "_ring", "_plain")
 
 
 def inset_for_area(df: DataFrame, ratio: str = "ratio", steps: int = 48) -> DataFrame:
-    """Depth of an even inset that leaves the target share of the area (convex parcels).
+    """Depth of an even inset whose largest part keeps the target share of the largest part's area.
 
-    Bisection inside the row; the area of each trial is an exact half-plane clip.
-    Concave parcels use the lattice measure for the trials.
+    Bisection inside the row on native clips where the parcel has right corners only, on exact sweeps elsewhere.
     """
-    df = _main_ring(df)
-    df = df.withColumn("_target", F.expr(f"ring_area * greatest(0.001D, least(1D, {ratio}))"))
-    trial = lambda d: (f"CASE WHEN convex THEN {geo.ring_area_abs(geo.inset('_ring', _setback_edges('edges', lambda e, i: d)))} "
-                       f"ELSE {_lattice_area([_setback_edges('edges', lambda e, i: d)])} END")
-    search = (f"aggregate(sequence(1, {steps}), named_struct('lo', 0D, 'hi', greatest(maxx - minx, maxy - miny)), (b, k) -> "
+    df = _main_part(df)
+    share = f"greatest(0.001D, least(1D, {ratio}))"
+    reach = "greatest(maxx - minx, maxy - miny)"
+    df = df.withColumn("_target", F.expr(f"ring_area * {share}"))
+    trial = lambda d: geo.ring_area_abs(geo.inset("_ring", _setback_edges("edges", lambda e, i: d)))
+    search = (f"aggregate(sequence(1, {steps}), named_struct('lo', 0D, 'hi', {reach}), (b, k) -> "
               + geo.let(lambda m: f"CASE WHEN {trial(m)} >= _target THEN named_struct('lo', {m}, 'hi', b.hi) "
                                   f"ELSE named_struct('lo', b.lo, 'hi', {m}) END", m="(b.lo + b.hi) / 2") + ", b -> b.lo)")
-    depth = f"CASE WHEN {ratio} >= 0.999999D THEN 0D ELSE {search} END"
-    return df.withColumn("inset_m", F.expr(depth)).drop("_ring", "_target")
+    sought = f"{ratio} < 0.999999D AND NOT _plain"
+    swept = _even_inset(*(F.expr(f"CASE WHEN {sought} THEN {v} END") for v in (_flat_rings("rings"), _flat_edges("edges", "0D"), share, reach)))
+    depth = F.expr(f"CASE WHEN {ratio} >= 0.999999D THEN 0D WHEN _plain THEN {search} END")
+    return df.withColumn("inset_m", F.coalesce(depth, swept)).drop("_ring", "_plain", "_target")
 
 
 def road_setback(adj_roads: DataFrame) -> DataFrame:

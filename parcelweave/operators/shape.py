@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import geometry as geo
-from .envelope import north_edges
+from .envelope import main_ring, north_edges
 
 METRES_PER_DEGREE = 111320.0
 
@@ -38,8 +38,9 @@ def shape_metrics(df: DataFrame, lonlat: bool = False) -> DataFrame:
 
 
 def north_boundary(df: DataFrame, key: str = "pnu") -> DataFrame:
-    """Edges facing north, one row each."""
-    return df.select(key, F.explode(F.expr(north_edges())).alias("e")).select(key, "e.x1", "e.y1", "e.x2", "e.y2")
+    """Edges facing north of the largest part's outer ring, one row each."""
+    facing = north_edges(geo._pairs(main_ring("rings")))
+    return df.select(key, F.explode(F.expr(facing)).alias("e")).select(key, "e.x1", "e.y1", "e.x2", "e.y2")
 
 
 def validate_geometry(df: DataFrame, key: str = "feature_id") -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import geometry as geo
 from ..operators import grid
-from ..session import code_table
+from ..session import code_table, ship
 from ..sources.fixtures import cached_plan, view, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +50,7 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        ship(spark)
 
     def view(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, name)
@@ -57,12 +59,25 @@ class Inputs:
         """A rule table whose size is fixed in the code."""
         return code_table(self.spark, rows, schema)
 
-    def _shaped(self, name: str, rings: str) -> DataFrame:
-        return cached_plan(self.spark, (self.sf_dir, "shape", name), lambda: grid.with_shape(self.view(name), rings))
+    def _shaped(self, name: str, rings: str, kind: str = "shape") -> DataFrame:
+        return cached_plan(self.spark, (self.sf_dir, kind, name), lambda: grid.with_shape(self.view(name), rings))
 
     def parcels(self) -> DataFrame:
         return self._shaped("fx_parcels", geo.rectangle("x0", "y0", "x1", "y1"))
 
+    def shaped_parcels(self) -> DataFrame:
+        """Parcels as plain, L-shaped, U-shaped, holed, two-part and dumbbell polygons, by ``kind``."""
+        at = lambda *points: geo.polygon(*((f"x0 + (x1 - x0) * {fx}D", f"y0 + (y1 - y0) * {fy}D") for fx, fy in points))
+        third, two = repr(1 / 3), repr(2 / 3)
+        ell = at((0, 0), (1, 0), (1, 0.5), (0.5, 0.5), (0.5, 1), (0, 1))
+        cup = at((0, 0), (1, 0), (1, 1), (two, 1), (two, third), (third, third), (third, 1), (0, 1))
+        hole = at((0.25, 0.25), (0.25, 0.5), (0.5, 0.5), (0.5, 0.25))
+        rooms = at((0, 0), (0.5, 0), (0.5, 0.4), (0.7, 0.4), (0.7, 0), (1, 0), (1, 1), (0.7, 1), (0.7, 0.5), (0.5, 0.5), (0.5, 1), (0, 1))
+        box = geo.rectangle("x0", "y0", "x1", "y1")
+        parts = f"concat({at((0.8, 0), (1, 0), (1, 1), (0.8, 1))}, {at((0, 0), (0.6, 0), (0.6, 1), (0, 1))})"
+        rings = f"CASE id % 6 WHEN 1 THEN {ell} WHEN 2 THEN {cup} WHEN 3 THEN concat({box}, {hole}) WHEN 4 THEN {parts} WHEN 5 THEN {rooms} ELSE {box} END"
+        return self._shaped("fx_parcels", rings, "outlines").withColumn("kind", F.expr("CAST(id % 6 AS INT)"))
+
     def zones(self) -> DataFrame:
         return self._shaped("fx_zones", geo.rectangle("x0", "y0", "x1", "y1"))
 

@@ -103,12 +103,41 @@ def with_roads(par):
 
 
 @query("setback_envelope", sql("fx_parcels", """
-SELECT p.pnu, 'clip' AS method, round(greatest(x1 - x0 - CASE WHEN fl_ THEN 3 ELSE 1.5 END - CASE WHEN fr_ THEN 3 ELSE 1.5 END, 0)
+SELECT p.pnu, round(greatest(x1 - x0 - CASE WHEN fl_ THEN 3 ELSE 1.5 END - CASE WHEN fr_ THEN 3 ELSE 1.5 END, 0)
   * greatest(y1 - y0 - CASE WHEN fb THEN 3 ELSE 1.5 END - greatest(CASE WHEN ft_ THEN 3 ELSE 1.5 END, 4.5), 0), 2) AS envelope_area_m2
 FROM fx_parcels p JOIN fr ON fr.pnu = p.pnu""", SIDES_CTE))
 def setback_envelope(i: Inputs):
     par = with_roads(i.parcels()).withColumns({"front_m": F.lit(3.0), "adjacent_m": F.lit(1.5), "north_m": F.lit(4.5)})
-    return envelope.setback_envelope(par).select("pnu", "method", F.round("envelope_area_m2", 2).alias("envelope_area_m2"))
+    return envelope.setback_envelope(par).select("pnu", F.round("envelope_area_m2", 2).alias("envelope_area_m2"))
+
+
+SHAPE_AREAS = """
+shaped AS (SELECT *, CASE kind WHEN 5 THEN 2.5 ELSE 1.5 END AS s, CASE WHEN kind = 1 THEN 4.5 ELSE 0 END AS n FROM (SELECT pnu, id, id % 6 AS kind, x1 - x0 AS w, y1 - y0 AS h FROM fx_parcels) t)"""
+
+
+@query("envelope_shapes", sql("fx_parcels", """
+SELECT pnu, round(CASE kind WHEN 0 THEN (w - 2 * s) * (h - 2 * s)
+  WHEN 1 THEN (w - 2 * s) * (h - 2 * s) - w * h / 4 - (n - s) * (w / 2 - s) - (n - s) * (w / 2 - 2 * s)
+  WHEN 2 THEN (w - 2 * s) * (h - 2 * s) - (w / 3 + 2 * s) * (2 * h / 3)
+  WHEN 3 THEN (w - 2 * s) * (h - 2 * s) - (w / 4 + 2 * s) * (h / 4 + 2 * s)
+  WHEN 4 THEN (0.6 * w - 2 * s) * (h - 2 * s) ELSE (0.5 * w - 2 * s) * (h - 2 * s) END, 4) AS envelope_area_m2 FROM shaped""", SHAPE_AREAS))
+def envelope_shapes(i: Inputs):
+    """Plain, L (with a north setback), U, holed, two-part and dumbbell parcels; the last one's rooms come apart."""
+    par = i.shaped_parcels().withColumns({
+        "road_len": F.lit(None).cast("array<double>"), "front_m": F.lit(3.0), "adjacent_m": F.expr("CASE kind WHEN 5 THEN 2.5D ELSE 1.5D END"),
+        "north_m": F.expr("CASE WHEN kind = 1 THEN 4.5D ELSE 0D END")})
+    return envelope.setback_envelope(par).select("pnu", F.round("envelope_area_m2", 4).alias("envelope_area_m2"))
+
+
+@query("inset_shapes", sql("fx_parcels", """
+SELECT pnu, round(CASE kind WHEN 1 THEN (w + h - sqrt(power(w + h, 2) - 3 * w * h * (1 - ratio))) / 4
+  WHEN 4 THEN (0.6 * w + h - sqrt(power(0.6 * w + h, 2) - 2.4 * w * h * (1 - ratio))) / 4
+  ELSE 15 * w * h / 16 * (1 - ratio) / (2.5 * (w + h)) END, 4) AS inset_m
+FROM (SELECT *, 0.7 + (id % 5) / 20.0 AS ratio FROM shaped WHERE kind IN (1, 3, 4)) t""", SHAPE_AREAS))
+def inset_shapes(i: Inputs):
+    """L, holed and two-part parcels; around a hole the area falls with the depth in a straight line."""
+    par = i.shaped_parcels().where("kind IN (1, 3, 4)").withColumn("ratio", F.expr("0.7D + (id % 5) / 20D"))
+    return envelope.inset_for_area(par).select("pnu", F.round("inset_m", 4).alias("inset_m"))
 
 
 def _rounds_sql() -> str:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -28,6 +30,17 @@ def local_session(cores: str | None = None, shuffle_partitions: int = 8) -> Spar
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """This package for the executors, once for each application, so their tasks can import it."""
+    root = Path(__file__).resolve().parents[1]
+    if spark.sparkContext.applicationId not in _shipped and root.is_dir() and not spark.sparkContext.master.startswith("local["):
+        _shipped.add(spark.sparkContext.applicationId)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/parcelweave_core", "zip", root, "parcelweave"))
+
+
 def code_table(spark: SparkSession, rows: list[tuple], schema: str):
     """Rows fixed in the code as a relation whose exact size the optimiser knows."""
     names = [c.strip().split(" ") for c in schema.split(",")]

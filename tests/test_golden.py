@@ -168,9 +168,9 @@ def test_inset_and_concave_envelope(spark):
     df = shaped(spark, [(1, ell), (2, [(0, 0), (40, 0), (40, 40), (0, 40)])])
     df = df.withColumns({"road_len": F.lit(None).cast("array<double>"), "front_m": F.lit(0.0), "adjacent_m": F.lit(2.0), "north_m": F.lit(0.0)})
     rows = {r.id: r for r in envelope.setback_envelope(df).collect()}
-    assert rows[2].method == "clip" and abs(rows[2].envelope_area_m2 - 36 * 36) < 1e-6
-    # concave: erosion with a rounded inner corner, within the lattice step
-    assert rows[1].method == "lattice" and abs(rows[1].envelope_area_m2 - (16 * 36 + 20 * 16 + (4 - math.pi))) < 20
+    assert abs(rows[2].envelope_area_m2 - 36 * 36) < 1e-6
+    # the inner corner is mitred
+    assert abs(rows[1].envelope_area_m2 - (36 * 36 - 20 * 20)) < 1e-6
 
 
 def test_massing_caps_target(spark):
