@@ -6,8 +6,7 @@ the index for unused neighbours, best first, and they fill its window of ``WINDO
 that no longer fits is cut and its rest seeds the next window, so a window is only short when its shard
 is used up.  What is left then is cut into sequences whose lengths are powers of two: no padding at all.
 
-Ids come from the vocabulary's own library.  Since no token crosses white space, ids are looked up word by
-word in a bounded store that each task keeps, and the library encodes only words not seen before.
+Ids come from the vocabulary's own library, word by word through a bounded store.
 
 Defined results: a null or empty text is the single end id; equal rows are packed each for itself; an
 empty table gives an empty result; a document longer than a window fills several.
@@ -15,7 +14,6 @@ empty table gives an empty result; a document longer than a window fills several
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -24,67 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import identified, text_or_empty
-from .token_counts import default_path, load_tokenizer
+from .token_counts import default_path
+from .word_ids import word_ids
 
 WINDOW = 4096
 END_ID = 2
 SHARD_ROWS = 512
 #: BM25
 K1, B = 1.2, 0.75
-#: words whose ids a task keeps at most; beyond it the store is begun anew
-STORE_WORDS = 500_000
-
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class WordIds:
-    """Ids of texts, word by word, as unsigned 32-bit little-endian bytes."""
-
-    #: ASCII marks between a letter (one that lower case keeps a letter) and white space are tokens of their own
-    MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)(?=[ \n]|$)")
-
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-        self.store: dict[str, int] = {}
-        self.ids: list[bytes] = []
-
-    def words(self, text: str) -> list[str]:
-        """What parts a text without changing its ids; only blank and line feed are white space here."""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:  # lower case may depend on more than the letter
-            pass
-        else:
-            if "<|" in text:  # special tokens are matched in the raw text
-                return [w if "<|" in w else w.lower() for w in text.replace("\n", " ").split(" ")]
-            text = text.lower()
-        if "<|" not in text:  # special tokens are whole
-            text = self.MARK.sub(r" \1", text)
-        return text.replace("\n", " ").split(" ")
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words, from one text of them all; a token belongs to the word it starts in."""
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        at = np.searchsorted(ends, np.fromiter((a for a, _ in found.offsets), np.int64, len(found)), "right")
-        cuts = np.searchsorted(at, np.arange(len(words) + 1))
-        ids = np.array(found.ids, "<u4")
-        self.store.update(zip(words, range(len(self.ids), len(self.ids) + len(words))))
-        self.ids += [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[np.ndarray]]:
-        """Bytes of the ids, and the numbers of the words, of each text."""
-        if len(self.store) > STORE_WORDS:
-            self.store, self.ids = {}, []
-        words = [self.words(t) for t in texts]
-        numbers = [list(map(self.store.get, ws)) for ws in words]
-        new = list({w for ws, ns in zip(words, numbers) if None in ns for w, n in zip(ws, ns) if n is None})
-        for k in range(0, len(new), 1000):
-            self._learn(new[k : k + 1000])
-        numbers = [[self.store[w] if n is None else n for w, n in zip(ws, ns)] if None in ns else ns for ws, ns in zip(words, numbers)]
-        return [b"".join(map(self.ids.__getitem__, ns)) for ns in numbers], [np.array(ns, np.int64) for ns in numbers]
-
-
 class ShardIndex:
     """BM25 postings of one shard, from the word numbers of its documents."""
 
@@ -162,12 +110,16 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
 
     def run(batches):
         """A stream of rows sorted by shard and id."""
-        ids_of = WordIds(load_tokenizer(path))
+        coder = word_ids(path)
         shard, ids, texts = None, [], []
 
         def flush():
-            coded, words = ids_of.encode(texts)
-            coded = [c + end for c in coded]
+            found, at, terms, terms_at = coder.encode(pa.array(texts, pa.large_string()))
+            coded = [found[a:b].astype("<u4").tobytes() + end for a, b in zip(at, at[1:])]
+            # numbered as they appear in the shard, whatever the store held before
+            _, first, name = np.unique(terms, return_index=True, return_inverse=True)
+            terms = np.argsort(np.argsort(first))[name]
+            words = [terms[a:b] for a, b in zip(terms_at, terms_at[1:])]
             sizes = [len(c) // 4 for c in coded]
             index = ShardIndex(words)
             out = [(ids[k], start, length, zlib.crc32(coded[k][4 * start : 4 * (start + length)]), sizes[k], shard << 32 | sequence, offset)

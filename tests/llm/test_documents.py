@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from parcelweave.llm import fingerprints, language_id, mixing, ngram_join, packing, secret_scan, suffix_dedup, token_counts
+from parcelweave.llm import fingerprints, language_id, mixing, ngram_join, packing, secret_scan, suffix_dedup, token_counts, word_ids
 from tests.llm.conftest import SCHEMA
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -321,7 +322,8 @@ def test_packing_special_tokens(spark):
     texts = ["a <|ENDOFTEXT|> b", "<|StartOfText|>", "Ends <|endoftext|> HERE!", "É<|EndOfText|>x", "<|startoftext|>Word", "<| UP |> \n<|ENDOFTEXT|>\nLow."]
     t = tokenizer()
     found = {r.doc_id: r for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    coded, _ = packing.WordIds(t).encode(texts)
+    ids, at, _, _ = word_ids.WordIds(token_counts.default_path()).encode(pa.array(texts))
+    coded = [ids[a:b].astype("<u4").tobytes() for a, b in zip(at, at[1:])]
     for k, x in enumerate(texts):
         want = np.array(t.encode(x, add_special_tokens=False).ids, "<u4")
         assert coded[k] == want.tobytes() and found[k].doc_tokens == len(want) + 1, x
