@@ -1,6 +1,6 @@
 """Token counts with overlap resynchronisation for huge documents.
 
-Texts up to ``chunk_chars`` are encoded whole, in batches.  Longer ones are cut into chunks that
+Texts up to ``chunk_chars`` are encoded whole, in batches, word by word through a bounded store.  Longer ones are cut into chunks that
 overlap; each chunk is encoded on its own, with offsets, as a row of its own, so one huge document
 spreads over many tasks.  Two neighbours are spliced at a boundary inside their overlap that is proven
 stable: the character before it is white space (no token of the vocabulary crosses white space, and
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -127,7 +128,9 @@ def _huge(rows: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(places, pa.int64()), pa.array(drops, pa.int64())],
                                              [*KEY, "failed", "twice"])
 
-    pieces = rows.mapInArrow(cut, CHUNK).repartition(*KEY, "k")
+    # a given number of tasks is not merged at run time, however few the chunks
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = rows.mapInArrow(cut, CHUNK).repartition(tasks, *KEY, "k")
     done = stage(pieces.mapInArrow(encode, SUMMARY).dropDuplicates([*KEY, "k"]), "token-chunks")
     right = done.select(*KEY, (F.col("k") - 1).alias("k"), F.col("head_at").alias("next_at"), F.col("head_id").alias("next_id"))
     pairs = done.drop("head_at", "head_id", "tokens").join(right, [*KEY, "k"]).select(*KEY, "tail_at", "tail_id", "stable", "cut", "next_at", "next_id")
@@ -142,11 +145,13 @@ def count(docs: DataFrame, tokenizer_path: str | None = None, chunk_chars: int =
     path = tokenizer_path or default_path()
 
     def small(batches):
-        tokenizer = load_tokenizer(path)
+        from .word_ids import word_ids
+
+        coder = word_ids(path, terms=False)
         for step in steps(batches, "text"):
-            found = tokenizer.encode_batch_fast(step.column(1).to_pylist(), add_special_tokens=False)
+            _, offsets, _, _ = coder.encode(step.column(1))
             yield pa.RecordBatch.from_arrays(
-                [step.column(0), pc.binary_length(step.column(1)).cast(pa.int64()), pa.array([len(e.ids) for e in found], pa.int64())],
+                [step.column(0), pc.binary_length(step.column(1)).cast(pa.int64()), pa.array(np.diff(offsets), pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens"])
 
     rows = identified(docs, "doc_id", text_or_empty().alias("text"))
