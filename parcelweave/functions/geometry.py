@@ -17,6 +17,7 @@ bodies are evaluated as trees and would recompute a value at every mention.
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,6 +95,11 @@ def oriented(parts: str) -> str:
         f"concat(array({turned(f'{p}[0]')}), {each(f'slice({p}, 2, size({p}))', lambda r: turned(r, True))})")) + ")"
 
 
+def flat_rings(rings: str) -> str:
+    """Rings as one array of numbers: the number of points, then x and y of each, ring by ring."""
+    return "flatten(" + each(rings, lambda r: f"concat(array(double(size({r}))), flatten({each(r, lambda p: f'array({p}.x, {p}.y)')}))") + ")"
+
+
 def edges(rings: str) -> str:
     """Directed edges of all parts, the inside to their left."""
     def of(rs):
@@ -370,6 +376,65 @@ def transverse_mercator(lon: str, lat: str, lon0: float, lat0: float, k0: float,
         phi=f"radians({lat})", lam=f"radians({lon} - {lon0}D)")
 
 
+def inverse_transverse_mercator(x: str, y: str, lon0: float, lat0: float, k0: float, fe: float, fn: float,
+                                a: float = EARTH_A, e2: float = 0.006694380022900787) -> str:
+    """Longitude and latitude, in degrees, as an (x, y) struct: the series back from metres (Snyder)."""
+    ep2 = e2 / (1 - e2)
+    e1 = (1 - (1 - e2) ** 0.5) / (1 + (1 - e2) ** 0.5)
+    scale = a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256)
+    p0 = math.radians(lat0)
+    m0 = a * ((1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * p0 - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * math.sin(2 * p0)
+              + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * math.sin(4 * p0) - 35 * e2**3 / 3072 * math.sin(6 * p0))
+
+    def foot(mu):
+        return (f"{mu} + {3 * e1 / 2 - 27 * e1**3 / 32!r}D * sin(2 * {mu}) + {21 * e1**2 / 16 - 55 * e1**4 / 32!r}D * sin(4 * {mu}) "
+                f"+ {151 * e1**3 / 96!r}D * sin(6 * {mu}) + {1097 * e1**4 / 512!r}D * sin(8 * {mu})")
+
+    def degrees(phi, n, r, t, c, d):
+        lat = (f"{phi} - {n} * tan({phi}) / {r} * ({d} * {d} / 2 - (5 + 3 * {t} + 10 * {c} - 4 * {c} * {c} - {9 * ep2!r}D) * power({d}, 4) / 24 "
+               f"+ (61 + 90 * {t} + 298 * {c} + 45 * {t} * {t} - {252 * ep2!r}D - 3 * {c} * {c}) * power({d}, 6) / 720)")
+        lon = (f"({d} - (1 + 2 * {t} + {c}) * power({d}, 3) / 6 + (5 - 2 * {c} + 28 * {t} - 3 * {c} * {c} + {8 * ep2!r}D + 24 * {t} * {t}) * power({d}, 5) / 120) / cos({phi})")
+        return f"named_struct('x', {lon0!r}D + degrees({lon}), 'y', degrees({lat}))"
+
+    def curved(phi, s):
+        return let(lambda phi, n, r: let(lambda phi, n, r, t, c, d: degrees(phi, n, r, t, c, d), phi=phi, n=n, r=r, t=f"tan({phi}) * tan({phi})",
+                                         c=f"{ep2!r}D * cos({phi}) * cos({phi})", d=f"({x} - {fe!r}D) / ({n} * {k0!r}D)"),
+                   phi=phi, n=f"{a!r}D / sqrt({s})", r=f"{a * (1 - e2)!r}D / power({s}, 1.5D)")
+
+    return let(lambda mu: let(lambda phi: let(lambda phi, s: curved(phi, s), phi=phi, s=f"1 - {e2!r}D * sin({phi}) * sin({phi})"), phi=foot(mu)),
+               mu=f"({m0!r}D + ({y} - {fn!r}D) / {k0!r}D) / {scale!r}D")
+
+
+def datum_shift(lon: str, lat: str, source: tuple[float, float], target: tuple[float, float], shift: tuple[float, ...], back: bool = False) -> str:
+    """Degrees on another ellipsoid, at height 0: a similarity transform of geocentric coordinates.
+
+    Ellipsoids are (semi-major axis, first eccentricity squared); ``shift`` holds three metres, three arc
+    seconds (position vector rotation) and parts per million; ``back`` undoes it.
+    """
+    (a, e2), (a2, f2) = source, target
+    tx, ty, tz = shift[:3]
+    rx, ry, rz = (math.radians(s / 3600) for s in shift[3:6])
+    m = 1 + shift[6] * 1e-6
+    b2 = a2 * (1 - f2) ** 0.5
+
+    def moved(x, y, z):
+        if back:
+            return let(lambda x, y, z: rotated(x, y, z, -rx, -ry, -rz, 1 / m, 0.0, 0.0, 0.0), x=f"{x} - {tx!r}D", y=f"{y} - {ty!r}D", z=f"{z} - {tz!r}D")
+        return rotated(x, y, z, rx, ry, rz, m, tx, ty, tz)
+
+    def rotated(x, y, z, rx, ry, rz, m, tx, ty, tz):
+        return let(geodetic, x=f"{tx!r}D + {m!r}D * ({x} - {rz!r}D * {y} + {ry!r}D * {z})", y=f"{ty!r}D + {m!r}D * ({rz!r}D * {x} + {y} - {rx!r}D * {z})",
+                   z=f"{tz!r}D + {m!r}D * ({z} - {ry!r}D * {x} + {rx!r}D * {y})")
+
+    def geodetic(x, y, z):
+        return let(lambda p, t: (
+            f"named_struct('x', degrees(atan2({y}, {x})), 'y', degrees(atan2({z} + {f2 / (1 - f2) * b2!r}D * power(sin({t}), 3), {p} - {f2 * a2!r}D * power(cos({t}), 3))))"),
+            p=f"hypot({x}, {y})", t=f"atan2({z} * {a2!r}D, hypot({x}, {y}) * {b2!r}D)")
+
+    return let(lambda lam, phi, n: let(moved, x=f"{n} * cos({phi}) * cos({lam})", y=f"{n} * cos({phi}) * sin({lam})", z=f"{n} * {1 - e2!r}D * sin({phi})"),
+               lam=f"radians({lon})", phi=f"radians({lat})", n=f"{a!r}D / sqrt(1 - {e2!r}D * power(sin(radians({lat})), 2))")
+
+
 def bround(col: Column | str, digits: int = 0) -> Column:
     """Half-even rounding, the rule used for every reported number."""
     col = F.col(col) if isinstance(col, str) else col

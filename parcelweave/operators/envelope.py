@@ -43,10 +43,6 @@ def right_cornered(rings: str, ring: str) -> str:
         f"({a}.x2 - {a}.x1) * ({b}.x2 - {b}.x1) + ({a}.y2 - {a}.y1) * ({b}.y2 - {b}.y1) <= 1e-9D), t -> t)"), es=geo._pairs(ring))
 
 
-def _flat_rings(rings: str) -> str:
-    return "flatten(" + geo.each(rings, lambda r: f"concat(array(double(size({r}))), flatten({geo.each(r, lambda p: f'array({p}.x, {p}.y)')}))") + ")"
-
-
 def _flat_edges(edges: str, distance: str = "") -> str:
     return "flatten(" + geo.each(edges, lambda e: f"array({e}.x1, {e}.y1, {e}.x2, {e}.y2, {distance or f'{e}.d'})") + ")"
 
@@ -137,7 +133,7 @@ def setback_envelope(df: DataFrame) -> DataFrame:
     the north edges of the largest part's outer ring, each for itself.
     """
     df = _with_bands(df)
-    swept = _free_area(_others(_flat_rings("rings")), _others(_flat_edges("_bands")), _others(_flat_edges("_north")))
+    swept = _free_area(_others(geo.flat_rings("rings")), _others(_flat_edges("_bands")), _others(_flat_edges("_north")))
     clipped = F.expr(f"CASE WHEN _plain THEN {geo.ring_area_abs(geo.inset('_base', '_north'))} END")
     return df.withColumn("envelope_area_m2", F.coalesce(clipped, swept)).drop("_ring", "_plain", "_bands", "_north", "_base")
 
@@ -179,7 +175,7 @@ def constrained_massing(df: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     needs = F.struct(F.col("gross_floor_area_m2").alias("gross"), F.col("floors").cast("int").alias("floors"), F.col("building_area_m2").alias("building"),
                      F.col("mass_height_m").alias("height"), (F.col("ring_area") - F.col("applied_surface_m2")).alias("room"), F.col("north_daylight").alias("daylight"))
     df = df.withColumns({"_s": F.expr(f"CASE WHEN _plain THEN {fold} END"),
-                         "_t": _settled(_others(_flat_rings("rings")), _others(_flat_edges("_bands")), _others(_flat_edges("_north")), needs)})
+                         "_t": _settled(_others(geo.flat_rings("rings")), _others(_flat_edges("_bands")), _others(_flat_edges("_north")), needs)})
     df = df.withColumns({"_n": F.coalesce("_s.n", "_t.n"), "_adj": F.coalesce("_s.adj", "_t.adj"), "height_settled": F.coalesce("_s.done", "_t.done")}).drop("_s", "_t")
     ok = F.col("_adj") >= fv.MIN_FOOTPRINT_M2
     df = df.withColumns({"layout_feasible": ok, "_adj": F.when(ok, F.col("_adj")).otherwise(0.0)})
@@ -210,7 +206,7 @@ def inset_for_area(df: DataFrame, ratio: str = "ratio", steps: int = 48) -> Data
               + geo.let(lambda m: f"CASE WHEN {trial(m)} >= _target THEN named_struct('lo', {m}, 'hi', b.hi) "
                                   f"ELSE named_struct('lo', b.lo, 'hi', {m}) END", m="(b.lo + b.hi) / 2") + ", b -> b.lo)")
     sought = f"{ratio} < 0.999999D AND NOT _plain"
-    swept = _even_inset(*(F.expr(f"CASE WHEN {sought} THEN {v} END") for v in (_flat_rings("rings"), _flat_edges("edges", "0D"), share, reach)))
+    swept = _even_inset(*(F.expr(f"CASE WHEN {sought} THEN {v} END") for v in (geo.flat_rings("rings"), _flat_edges("edges", "0D"), share, reach)))
     depth = F.expr(f"CASE WHEN {ratio} >= 0.999999D THEN 0D WHEN _plain THEN {search} END")
     return df.withColumn("inset_m", F.coalesce(depth, swept)).drop("_ring", "_plain", "_target")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import geometry as geo
 from .envelope import main_ring, north_edges
+from .repair import self_crossing
 
 METRES_PER_DEGREE = 111320.0
 
@@ -46,8 +47,8 @@ def north_boundary(df: DataFrame, key: str = "pnu") -> DataFrame:
 def validate_geometry(df: DataFrame, key: str = "feature_id") -> DataFrame:
     """Per geometry: bad rings by reason, repeated vertices removed, the largest part kept.
 
-    A ring is bad with under three distinct vertices, without area, or when it touches
-    itself at a vertex.
+    A ring is bad with under three distinct vertices, when its edges cross, without area, or when it
+    touches itself at a vertex.
     """
     rings = F.posexplode_outer("rings")
     r = df.select(key, rings.alias("part", "ring"))
@@ -57,7 +58,8 @@ def validate_geometry(df: DataFrame, key: str = "feature_id") -> DataFrame:
     distinct = F.size(F.array_distinct("clean"))
     area = F.expr(geo.ring_area_abs("clean"))
     r = r.withColumns({"area": area, "removed": F.size("ring") - F.size("clean")})
-    reason = (F.when(F.col("ring").isNull() | (distinct < 3), "too_few_vertices").when(F.col("area") == 0, "zero_area")
+    r = r.withColumn("crossed", F.coalesce(self_crossing("array(clean)"), F.lit(False)))
+    reason = (F.when(F.col("ring").isNull() | (distinct < 3), "too_few_vertices").when(F.col("crossed"), "self_crossing").when(F.col("area") == 0, "zero_area")
               .when(distinct < F.size("clean"), "self_touching"))
     r = r.withColumn("reason", reason)
     return r.groupBy(key).agg(

@@ -87,6 +87,14 @@ class Inputs:
         hole = geo.rectangle("x0 + (x1 - x0) / 4", "y0 + (y1 - y0) / 4", "(x0 + x1) / 2", "(y0 + y1) / 2")
         return self._shaped("fx_layer", f"CASE WHEN feature_id % 3 = 0 THEN {geo.oriented(f'array(concat({outer}, {hole}))')} ELSE {outer} END")
 
+    def crossed_layer(self) -> DataFrame:
+        """Layer features as rings that cross themselves: bow ties, a loop that leaves its box below, and plain boxes."""
+        bow = geo.polygon(("x0", "y0"), ("x1", "y1"), ("x1", "y0"), ("x0", "y1"))
+        mid = "(x0 + x1) / 2"
+        loop = geo.polygon(("x0", "y0"), ("x1", "y0"), ("x1", "y1"), (mid, "y1"), (mid, "y0 - 10"), ("x0", "y0 - 10"))
+        rings = f"CASE feature_id % 3 WHEN 0 THEN {bow} WHEN 1 THEN {loop} ELSE {geo.rectangle('x0', 'y0', 'x1', 'y1')} END"
+        return self.view("fx_layer").withColumn("rings", F.expr(rings))
+
     def planned_roads(self) -> DataFrame:
         return self._shaped("fx_planned_roads", geo.rectangle("x0", "y0", "x1", "y1"))
 

@@ -53,6 +53,77 @@ def validate_geometry(i: Inputs):
     return shape.validate_geometry(i.view("fx_layer").select("feature_id", F.expr(f"array({bad}, {good})").alias("rings")))
 
 
+CROSSED = """
+SELECT feature_id, feature_id % 3 AS kind, x1 - x0 AS w, y1 - y0 AS h FROM fx_layer"""
+
+
+@query("self_crossing", sql("fx_layer", f"""
+SELECT feature_id, CASE WHEN kind = 2 THEN 'ok' ELSE 'self_crossing' END AS reason FROM ({CROSSED}) t"""))
+def self_crossing(i: Inputs):
+    return shape.validate_geometry(i.crossed_layer()).select("feature_id", "reason")
+
+
+@query("repair_rings", sql("fx_layer", f"""
+SELECT feature_id, kind < 2 AS repaired, CASE WHEN kind < 2 THEN 2 ELSE 1 END AS n_rings,
+  round(CASE kind WHEN 0 THEN w * h / 2 WHEN 1 THEN w / 2 * h + w / 2 * 10 ELSE w * h END, 6) AS area_m2 FROM ({CROSSED}) t"""))
+def repair_rings(i: Inputs):
+    """Through the ingest of a layer: crossings are taken apart before anything is measured."""
+    return layers.prepare_layer(i.crossed_layer()).select(
+        "feature_id", "repaired", F.size("rings").alias("n_rings"), F.round(F.expr(geo.area("rings")), 6).alias("area_m2"))
+
+
+# overlap of parcel rectangles with the two triangles of a bow tie: its height over x is linear between the listed places
+@query("overlay_repaired", sql("fx_parcels fx_layer", """
+SELECT pnu, feature_id, round_even(area, 1) AS area_m2 FROM (
+  SELECT pnu, feature_id, list_sum([(b[i + 1] - b[i]) * (greatest(0, least(v1, abs(b[i])) - greatest(v0, -abs(b[i]))) + greatest(0, least(v1, abs(b[i + 1])) - greatest(v0, -abs(b[i + 1])))) / 2 FOR i IN range(1, len(b))]) / k AS area
+  FROM (SELECT *, list_sort(list_distinct(list_filter([u0, u1, 0, v0, -v0, v1, -v1], lambda x: x >= u0 AND x <= u1))) AS b FROM (
+    SELECT p.pnu, l.feature_id, (l.x1 - l.x0) / (l.y1 - l.y0) AS k, greatest(p.x0, l.x0) - (l.x0 + l.x1) / 2 AS u0, least(p.x1, l.x1) - (l.x0 + l.x1) / 2 AS u1,
+      (greatest(p.y0, l.y0) - (l.y0 + l.y1) / 2) * ((l.x1 - l.x0) / (l.y1 - l.y0)) AS v0, (least(p.y1, l.y1) - (l.y0 + l.y1) / 2) * ((l.x1 - l.x0) / (l.y1 - l.y0)) AS v1
+    FROM fx_parcels p JOIN fx_layer l ON l.feature_id % 3 = 0 AND p.x0 < l.x1 AND p.x1 > l.x0 AND p.y0 < l.y1 AND p.y1 > l.y0) a) b0) c
+WHERE area > 0.000001"""))
+def overlay_repaired(i: Inputs):
+    bows = layers.prepare_layer(i.crossed_layer().where("feature_id % 3 = 0"))
+    return spatial.overlay(i.parcels(), bows).select("pnu", "feature_id", "area_m2")
+
+
+def _shift_sql(lon: str, lat: str, source: tuple, target: tuple, sign: int) -> tuple[str, str]:
+    """Longitude and latitude after the datum shift, as SQL of its own."""
+    (a, e2), (a2, f2) = source, target
+    tx, ty, tz, rx, ry, rz, ppm = layers.OLD_DATUM
+    n = f"({a!r}::DOUBLE / sqrt(1 - {e2!r}::DOUBLE * power(sin(radians({lat})), 2)))"
+    g = [f"({n} * cos(radians({lat})) * cos(radians({lon})))", f"({n} * cos(radians({lat})) * sin(radians({lon})))", f"({n} * {1 - e2!r}::DOUBLE * sin(radians({lat})))"]
+    t = [f"{v!r}::DOUBLE" for v in (tx, ty, tz)]
+    if sign < 0:
+        g, t = [f"({v} - {w})" for v, w in zip(g, t)], ["0"] * 3
+    turn = [f"radians({sign * v!r}::DOUBLE / 3600)" for v in (rx, ry, rz)]
+    m = f"power(1 + {ppm!r}::DOUBLE / 1000000, {sign})"
+    x = f"({t[0]} + {m} * ({g[0]} - {turn[2]} * {g[1]} + {turn[1]} * {g[2]}))"
+    y = f"({t[1]} + {m} * ({turn[2]} * {g[0]} + {g[1]} - {turn[0]} * {g[2]}))"
+    z = f"({t[2]} + {m} * ({g[2]} - {turn[1]} * {g[0]} + {turn[0]} * {g[1]}))"
+    b2 = f"({a2!r}::DOUBLE * sqrt(1 - {f2!r}::DOUBLE))"
+    p = f"sqrt({x} * {x} + {y} * {y})"
+    th = f"atan2({z} * {a2!r}::DOUBLE, {p} * {b2})"
+    return (f"degrees(atan2({y}, {x}))", f"degrees(atan2({z} + {f2 / (1 - f2)!r}::DOUBLE * {b2} * power(sin({th}), 3), {p} - {f2!r}::DOUBLE * {a2!r}::DOUBLE * power(cos({th}), 3)))")
+
+
+_OLD = _shift_sql("127 + x0 / 100000", "37 + y0 / 100000", layers.GRS80, layers.BESSEL, -1)
+
+
+@query("datum_shift", sql("fx_parcels", f"""
+SELECT id, round({_OLD[0]}, 7) AS lon, round({_OLD[1]}, 7) AS lat, true AS back_within_cm, true AS sheet_within_cm FROM fx_parcels"""))
+def datum_shift(i: Inputs):
+    """Corners on the older datum, and the way there and back: through the old plane system, and from the newer plane to it and back."""
+    spot = "named_struct('x', 127 + x0 / 100000, 'y', 37 + y0 / 100000)"
+    old = geo.datum_shift(f"{spot}.x", f"{spot}.y", layers.GRS80, layers.BESSEL, layers.OLD_DATUM, back=True)
+    ring = geo.rectangle("127 + x0 / 100000", "37 + y0 / 100000", "127 + x1 / 100000", "37 + y1 / 100000")
+    df = i.view("fx_parcels").withColumns({"o": F.expr(old), "r": F.expr(ring)})
+    df = df.withColumn("m", F.expr(layers.project("r", "EPSG:4326", "EPSG:5174"))).withColumn("b", F.expr(layers.project("m", "EPSG:5174", "EPSG:4326")))
+    df = df.withColumn("s", F.expr(layers.project("r", "EPSG:4326", "EPSG:5186"))).withColumn(
+        "t", F.expr(layers.project(layers.project("s", "EPSG:5186", "EPSG:5174"), "EPSG:5174", "EPSG:5186")))
+    off = lambda a, b, metres: F.expr(f"forall(zip_with({a}[0], {b}[0], (p, q) -> hypot(p.x - q.x, p.y - q.y) * {metres}D < 0.01D), t -> t)")
+    return df.select("id", F.round("o.x", 7).alias("lon"), F.round("o.y", 7).alias("lat"), off("r", "b", 111_320.0).alias("back_within_cm"), off("s", "t", 1.0).alias("sheet_within_cm"))
+
+
 @query("normalize_layer", sql("fx_layer", """
 SELECT feature_id, 'forest_class' AS layer_id, CASE WHEN code = 'UFM110' THEN '임업용산지' WHEN code = 'UFM200' THEN '준보전산지' ELSE name END AS name, code FROM fx_layer WHERE code <> '' UNION ALL
 SELECT feature_id, 'ecological_nature', CASE WHEN feature_id % 3 = 0 THEN '생태·자연도' ELSE '생태·자연도 ' || code || '등급' END, CASE WHEN feature_id % 3 = 0 THEN '' ELSE code END FROM fx_layer UNION ALL

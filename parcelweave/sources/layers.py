@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..operators import grid
+from ..operators.repair import repair
 
 _COORDS = "array<array<array<double>>>"
 
@@ -52,23 +53,56 @@ def rings_from_wkt(text: Column) -> Column:
     return _oriented(F.transform(rings, lambda p: F.transform(p, points)))
 
 
+# ellipsoids: semi-major axis, first eccentricity squared
+GRS80 = (geo.EARTH_A, 0.006694380022900787)
+BESSEL = (6377397.155, 0.006674372231802145)
+# fixed value: older national datum to the geocentric one, metres, arc seconds (position vector), parts per million
+OLD_DATUM = (-115.80, 474.99, 674.11, 1.16, -2.31, -1.63, 6.43)
+
 # projected systems of the source layers: central meridian, origin latitude, scale, false easting/northing
 CRS = {
+    "EPSG:5174": dict(lon0=127.0028902777778, lat0=38.0, k0=1.0, fe=200000.0, fn=500000.0),
     "EPSG:5179": dict(lon0=127.5, lat0=38.0, k0=0.9996, fe=1000000.0, fn=2000000.0),
+    "EPSG:5181": dict(lon0=127.0, lat0=38.0, k0=1.0, fe=200000.0, fn=500000.0),
     "EPSG:5186": dict(lon0=127.0, lat0=38.0, k0=1.0, fe=200000.0, fn=600000.0),
 }
+OLDER = {"EPSG:5174"}
+LONLAT = "EPSG:4326"
 
 
 def project(rings: str, src: str, dst: str) -> str:
-    """Reproject lon/lat rings to a metric system with native arithmetic."""
+    """Rings from one system to another with native arithmetic, through longitude and latitude.
+
+    Systems on the older datum are shifted through geocentric coordinates.
+    """
+    for system in (src, dst):
+        if system != LONLAT and system not in CRS:
+            raise ValueError(f"unknown system {system}")
     if src == dst:
         return rings
-    if src != "EPSG:4326" or dst not in CRS:
-        raise ValueError(f"no projection from {src} to {dst}")
-    return geo.each(rings, lambda r: geo.each(r, lambda p: geo.transverse_mercator(f"{p}.x", f"{p}.y", **CRS[dst])))
+    old = lambda system: BESSEL if system in OLDER else GRS80
+
+    def point(p):
+        def ahead(q):
+            if dst == LONLAT:
+                return f"named_struct('x', {q}.x, 'y', {q}.y)"
+            a, e2 = old(dst)
+            return geo.transverse_mercator(f"{q}.x", f"{q}.y", **CRS[dst], a=a, e2=e2)
+
+        def shifted(q):
+            if old(src) == old(dst):
+                return ahead(q)
+            return geo.let(ahead, q=geo.datum_shift(f"{q}.x", f"{q}.y", old(src), old(dst), OLD_DATUM, back=dst in OLDER))
 
+        if src == LONLAT:
+            return shifted(p)
+        a, e2 = old(src)
+        return geo.let(shifted, q=geo.inverse_transverse_mercator(f"{p}.x", f"{p}.y", **CRS[src], a=a, e2=e2))
 
-def clean_rings(rings: str) -> str:
+    return geo.each(rings, lambda r: geo.each(r, point))
+
+
+def clean_rings(rings: str, least: int = 1) -> str:
     """Drop consecutive duplicate vertices and rings without area."""
     def dedupe(r):
         prev = f"concat(slice({r}, -1, 1), slice({r}, 1, size({r}) - 1))"
@@ -76,12 +110,17 @@ def clean_rings(rings: str) -> str:
         return geo.each(geo.keep(pairs, lambda s: f"{s}.new"), lambda s: f"{s}.p")
 
     cleaned = geo.each(geo.keep(rings, lambda r: f"size({r}) > 0"), dedupe)
-    return geo.keep(cleaned, lambda r: f"size({r}) >= 3 AND abs({geo.ring_area(r)}) > 0")
+    return geo.keep(cleaned, lambda r: f"size({r}) >= 3 AND abs({geo.ring_area(r)}) > 0") if least else cleaned
+
+
+def clean_spots(rings: str) -> str:
+    """Drop consecutive duplicate vertices and rings under three; rings without area may still cross themselves."""
+    return geo.keep(clean_rings(rings, 0), lambda r: f"size({r}) >= 3")
 
 
 def prepare_layer(raw: DataFrame, src_crs: str | None = None, dst_crs: str | None = None) -> DataFrame:
     """Repair, reproject and index raw features; empty geometry is dropped, all other columns stay."""
-    clean = raw.withColumn("rings", F.expr(clean_rings("rings"))).filter(F.size("rings") > 0)
+    clean = repair(raw.withColumn("rings", F.expr(clean_spots("rings")))).filter(F.size("rings") > 0)
     return grid.with_shape(clean, project("rings", src_crs, dst_crs) if src_crs and dst_crs else "rings")
 
 

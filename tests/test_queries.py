@@ -10,7 +10,7 @@ from parcelweave.sources.fixtures import TABLES
 
 SF = "/root/testdata/sf0.001"
 CHECKED = ["overlay", "zone_shares", "adjacency", "locate_parcel", "districts", "detect_jurisdiction", "setbacks", "terrain",
-           "regulatory_screen", "candidates", "north_edges", "envelope_shapes", "inset_shapes", "setback_envelope", "constrained_massing", "search", "grid_rules", "parse_designations", "session_state_stream"]
+           "regulatory_screen", "candidates", "north_edges", "envelope_shapes", "inset_shapes", "self_crossing", "repair_rings", "overlay_repaired", "datum_shift", "layer_ingest", "setback_envelope", "constrained_massing", "search", "grid_rules", "parse_designations", "session_state_stream"]
 
 
 def plain(v):
