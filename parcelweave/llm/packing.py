@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import identified, text_or_empty
+from .common import STEP_BYTES, identified, steps, text_or_empty
 from .token_counts import default_path
 from .word_ids import word_ids
 
@@ -30,6 +30,9 @@ END_ID = 2
 SHARD_ROWS = 512
 #: BM25
 K1, B = 1.2, 0.75
+#: words a worker keeps at most
+STORE_WORDS = 600_000
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -109,32 +112,39 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        """A stream of rows sorted by shard and id."""
-        coder = word_ids(path)
-        shard, ids, texts = None, [], []
-
-        def flush():
-            found, at, terms, terms_at = coder.encode(pa.array(texts, pa.large_string()))
-            coded = [found[a:b].astype("<u4").tobytes() + end for a, b in zip(at, at[1:])]
-            # numbered as they appear in the shard, whatever the store held before
-            _, first, name = np.unique(terms, return_index=True, return_inverse=True)
-            terms = np.argsort(np.argsort(first))[name]
-            words = [terms[a:b] for a, b in zip(terms_at, terms_at[1:])]
-            sizes = [len(c) // 4 for c in coded]
-            index = ShardIndex(words)
-            out = [(ids[k], start, length, zlib.crc32(coded[k][4 * start : 4 * (start + length)]), sizes[k], shard << 32 | sequence, offset)
-                   for k, start, length, sequence, offset in fill(sizes, index.neighbours)]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-        for batch in batches:
-            for s, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if s != shard:
-                    if ids:
-                        yield flush()
-                    shard, ids, texts = s, [], []
-                ids.append(doc_id)
-                texts.append(text)
-        if ids:
-            yield flush()
+        """A stream of rows sorted by shard and id; words are looked up for several shards at once."""
+        coder = word_ids(path, most=STORE_WORDS)
+
+        def emit(table):
+            ids, at, terms, terms_at = coder.encode(table.column(2).combine_chunks())
+            at, terms_at = at.tolist(), terms_at.tolist()
+            shards, doc_ids = table.column(0).to_numpy(), table.column(1).to_pylist()
+            edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for low, high in zip(edges, edges[1:]):
+                coded = [ids[a:b].astype("<u4").tobytes() + end for a, b in zip(at[low:high], at[low + 1 : high + 1])]
+                sizes = [len(c) // 4 for c in coded]
+                # numbered as they appear in the shard, whatever the store held before
+                own, start = terms[terms_at[low] : terms_at[high]], terms_at[low]
+                _, first, name = np.unique(own, return_index=True, return_inverse=True)
+                own = np.argsort(np.argsort(first))[name]
+                index = ShardIndex([own[a - start : b - start] for a, b in zip(terms_at[low:high], terms_at[low + 1 : high + 1])])
+                shard = int(shards[low])
+                out = [(doc_ids[low + k], start, length, zlib.crc32(coded[k][4 * start : 4 * (start + length)]), sizes[k], shard << 32 | sequence, offset)
+                       for k, start, length, sequence, offset in fill(sizes, index.neighbours)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+        held, size = [], 0
+        for step in steps(batches, "text"):
+            held.append(step)
+            size += step.nbytes
+            if size > STEP_BYTES:
+                table = pa.Table.from_batches(held)
+                shards = table.column(0).to_numpy()
+                cut = int(np.searchsorted(shards, shards[-1]))  # the last shard may go on
+                if cut:
+                    yield from emit(table.slice(0, cut))
+                    held, size = table.slice(cut).to_batches(), sum(b.nbytes for b in table.slice(cut).to_batches())
+        if held:
+            yield from emit(pa.Table.from_batches(held))
 
     return rows.repartition("shard").sortWithinPartitions("shard", "doc_id", "text").mapInArrow(run, PIECES)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from .common import joined_bytes
 from .token_counts import load_tokenizer
 
-#: words a task keeps at most; beyond it the store is begun anew
+#: words a worker keeps at most; beyond it those met in several steps stay, half as many at most
 STORE_WORDS = 250_000
 #: new words that the library encodes as one text
 LEARN_WORDS = 4096
@@ -70,8 +70,8 @@ def parts_words(path: str) -> bool:
 class WordIds:
     """Ids of texts by a store of words; with ``terms`` the words are numbered, case folded."""
 
-    def __init__(self, path: str, terms: bool = True):
-        self.terms = terms
+    def __init__(self, path: str, terms: bool = True, most: int | None = None):
+        self.terms, self.most = terms, most or STORE_WORDS
         self.tokenizer = load_tokenizer(path)
         self.by_word = parts_words(path)
         self.clear()
@@ -80,10 +80,32 @@ class WordIds:
         self.store: dict[str, int] = {}
         self.fold: dict[str, int] = {}
         self.flat, self.at, self.term = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.met = np.zeros(0, np.int64)
+
+    def _thin(self) -> None:
+        """Leaves the words met in most steps."""
+        least = 2
+        while (kept := np.flatnonzero(self.met >= least)).size > self.most // 2:
+            least *= 2
+        names = list(self.store)
+        size = np.diff(self.at)[kept]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = self.flat[np.repeat(self.at[kept] - ends[:-1], size) + np.arange(ends[-1])]
+        met = self.met[kept] // 2
+        self.clear()
+        words = [names[k] for k in kept.tolist()]
+        self._stored(words, flat, ends)
+        self.met = met
+
+    def _stored(self, words: list[str], flat: np.ndarray, ends: np.ndarray) -> None:
+        self.store.update(zip(words, range(len(self.store), len(self.store) + len(words))))
+        terms = [self.fold.setdefault(w if "<|" in w else w.lower(), len(self.fold)) for w in words] if self.terms else [0] * len(words)
+        self.flat, self.at = np.concatenate([self.flat, flat]), np.concatenate([self.at, self.at[-1] + ends[1:]])
+        self.term, self.met = np.concatenate([self.term, np.array(terms, np.int64)]), np.concatenate([self.met, np.zeros(len(words), np.int64)])
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words, many as one text; a token belongs to the word it starts in."""
-        flat, sizes = [self.flat], []
+        flat, sizes = [], [np.zeros(1, np.int64)]
         for k in range(0, len(words), LEARN_WORDS):
             some = words[k : k + LEARN_WORDS]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -91,21 +113,20 @@ class WordIds:
             of = np.searchsorted(ends, np.fromiter((a for a, _ in found.offsets), np.int64, len(found)), "right")
             sizes.append(np.bincount(of, minlength=len(some)))
             flat.append(np.array(found.ids, np.uint32))
-        self.store.update(zip(words, range(len(self.store), len(self.store) + len(words))))
-        terms = [self.fold.setdefault(w if "<|" in w else w.lower(), len(self.fold)) for w in words] if self.terms else [0] * len(words)
-        self.flat, self.at = np.concatenate(flat), np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
-        self.term = np.concatenate([self.term, np.array(terms, np.int64)])
+        self._stored(words, np.concatenate(flat), np.cumsum(np.concatenate(sizes)))
 
     def numbers(self, words: pa.Array) -> np.ndarray:
-        if len(self.store) > STORE_WORDS:
-            self.clear()
+        if len(self.store) > self.most:
+            self._thin()
         coded = words.dictionary_encode()
         names = coded.dictionary.to_pylist()
         found = list(map(self.store.get, names))
         if None in found:
             self._learn([w for w, n in zip(names, found) if n is None])
             found = list(map(self.store.__getitem__, names))
-        return np.array(found, np.int64)[np.asarray(coded.indices)]
+        found = np.array(found, np.int64)
+        self.met[found] += 1
+        return found[np.asarray(coded.indices)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts end to end and their n+1 offsets, and the same of the numbers of their words."""
@@ -127,8 +148,8 @@ class WordIds:
 _kept: dict[tuple[str, bool], WordIds] = {}
 
 
-def word_ids(path: str, terms: bool = True) -> WordIds:
+def word_ids(path: str, terms: bool = True, most: int | None = None) -> WordIds:
     """The store of this worker, which outlives a task."""
     if (path, terms) not in _kept:
-        _kept[path, terms] = WordIds(path, terms)
+        _kept[path, terms] = WordIds(path, terms, most)
     return _kept[path, terms]

@@ -1,6 +1,7 @@
 """Token files against the library, the perfect hash, torn files, and small shards."""
 
 import collections
+import functools
 import random
 import zlib
 
@@ -14,8 +15,13 @@ from parcelweave.llm.token_counts import default_path, load_tokenizer
 AWKWARD = ["a", "B", "'s", "'", "<|endoftext|>", "<|", "|>", "<", "é", "É", "×", "÷", "ß", "́", "̸", "Σ", "ς", "1", "٣", " ", "\n", "\t", "\x0b", " ", "　", "!", "&", "—", "東", "İ", "'re", "\x00", "\x85"]
 
 
+@functools.cache
+def tokenizer():
+    return load_tokenizer(default_path())
+
+
 def library(text):
-    return load_tokenizer(default_path()).encode(text or "", add_special_tokens=False).ids
+    return tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 def plain(rows):
@@ -56,6 +62,7 @@ def test_word_ids_are_the_librarys():
 
 def test_word_ids_store_is_bounded(monkeypatch):
     monkeypatch.setattr(word_ids, "STORE_WORDS", 5)
+    assert word_ids.WordIds(default_path()).most == 5
     monkeypatch.setattr(word_ids, "LEARN_WORDS", 3)
     coder = word_ids.WordIds(default_path())
     for text in ("one two three four five six seven", "eight one two", "", "nine"):
@@ -70,10 +77,10 @@ def test_other_vocabularies_encode_whole_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     coder = word_ids.WordIds(path)
     assert not coder.by_word
-    tokenizer = load_tokenizer(path)
+    other = load_tokenizer(path)
     texts = ["two words, one text", "", " x"]
     ids, at, _, _ = coder.encode(pa.array(texts))
-    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [other.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("shard, keys", [(8 << 20, 1 << 15), (3000, 20)])
@@ -111,9 +118,8 @@ def test_files_of_nothing(spark, nothing):
 
 
 def test_wide_ids(spark):
-    tokenizer = load_tokenizer(default_path())
     got = token_files.written(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), end_id=70_000).collect()
-    ids = [*tokenizer.encode("a b").ids, 70_000]
+    ids = [*library("a b"), 70_000]
     assert sorted(map(tuple, got)) == [(1, 0, 3, zlib.crc32(np.array(ids, "<u4").tobytes())), (2, 3, 1, zlib.crc32(np.array([70_000], "<u4").tobytes()))]
 
 
