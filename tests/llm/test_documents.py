@@ -101,6 +101,40 @@ def test_ngram_join_by_trees_alone(docs, rows, monkeypatch):
     assert got(ngram_join.join(docs)) == components(rows)
 
 
+def test_ngram_join_by_texts_in_trees(docs, rows, monkeypatch):
+    """Nobody is named, so every pair is found in the trees with texts; checks meet the texts by a join."""
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "NAMED", 0)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 4096)
+    monkeypatch.setattr(ngram_join, "MOST_CHECKS", -1)
+    assert got(ngram_join.join(docs)) == components(rows)
+
+
+def test_ngram_join_checks_meet_texts_by_a_join(docs, rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(ngram_join, "NAMED", 1)
+    monkeypatch.setattr(ngram_join, "MOST_CHECKS", -1)
+    assert got(ngram_join.join(docs)) == components(rows)
+
+
+def test_count_vectors_saturate_upwards():
+    s = np.arange(1, 400_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    small = ngram_join.count_vector(s[:50])
+    assert len(small) == 16 and small.sum() == 50
+    full = np.full(16, 255, np.uint8)
+    assert ngram_join.may_link(full, full, 1 << 20, 1 << 20) and not ngram_join.may_link(small, full, 50, 100)
+    assert len(ngram_join.count_vector(s)) == ngram_join.MOST_GROUPS
+
+
+def test_keep_one_keeps_rows_without_an_id_and_one_of_each_repeated_row(docs, rows, spark):
+    lead = {d for d, _, c in components(rows) if d == c}
+    want = sorted({(d, t) for d, t, *_ in rows if d in lead}, key=str)
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect() if r.doc_id is not None), key=str) == want
+    assert [r.text for r in kept.collect() if r.doc_id is None] == ["no id"]
+
+
 def test_tree_bound_never_loses_a_pair():
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 1 << 63, 400).astype(np.uint64)
