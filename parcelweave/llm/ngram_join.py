@@ -11,7 +11,8 @@ shingles of its prefix.  "Rare" needs only a common order; shingles that are fre
 
 1. One pass digests the sets (equal sets form a class, one member stands for it), makes their count
    vectors and reports frequent shingles.
-2. A second pass sends prefixes along, packed by bucket; shingles with one document drop out.
+2. A second pass sends prefixes along, packed by bucket; documents without a partner of a fitting size
+   and rest drop out of a route.
 3. Star rounds: on each route one pivot is compared with the others.  Pairs whose count vectors bound
    the overlap too low fall out before a text moves; the rest are verified.  A group of near copies
    becomes one component this way with as many checks as members, never all pairs.
@@ -221,8 +222,24 @@ def _digests(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "kind int, doc_id long, n long, h1 long, h2 long, vec binary")
 
 
+def in_reach(t: np.ndarray, n: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Which postings, sorted by token and size, have a partner on their route: another one whose size and rest allow a link."""
+    group = np.cumsum(np.concatenate([[0], t[1:] != t[:-1]])).astype(np.int64) << 32
+    keep = np.arange(len(t))
+    for _ in range(2):  # the first sweep may leave others alone
+        g, size, rest = group[keep], n[keep].astype(np.int64), r[keep].astype(np.int64)
+        key = g + size
+        low = -(-PERCENT * size // 100)
+        high = np.minimum(100 * size // PERCENT, (100 + PERCENT) * rest // PERCENT - size)
+        others = np.searchsorted(key, g + np.maximum(high, 0), "right") - np.searchsorted(key, g + low) - ((low <= size) & (size <= high))
+        keep = keep[others > 0]
+    out = np.zeros(len(t), bool)
+    out[keep] = True
+    return out
+
+
 def _routes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: int, parts: int) -> DataFrame:
-    """(token, doc_id, n, rest) of every prefix shingle that two documents share; rest: shingles from it on, in the common order."""
+    """(token, doc_id, n, rest) of every prefix shingle that two documents in reach of each other share; rest: shingles from it on, in the common order."""
     spark = docs.sparkSession
     told = spark.sparkContext.broadcast(frequent)
 
@@ -271,12 +288,9 @@ def _routes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: i
         t = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["t"]])
         d = np.concatenate([np.frombuffer(x, np.int64) for x in frame["d"]])
         n, r = (np.concatenate([np.frombuffer(x, np.int32) for x in frame[c]]) for c in "nr")
-        order = np.argsort(t, kind="stable")
+        order = np.lexsort((n, t))
         t, d, n, r = t[order], d[order], n[order], r[order]
-        same = np.zeros(len(t), bool)
-        eq = t[1:] == t[:-1]
-        same[1:] |= eq
-        same[:-1] |= eq
+        same = in_reach(t, n, r)
         if len(values_ := told.value[0]):  # a split route may have its other documents in another part
             at = np.minimum(np.searchsorted(values_, t), len(values_) - 1)
             same |= (values_[at] == t) & (told.value[1][at] > PART_ROWS)

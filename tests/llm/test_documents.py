@@ -117,6 +117,20 @@ def test_ngram_join_checks_meet_texts_by_a_join(docs, rows, monkeypatch):
     assert got(ngram_join.join(docs)) == components(rows)
 
 
+def test_routes_keep_every_posting_with_a_partner():
+    rng = np.random.default_rng(8)
+    t, n = rng.integers(0, 200, 900).astype(np.uint64), rng.integers(1, 60, 900)
+    r = np.maximum(1, n - rng.integers(0, 1 + n // 4))
+    order = np.lexsort((n, t))
+    t, n, r = t[order], n[order], r[order]
+    kept = ngram_join.in_reach(t, n, r)
+    assert 100 < kept.sum() < 900
+    for i in range(900):
+        partner = any(i != j and t[i] == t[j] and ngram_join.enough(min(r[i], r[j]), n[i], n[j]) for j in range(max(0, i - 40), min(900, i + 40)))
+        assert kept[i] or not partner
+    assert len(ngram_join.in_reach(t[:0], n[:0], r[:0])) == 0
+
+
 def test_count_vectors_saturate_upwards():
     s = np.arange(1, 400_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     small = ngram_join.count_vector(s[:50])
