@@ -52,11 +52,13 @@ PERCENT = 75
 #: shingles that count as frequent: so often within one task's slice of the corpus; and how many are told to all tasks (4 MB)
 LOCAL_COUNT, MOST_FREQUENT = 3, 1 << 18
 #: shingles counted, and prefix shingles packed, at a time within a task
-COUNT_ROWS, PACK_ROWS = 1 << 21, 1 << 20
+COUNT_ROWS, PACK_ROWS = 1 << 21, 1 << 18
+#: bytes of text, or of count vectors, that a step holds at a time; hashing them takes about twelve times as much
+STEP = 2 << 20
 #: postings of one bucket part, rows of one tree, checks of one pivot group
 PART_ROWS, TREE_ROWS, PIVOT_ROWS = 1 << 18, 1024, 256
-#: bytes of count vectors, and of shingles, of one block of a tree
-BLOCK_BYTES = 16 << 20
+#: bytes of count vectors, and of shingles, of one block of a tree; folded points take four times as much
+BLOCK_BYTES = 8 << 20
 #: shingles to a group of the count vector, fewest and most groups
 GROUP_SIZE, LEAST_GROUPS, MOST_GROUPS = 4, 16, 8192
 #: partners that a point names before texts move
@@ -203,7 +205,7 @@ def _digests(docs: DataFrame) -> DataFrame:
             v, c = values[often].astype(np.int64), counts[often]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((np.ones(len(v)), np.zeros(len(v)), c, v, np.zeros(len(v)), [None] * len(v)), kinds)], names)
 
-        for step in steps(batches, "text"):
+        for step in steps(batches, "text", STEP):
             sets = shingle_sets(step.column(1))
             digests = [set_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), kinds[0]), step.column(0), pa.array([len(s) for s in sets], kinds[2]), pa.array([d[0] for d in digests], kinds[3]),
@@ -262,7 +264,7 @@ def _routes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: i
             column = lambda x: pa.array([p.tobytes() for p in np.split(x, cuts)], pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(key[firsts], pa.int64()), column(t), column(d), column(n), column(r)], ["part", "t", "d", "n", "r"])
 
-        for step in steps(batches, "text"):
+        for step in steps(batches, "text", STEP):
             for doc_id, s in zip(step.column(0).to_pylist(), shingle_sets(step.column(1))):
                 if not len(s) or (d := set_digest(s)) in seen:
                     continue
@@ -330,7 +332,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         current, own = None, []
-        for step in steps(batches, "text"):
+        for step in steps(batches, "text", STEP):
             found = []
             for a, salt, role, doc_id, s in zip(*(step.column(k).to_pylist() for k in range(4)), shingle_sets(step.column(4))):
                 if (a, salt) != current:
@@ -392,7 +394,7 @@ def _named(points: DataFrame, runs: DataFrame) -> DataFrame:
     rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def run(batches):
-        for key, held in _grouped(([c.to_pylist() for c in step.columns] for step in steps(batches, "vec"))):
+        for key, held in _grouped(([c.to_pylist() for c in step.columns] for step in steps(batches, "vec", STEP))):
             mine, ids, components_, sizes, rests, vectors = zip(*held)
             left = np.array(mine) if key[1] != key[2] else np.full(len(held), -1)
             pairs, more = named_pairs([np.frombuffer(v, np.uint8) for v in vectors], np.array(sizes), np.array(rests), np.array(components_), left)
@@ -410,7 +412,7 @@ def _trees(docs: DataFrame, runs: DataFrame) -> DataFrame:
     rows = rows.join(texts, "doc_id").select("token", "i", "j", "mine", "doc_id", "component_id", "rest", "text").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def run(batches):
-        for key, held in _grouped(([c.to_pylist() for c in step.columns[:7]] + [shingle_sets(step.column(7))] for step in steps(batches, "text"))):
+        for key, held in _grouped(([c.to_pylist() for c in step.columns[:7]] + [shingle_sets(step.column(7))] for step in steps(batches, "text", STEP))):
             left = np.array([h[0] if key[1] != key[2] else -1 for h in held])
             found = tree_links([h[1] for h in held], [h[4] for h in held], np.array([h[3] for h in held]), [h[2] for h in held], left)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["u", "v"])
