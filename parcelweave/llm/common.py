@@ -18,6 +18,16 @@ STEP_BYTES = 8 << 20
 #: white space of the word definition: blank, tab, line feed, vertical tab, form feed, carriage return
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make):
+    """What a worker keeps from task to task, of one operator at a time: workers outlive a stage, and the tables of all would add up."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
 
 _shipped: set[str] = set()
 

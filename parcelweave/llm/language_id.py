@@ -18,7 +18,6 @@ order wins.
 
 from __future__ import annotations
 
-import functools
 import zlib
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import identified, steps
+from .common import identified, kept, steps
 
 DIMENSIONS = 512
 HASHED_LETTERS = 21
@@ -38,7 +37,6 @@ UNKNOWN = "und"
 SEED = 20_17
 
 
-@functools.cache
 def _symbols() -> np.ndarray:
     """Code point -> symbol; 0 is no letter."""
     table = np.zeros(0x110000, np.uint8)
@@ -50,7 +48,6 @@ def _symbols() -> np.ndarray:
     return table
 
 
-@functools.cache
 def _trigrams() -> np.ndarray:
     """The bound vector of every trigram of symbols, as int8."""
     letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
@@ -59,11 +56,16 @@ def _trigrams() -> np.ndarray:
     return (pairs * letters[None, :, :]).reshape(SYMBOLS**3, DIMENSIONS)
 
 
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    return kept("language", lambda: (_symbols(), _trigrams()))
+
+
 def profile(text: str | None) -> np.ndarray | None:
     """The bundled vector of a text, scaled to length one; None without a letter."""
     if not text:
         return None
-    s = _symbols()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    symbols, trigrams = _tables()
+    s = symbols[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     if not s.any():
         return None
     s = s[(s != 0) | (np.append(0, s[:-1]) != 0)]  # a run of other characters is one border
@@ -77,7 +79,7 @@ def profile(text: str | None) -> np.ndarray | None:
         ids, counts = np.unique(codes, return_counts=True)
     out = np.zeros(DIMENSIONS, np.float32)
     for k in range(0, len(ids), 4096):
-        out += counts[k : k + 4096].astype(np.float32) @ _trigrams()[ids[k : k + 4096]].astype(np.float32)
+        out += counts[k : k + 4096].astype(np.float32) @ trigrams[ids[k : k + 4096]].astype(np.float32)
     length = float(np.linalg.norm(out))
     return out / length if length else None
 

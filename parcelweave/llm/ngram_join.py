@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stages import stage
-from .common import identified, mix64, picked, steps
+from .common import identified, kept, mix64, picked, steps
 from .components import components
 from .shingles import set_digest, shingle_sets
 
@@ -197,6 +197,7 @@ def _digests(docs: DataFrame) -> DataFrame:
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches):
+        kept("shingles", set)  # lets go of another operator's tables
         held, rows, seen = [], 0, set()
 
         def frequent():

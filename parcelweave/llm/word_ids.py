@@ -15,7 +15,7 @@ import json
 import numpy as np
 import pyarrow as pa
 
-from .common import joined_bytes
+from .common import joined_bytes, kept
 from .token_counts import load_tokenizer
 
 #: words a worker keeps at most; beyond it those met in several steps stay, half as many at most
@@ -145,11 +145,6 @@ class WordIds:
         return ids, ends[at], self.term[number], at
 
 
-_kept: dict[tuple[str, bool], WordIds] = {}
-
-
 def word_ids(path: str, terms: bool = True, most: int | None = None) -> WordIds:
     """The store of this worker, which outlives a task."""
-    if (path, terms) not in _kept:
-        _kept[path, terms] = WordIds(path, terms, most)
-    return _kept[path, terms]
+    return kept(f"words {terms} {path}", lambda: WordIds(path, terms, most))
