@@ -354,6 +354,6 @@ def remove(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 4 + [pa.string()])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = _repeats(rows, rows.where(F.octet_length("text") >= LENGTH).mapInArrow(anchors, ROW), GRIDS)
-    spans = found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("s")).select("doc_id", "h", F.col("s.lo").alias("low"), F.col("s.hi").alias("high"))
+    spans = found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("s")).select("doc_id", "h", F.col("s.lo").alias("low"), F.col("s.hi").alias("high"))
     whole = rows.join(spans, ["doc_id", "h"], "left").select("doc_id", "text", "low", "high")
     return whole.mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
