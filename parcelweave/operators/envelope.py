@@ -130,12 +130,14 @@ def setback_envelope(df: DataFrame) -> DataFrame:
     Needs rings, edges, bbox, ``road_len`` per edge, front_m, adjacent_m, north_m.  An edge is a front edge
     when more than half of it touches a road.  A setback takes the band beside an edge, on both sides and
     with flat ends; bands of neighbouring edges with one distance are mitred.  North setbacks lie along
-    the north edges of the largest part's outer ring, each for itself.
+    the north edges of the largest part's outer ring, each for itself.  ``method`` tells rows clipped
+    natively (``clip``) from rows swept (``sweep``).
     """
     df = _with_bands(df)
     swept = _free_area(_others(geo.flat_rings("rings")), _others(_flat_edges("_bands")), _others(_flat_edges("_north")))
     clipped = F.expr(f"CASE WHEN _plain THEN {geo.ring_area_abs(geo.inset('_base', '_north'))} END")
-    return df.withColumn("envelope_area_m2", F.coalesce(clipped, swept)).drop("_ring", "_plain", "_bands", "_north", "_base")
+    method = F.when(F.col("_plain"), "clip").otherwise("sweep")
+    return df.withColumns({"method": method, "envelope_area_m2": F.coalesce(clipped, swept)}).drop("_ring", "_plain", "_bands", "_north", "_base")
 
 
 #: rounds of height against area
