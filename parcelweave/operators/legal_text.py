@@ -249,6 +249,15 @@ def _number(col: Column) -> Column:
     return F.nullif(F.replace(col, F.lit(","), F.lit("")), F.lit("")).cast("int")
 
 
+def _by_table(cells: DataFrame) -> DataFrame:
+    """Cells of one table together, in as many parts as any shuffle has.
+
+    All that follows groups by table, so nothing moves again and no scan task sorts its cells first.
+    Cells repeat much and shrink when written, so parts are not merged by their written size.
+    """
+    return cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "org")
+
+
 def grid_rules(cells: DataFrame) -> DataFrame:
     """Setback rules from appendix tables laid out as target | front | adjacent.
 
@@ -256,7 +265,7 @@ def grid_rules(cells: DataFrame) -> DataFrame:
     within a table; several distances in a cell pair up; distances over 12 m are errors.
     """
     from pyspark.sql import Window
-    rows = cells.groupBy("org", "row").agg(*[F.max(F.when(F.col("col") == n, F.col("text"))).alias(f"c{n}") for n in range(3)])
+    rows = _by_table(cells).groupBy("org", "row").agg(*[F.max(F.when(F.col("col") == n, F.col("text"))).alias(f"c{n}") for n in range(3)])
     rows = rows.filter(F.col("c2").isNotNull() & ~((F.contains("c1", F.lit("건축선")) & F.contains("c1", F.lit("거리"))) | F.contains("c2", F.lit("인접대지경계선"))))
 
     def dists(c):
@@ -301,7 +310,7 @@ def grid_rules(cells: DataFrame) -> DataFrame:
 def grid_rules_single(cells: DataFrame) -> DataFrame:
     """Setback rules from tables with one distance column whose cell lists labelled distances."""
     from pyspark.sql import Window
-    marked = cells.withColumns({"is_dist": F.col("text").rlike(fv.GRID_DISTANCE), "use": _use_of(F.col("text")),
+    marked = _by_table(cells).withColumns({"is_dist": F.col("text").rlike(fv.GRID_DISTANCE), "use": _use_of(F.col("text")),
                                 "gross": F.when(F.contains("text", F.lit("이상")), _number(F.regexp_extract("text", fv.GRID_GROSS, 1)))})
     dist_col = F.min(F.when(F.col("is_dist"), F.struct("col", "text")))
     rows = marked.groupBy("org", "row").agg(
