@@ -56,29 +56,40 @@ def diagnose_stream(requests: DataFrame, diagnosed: DataFrame, key: str = "pnu")
     return requests.join(known, key, "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
 
 
-def dedupe_ttl(stream: DataFrame, keys: list[str], ttl_seconds: int = 900, time: str = "ts", order: str = "event_id", late: str = "10 minutes") -> DataFrame:
+def dedupe_ttl(stream: DataFrame, keys: list[str], ttl_seconds: int = 900, time: str = "ts", order: str = "event_id", late: str = "10 minutes",
+               buckets: int = 4096) -> DataFrame:
     """Events that are answered: the first of a key, and each one at least the time-to-live after the last answered.
 
     The state of a key is the time of its last answer.  It is dropped once the watermark is past the
     time-to-live, when any event still admitted would be answered anyway: state is bounded by the keys
     answered within ``ttl_seconds`` and ``late``, and the result does not depend on where batches end.
     Events that come more than ``late`` behind the newest of earlier batches, or without a time, are left out.
+    Keys are dealt to ``buckets`` by hash, whose keys keep their state together: calling Python for
+    each key costs far more than its few events.
     """
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    columns = stream.columns
+
+    def update(bucket: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
-        frame = pd.concat(list(frames)).sort_values([time, order])
+        answered = json.loads(state.get[0]) if state.exists else {}
+        frame = pd.concat(list(frames)).sort_values(["__us", order])
         keep = []
-        for t in frame["__us"].tolist():
-            keep.append(last is None or t - last >= ttl_seconds * 1_000_000)
-            last = t if keep[-1] else last
-        state.update((last,))
-        state.setTimeoutTimestamp(_after(last, ttl_seconds))
-        yield frame[keep].drop(columns="__us")
-
-    return _timed(stream, time, late).groupBy(*keys).applyInPandasWithState(update, stream.schema, "last long", "append", "EventTimeTimeout")
+        for at, (key, t) in enumerate(zip(frame["__key"].tolist(), frame["__us"].tolist())):
+            last = answered.get(key)
+            if last is None or t - last >= ttl_seconds * 1_000_000:
+                keep.append(at)
+                answered[key] = t
+        past = state.getCurrentWatermarkMs() * 1000
+        state.update((json.dumps({k: t for k, t in answered.items() if t + ttl_seconds * 1_000_000 > past}),))
+        state.setTimeoutTimestamp(_after(max(answered.values()), ttl_seconds))
+        if keep:
+            yield frame[columns].iloc[keep]
+
+    key = F.to_json(F.struct(*keys), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    dealt = _timed(stream, time, late).withColumns({"__key": key, "__bucket": F.pmod(F.xxhash64(*keys), F.lit(buckets))})
+    return dealt.groupBy("__bucket").applyInPandasWithState(update, stream.schema, "answered string", "append", "EventTimeTimeout")
 
 
 def _timed(stream: DataFrame, time: str, late: str) -> DataFrame:
