@@ -122,7 +122,7 @@ post AS (SELECT chunk_no, term, w / sqrt(sum(w * w) OVER (PARTITION BY chunk_no)
 
 @query("tfidf_index", sql("fx_chunks", "SELECT chunk_no, term, round(weight, 6) AS weight FROM post", INDEX_CTE))
 def tfidf_index(i: Inputs):
-    return search.tfidf_index(i.view("fx_chunks"))[0].select("chunk_no", "term", F.round("weight", 6).alias("weight"))
+    return search.tfidf_index(i.view("fx_chunks"), meta=())[0].select("chunk_no", "term", F.round("weight", 6).alias("weight"))
 
 
 @query("search", sql("fx_chunks fx_search", """
