@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, identified, steps, text_or_empty
+from .common import identified, steps, text_or_empty
 from .token_counts import default_path
 from .word_ids import word_ids
 
@@ -32,6 +32,8 @@ SHARD_ROWS = 512
 K1, B = 1.2, 0.75
 #: words a worker keeps at most
 STORE_WORDS = 600_000
+#: bytes of text whose words are looked up at a time, whole shards at least; encoding takes about ten times as much
+STEP = 2 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -134,10 +136,10 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         held, size = [], 0
-        for step in steps(batches, "text"):
+        for step in steps(batches, "text", STEP):
             held.append(step)
             size += step.nbytes
-            if size > STEP_BYTES:
+            if size > STEP:
                 table = pa.Table.from_batches(held)
                 shards = table.column(0).to_numpy()
                 cut = int(np.searchsorted(shards, shards[-1]))  # the last shard may go on

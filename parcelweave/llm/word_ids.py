@@ -51,10 +51,9 @@ def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarr
         begin[inner[inner < len(data)]] = True
         begin &= solid
     at = np.flatnonzero(begin)
-    kept = data[solid]
-    lost = np.cumsum(~solid) if len(data) else np.zeros(0, np.int64)
-    ends = np.append(at - lost[at], len(kept)).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(kept))])
+    # solid bytes from one begin to the next, without a number for each byte
+    ends = np.concatenate([[0], np.cumsum(np.add.reduceat(solid, at, dtype=np.int64))]) if len(at) else np.zeros(1, np.int64)
+    words = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data[solid])])
     return words, np.searchsorted(at, offsets)
 
 
@@ -68,7 +67,7 @@ def parts_words(path: str) -> bool:
 
 
 class WordIds:
-    """Ids of texts by a store of words; with ``terms`` the words are numbered, case folded."""
+    """Ids of texts by a store of words; with ``terms`` the words have 64-bit names, case folded."""
 
     def __init__(self, path: str, terms: bool = True, most: int | None = None):
         self.terms, self.most = terms, most or STORE_WORDS
@@ -78,7 +77,6 @@ class WordIds:
 
     def clear(self) -> None:
         self.store: dict[str, int] = {}
-        self.fold: dict[str, int] = {}
         self.flat, self.at, self.term = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
         self.met = np.zeros(0, np.int64)
 
@@ -99,7 +97,7 @@ class WordIds:
 
     def _stored(self, words: list[str], flat: np.ndarray, ends: np.ndarray) -> None:
         self.store.update(zip(words, range(len(self.store), len(self.store) + len(words))))
-        terms = [self.fold.setdefault(w if "<|" in w else w.lower(), len(self.fold)) for w in words] if self.terms else [0] * len(words)
+        terms = [hash(w if "<|" in w else w.lower()) for w in words] if self.terms else [0] * len(words)
         self.flat, self.at = np.concatenate([self.flat, flat]), np.concatenate([self.at, self.at[-1] + ends[1:]])
         self.term, self.met = np.concatenate([self.term, np.array(terms, np.int64)]), np.concatenate([self.met, np.zeros(len(words), np.int64)])
 
@@ -129,7 +127,7 @@ class WordIds:
         return found[np.asarray(coded.indices)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts end to end and their n+1 offsets, and the same of the numbers of their words."""
+        """Ids of all texts end to end and their n+1 offsets, and the same of the names of their words."""
         if not self.by_word:
             found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
             offsets = np.cumsum([0, *map(len, found)])
@@ -141,8 +139,9 @@ class WordIds:
         number = self.numbers(words)
         size = self.at[number + 1] - self.at[number]
         ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.at[number] - ends[:-1], size) + np.arange(ends[-1])]
-        return ids, ends[at], self.term[number], at
+        place = np.arange(ends[-1])
+        place += np.repeat(self.at[number] - ends[:-1], size)
+        return self.flat[place], ends[at], self.term[number], at
 
 
 def word_ids(path: str, terms: bool = True, most: int | None = None) -> WordIds:
