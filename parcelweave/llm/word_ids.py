@@ -21,10 +21,13 @@ from .token_counts import load_tokenizer
 #: words a worker keeps at most; beyond it those met in several steps stay, half as many at most
 STORE_WORDS = 250_000
 #: new words that the library encodes as one text
-LEARN_WORDS = 4096
+LEARN_WORDS = 256
 # fixed value: the rule by which the vocabulary cuts texts
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+# fixed value: how names of tokens end that end a part
+LAST = "</w>"
+
 _SPACE, _LETTER, _MARK, _LATIN = 1, 2, 4, 8
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 10, 13, 32]] = _SPACE
@@ -73,6 +76,10 @@ class WordIds:
         self.terms, self.most = terms, most or STORE_WORDS
         self.tokenizer = load_tokenizer(path)
         self.by_word = parts_words(path)
+        names = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(names.values()) + 1, bool)
+        if sum(len(t) == 1 + len(LAST) and t.endswith(LAST) for t in names) >= 256:  # one for each byte, so every part has a last token
+            self.last[[i for t, i in names.items() if t.endswith(LAST)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -102,22 +109,35 @@ class WordIds:
         self.term, self.met = np.concatenate([self.term, np.array(terms, np.int64)]), np.concatenate([self.met, np.zeros(len(words), np.int64)])
 
     def _learn(self, words: list[str]) -> None:
-        """Ids of new words, many as one text; a token belongs to the word it starts in."""
+        """Ids of new words, many as one text."""
+        words = sorted(words, key=str.isalpha)
+        rest = sum(not w.isalpha() for w in words)
         flat, sizes = [], [np.zeros(1, np.int64)]
-        for k in range(0, len(words), LEARN_WORDS):
-            some = words[k : k + LEARN_WORDS]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ends = np.cumsum([len(w) + 1 for w in some])
-            of = np.searchsorted(ends, np.fromiter((a for a, _ in found.offsets), np.int64, len(found)), "right")
-            sizes.append(np.bincount(of, minlength=len(some)))
-            flat.append(np.array(found.ids, np.uint32))
+        for some in (words[:rest], words[rest:]):
+            for k in range(0, len(some), LEARN_WORDS):
+                ids, size = self._encoded(some[k : k + LEARN_WORDS])
+                flat.append(ids)
+                sizes.append(size)
         self._stored(words, np.concatenate(flat), np.cumsum(np.concatenate(sizes)))
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and the number of each word's."""
+        text = " ".join(words)
+        if words[0].isalpha():
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.last[ids])
+            if len(last) == len(words):  # a word has one part at least, so each has one
+                return ids, np.diff(last, prepend=-1)
+        found = self.tokenizer.encode(text, add_special_tokens=False)  # a token belongs to the word it starts in
+        ends = np.cumsum([len(w) + 1 for w in words])
+        of = np.searchsorted(ends, np.fromiter((a for a, _ in found.offsets), np.int64, len(found)), "right")
+        return np.array(found.ids, np.uint32), np.bincount(of, minlength=len(words))
+
     def numbers(self, words: pa.Array) -> np.ndarray:
         if len(self.store) > self.most:
             self._thin()
         coded = words.dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.store.get, names))
         if None in found:
             self._learn([w for w, n in zip(names, found) if n is None])
