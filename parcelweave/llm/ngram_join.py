@@ -18,9 +18,11 @@ shingles of its prefix.  "Rare" needs only a common order; shingles that are fre
    becomes one component this way with as many checks as members, never all pairs.
 4. On routes that still lead through several components the trees search the count vectors alone: each
    point names its ``NAMED`` best partners, of as many other components.  The distinct pairs are verified.
-5. Points that had more such partners, on routes still open after that, meet again with their texts, and
-   every pair left of different components is verified inside the tree's task.  No link between different
-   components is lost.
+5. Points that had more such partners, on routes still open after that, name partners once more by finer
+   vectors, about a shingle to a group, which leave little but links.
+6. Points that have more of those still, on routes still open, meet again with their texts, and every pair
+   left of different components is verified inside the tree's task.  No link between different components
+   is lost.
 
 A pair also needs enough shingles from the shared one on, in the common order, in both sets: it is sure
 to have them on the route of its first shared shingle, so other routes may leave it.  Of routes with the
@@ -61,6 +63,8 @@ PART_ROWS, TREE_ROWS, PIVOT_ROWS = 1 << 18, 1024, 256
 BLOCK_BYTES = 8 << 20
 #: shingles to a group of the count vector, fewest and most groups
 GROUP_SIZE, LEAST_GROUPS, MOST_GROUPS = 4, 16, 8192
+#: the same of the finer vectors
+FINE_SIZE, FINE_GROUPS = 1, 32768
 #: partners that a point names before texts move
 NAMED = 4
 #: checks told to every task, so that texts move once, to their check; more meet them by a join
@@ -84,10 +88,10 @@ def linked(s: np.ndarray, t: np.ndarray) -> bool:
     return enough(int(np.count_nonzero(both[1:] == both[:-1])), len(s), len(t))
 
 
-def count_vector(s: np.ndarray) -> np.ndarray:
+def count_vector(s: np.ndarray, size: int = GROUP_SIZE, most: int = MOST_GROUPS) -> np.ndarray:
     """Shingles by group, 255 standing for that many or more."""
     groups = LEAST_GROUPS
-    while groups * GROUP_SIZE < len(s) and groups < MOST_GROUPS:
+    while groups * size < len(s) and groups < most:
         groups *= 2
     return np.minimum(np.bincount((mix64(s) % np.uint64(groups)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
 
@@ -388,9 +392,21 @@ def _searched(runs: DataFrame) -> DataFrame:
     return stage(runs.join(first, "token", "left_semi").select("token", "doc_id", "component_id", "n", "rest"), "ngram-searched")
 
 
-def _named(points: DataFrame, runs: DataFrame) -> DataFrame:
+def _fine(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """doc_id, n and finer vec of the documents of the given routes; only the vectors move."""
+    def run(batches):
+        for step in steps(batches, "text", STEP):
+            sets = shingle_sets(step.column(1))
+            yield pa.RecordBatch.from_arrays([step.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                                              pa.array([count_vector(s, FINE_SIZE, FINE_GROUPS).tobytes() for s in sets], pa.binary())], ["doc_id", "n", "vec"])
+
+    texts = picked(docs, stage(runs.select("doc_id").distinct(), "ngram-ids"))
+    return stage(texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, vec binary").dropDuplicates(), "ngram-fine")
+
+
+def _named(points: DataFrame, runs: DataFrame, most: int = MOST_GROUPS) -> DataFrame:
     """By the trees' count vectors: kind 0, pairs (a, b) that points name; kind 1, (token, doc_id) = (a, b) with further pairs."""
-    rows = _blocks(runs, F.least(F.col("n"), F.lit(MOST_GROUPS)))
+    rows = _blocks(runs, F.least(F.col("n") * (2 if most > MOST_GROUPS else 1), F.lit(most)))
     rows = rows.join(points.select("doc_id", "n", "vec"), ["doc_id", "n"]).select("token", "i", "j", "mine", "doc_id", "component_id", "n", "rest", "vec")
     rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
@@ -465,12 +481,16 @@ def join(docs: DataFrame) -> DataFrame:
             pairs = representatives(star.select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
             links, known = joined(_verified(rows, _bounded(vectors, pairs)))
     searched = _searched(placed.join(open_.select("token"), "token", "left_semi").select("token", "doc_id", "n", "rest", "component_id"))
-    named = _named(vectors, searched)
-    links, known = joined(_verified(rows, representatives(named.where("kind = 0").select("a", "b"))))
-    # points with further pairs, where components still meet
-    left = searched.drop("component_id").join(named.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("doc_id")), ["token", "doc_id"], "left_semi").join(known, "doc_id")
-    open_ = left.groupBy("token").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).where("low <> high")
-    left = stage(left.join(open_.select("token"), "token", "left_semi").select("token", "doc_id", "component_id", "n", "rest"), "ngram-further")
+    for fine in (False, True):
+        named = _named(_fine(rows, searched), searched, FINE_GROUPS) if fine else _named(vectors, searched)
+        links, known = joined(_verified(rows, representatives(named.where("kind = 0").select("a", "b"))))
+        # points with further pairs, where components still meet
+        left = searched.drop("component_id").join(named.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("doc_id")), ["token", "doc_id"], "left_semi").join(known, "doc_id")
+        open_ = left.groupBy("token").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).where("low <> high")
+        left = stage(left.join(open_.select("token"), "token", "left_semi").select("token", "doc_id", "component_id", "n", "rest"), "ngram-further")
+        if left.isEmpty():
+            break
+        searched = left
     if not left.isEmpty():
         links, known = joined(_trees(rows, left))
     return points.select("doc_id", F.col("n").alias("n_shingles")).join(known, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
